@@ -44,19 +44,29 @@ def patient_utilization(encounters: DataFrame, as_of: dt.date) -> DataFrame:
         F.max("readmit_30d").alias("any_readmit_30d"))
 
 
-def last_admission(encounters: DataFrame) -> DataFrame:
+def _index_stays(encounters: DataFrame, *columns: str | Column) -> DataFrame:
     """The most recent inpatient stay of each patient. Open stays (no end date) rank last; equal end
     dates fall back to the encounter id. The rank filter is applied before the shuffle too, so at
     most one row per patient and task travels."""
     latest = Window.partitionBy("patient_id").orderBy(F.desc_nulls_last("end_date"),
                                                       F.desc("encounter_id"))
     return (encounters.filter(_is("encounter_type", "INPATIENT"))
-            .select("patient_id", "encounter_id", "start_date", "end_date",
-                    "length_of_stay_days", "admission_source", "discharge_disposition",
-                    "facility", F.row_number().over(latest).alias("_rank"))
+            .select("patient_id", *columns, F.row_number().over(latest).alias("_rank"))
             .filter("_rank = 1").drop("_rank"))
 
 
+def last_admission(encounters: DataFrame) -> DataFrame:
+    """The last inpatient stay, by discharge date."""
+    return _index_stays(encounters, "encounter_id", "start_date", "end_date",
+                        "length_of_stay_days", "admission_source", "discharge_disposition",
+                        "facility")
+
+
+def index_outcomes(encounters: DataFrame) -> DataFrame:
+    """Whether the last stay was followed by a readmission (0/1)."""
+    return _index_stays(encounters, F.col("readmit_30d").alias("outcome"))
+
+
 def patient_burden(diagnoses: DataFrame) -> DataFrame:
     """Charlson weight of active conditions, raw and capped, and condition flags. The published
     index scores a Charlson sum of 4 as 5; this one keeps the sum and caps it at 5."""

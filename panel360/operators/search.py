@@ -59,8 +59,8 @@ def text_scores(corpus: DataFrame, queries: DataFrame, key: str, text: str,
 
     Only occurrences of query terms are kept after the scan, and they are counted per document
     before they are shuffled. With `max_queries` the query side is checked against that bound and
-    broadcast. Without it the two sides meet on (term, salt), so that a term found in most
-    documents is spread over all salts.
+    broadcast. Without it the two sides meet on (term, filters), or on (term, salt) where there is
+    no filter, so that a term found in most documents is spread over all salts.
     """
     if max_queries is not None:
         queries = _bounded(queries, max_queries)
@@ -80,14 +80,22 @@ def text_scores(corpus: DataFrame, queries: DataFrame, key: str, text: str,
     mean_length = docs.select(F.avg("doc_length")).scalar()
     doc_freq = hits.groupBy("term").agg(F.count("*").alias("_df"))
     df = F.col("_df")
-    weights = wanted.join(doc_freq, "term").withColumn(
-        "_idf", F.log(1 + (n_docs - df + 0.5) / (df + 0.5)))
+    idf = F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
     if max_queries is not None:
+        weights = wanted.join(doc_freq, "term").withColumn("_idf", idf)
         pairs = hits.join(F.broadcast(weights), ["term", *filters])
     else:
-        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        pairs = (hits.withColumn("_salt", F.pmod(F.hash(key), F.lit(SALTS)))
-                 .join(weights.withColumn("_salt", salt), ["term", "_salt", *filters]))
+        # Few terms may be shared by very many queries, and by very many documents: either large
+        # side takes a salt from its own key, and the table of terms is copied once per salt.
+        every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        weights = (wanted.withColumn("_salt", F.pmod(F.hash(query_key), F.lit(SALTS)))
+                   .join(doc_freq.withColumn("_salt", every), ["term", "_salt"]).drop("_salt")
+                   .withColumn("_idf", idf))
+        if filters:
+            pairs = hits.join(weights, ["term", *filters])
+        else:
+            pairs = (hits.withColumn("_salt", F.pmod(F.hash(key), F.lit(SALTS)))
+                     .join(weights.withColumn("_salt", every), ["term", "_salt"]))
     tf = F.col("tf")
     gain = F.col("_idf") * tf * (K1 + 1) / (
         tf + K1 * (1 - B + B * F.col("doc_length") / mean_length))
