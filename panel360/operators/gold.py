@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panel360.functions import as_ntz, div0, month_boundaries
@@ -29,12 +29,8 @@ class Facts:
     signals: DataFrame
 
 
-def _zero(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0)).alias(name)
-
-
-def _false(name: str, alias: str | None = None) -> Column:
-    return F.coalesce(F.col(name), F.lit(False)).alias(alias or name)
+def _or(default: str, *names: str) -> list[str]:
+    return [f"coalesce({name}, {default}) AS {name}" for name in names]
 
 
 def patient_360(dim: DataFrame, facts: Facts, as_of: dt.date, los_basis: str = "max",
@@ -48,11 +44,10 @@ def patient_360(dim: DataFrame, facts: Facts, as_of: dt.date, los_basis: str = "
     """
     if los_basis not in ("max", "index_stay"):
         raise ValueError(f"unknown los_basis {los_basis!r}")
-    stay = rollups.last_admission(facts.encounters).select(
-        "patient_id", F.col("admission_source").alias("last_admission_source"),
-        F.col("discharge_disposition").alias("last_discharge_disposition"),
-        F.col("encounter_id").alias("last_inpatient_encounter_id"),
-        F.col("length_of_stay_days").alias("_index_los"))
+    stay = rollups.last_admission(facts.encounters).selectExpr(
+        "patient_id", "admission_source AS last_admission_source",
+        "discharge_disposition AS last_discharge_disposition",
+        "encounter_id AS last_inpatient_encounter_id", "length_of_stay_days AS _index_los")
     sides = (rollups.patient_utilization(facts.encounters, as_of), stay,
              rollups.patient_burden(facts.diagnoses), rollups.patient_pharmacy(facts.medications),
              rollups.patient_labs(facts.labs), rollups.patient_financial(facts.claims),
@@ -60,35 +55,36 @@ def patient_360(dim: DataFrame, facts: Facts, as_of: dt.date, los_basis: str = "
     joined = dim
     for side in sides:
         joined = joined.join(side, "patient_id", "left")
-    los = F.col("last_inpatient_los" if los_basis == "max" else "_index_los")
-    return joined.select(
+    los = "last_inpatient_los" if los_basis == "max" else "_index_los"
+    rows = joined.selectExpr(
         *ROW_KEYS,
-        _zero("encounter_count"), _zero("inpatient_count"), _zero("ed_count"),
-        _zero("ed_visits_6mo"), "last_discharge_date", los.alias("last_inpatient_los"),
-        _zero("any_readmit_30d"), "last_admission_source", "last_discharge_disposition",
-        "last_inpatient_encounter_id", _zero("charlson_raw"), _zero("charlson_capped"),
-        _zero("active_condition_count"), _zero("hcc_condition_count"),
-        _false("has_chf"), _false("has_t2dm"), _false("has_ckd"), _false("has_copd"),
-        _zero("active_med_count"), "worst_pdc",
-        _false("on_arni"), _false("on_mra"), _false("on_sglt2"), _false("on_metformin"),
+        *_or("0L", "encounter_count", "inpatient_count", "ed_count", "ed_visits_6mo"),
+        "last_discharge_date", f"{los} AS last_inpatient_los", *_or("0", "any_readmit_30d"),
+        "last_admission_source", "last_discharge_disposition", "last_inpatient_encounter_id",
+        *_or("0L", "charlson_raw", "charlson_capped", "active_condition_count",
+             "hcc_condition_count"),
+        *_or("false", "has_chf", "has_t2dm", "has_ckd", "has_copd"),
+        *_or("0L", "active_med_count"), "worst_pdc",
+        *_or("false", "on_arni", "on_mra", "on_sglt2", "on_metformin"),
         "latest_a1c", "latest_creatinine", "latest_ntprobnp", "latest_potassium",
-        _zero("abnormal_result_count"), _zero("total_allowed_amount"),
-        _zero("total_paid_amount"), _zero("denied_claim_count"), _zero("claim_count"),
-        _false("has_barrier", "documented_barrier_to_care"), "barrier_to_care",
-        F.col("adverse_event").alias("documented_adverse_event"),
-        F.col("followup_days").alias("recommended_followup_days"),
-        F.lit(DATA_CLASSIFICATION).alias("data_classification"),
-        as_ntz(built_at).alias("built_at"))
+        *_or("0L", "abnormal_result_count"),
+        *_or("0", "total_allowed_amount", "total_paid_amount"),
+        *_or("0L", "denied_claim_count", "claim_count"),
+        "coalesce(has_barrier, false) AS documented_barrier_to_care", "barrier_to_care",
+        "adverse_event AS documented_adverse_event",
+        "followup_days AS recommended_followup_days",
+        f"'{DATA_CLASSIFICATION}' AS data_classification")
+    return rows.withColumn("built_at", as_ntz(built_at))
 
 
 def member_360(members: DataFrame, claims: DataFrame, as_of: dt.date) -> DataFrame:
     """Members with tenure and claim economics; a member without claims has NULL economics."""
     economics = rollups.patient_financial(claims)
-    return members.join(economics, "patient_id", "left").select(
+    joined = members.join(economics, "patient_id", "left").withColumns({
+        "months_enrolled": month_boundaries(F.col("enroll_start"), F.lit(as_of)),
+        "denial_rate": div0(F.col("denied_claim_count"), F.col("claim_count"))})
+    return joined.selectExpr(
         "member_id", "patient_id", "payer_name", "plan_id", "line_of_business", "risk_program",
-        "attributed_clinic", "enroll_start",
-        month_boundaries(F.col("enroll_start"), F.lit(as_of)).alias("months_enrolled"),
-        "claim_count", "denied_claim_count",
-        div0(F.col("denied_claim_count"), F.col("claim_count")).alias("denial_rate"),
-        "total_allowed_amount", "total_paid_amount", "total_member_liability",
-        F.lit(DATA_CLASSIFICATION).alias("data_classification"))
+        "attributed_clinic", "enroll_start", "months_enrolled", "claim_count",
+        "denied_claim_count", "denial_rate", "total_allowed_amount", "total_paid_amount",
+        "total_member_liability", f"'{DATA_CLASSIFICATION}' AS data_classification")

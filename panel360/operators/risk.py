@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panel360.functions import as_ntz, least_strict
+from panel360.functions import as_ntz
 
 ADHERENCE_FLOOR = "0.80"
 # Band thresholds on the index.
@@ -25,57 +25,45 @@ COMPONENTS = (("L -- length of stay", "l_points", "yes"),
               ("Local: documented barrier", "mod_barrier_point", "no"))
 
 
-def stay_points(days: Column) -> Column:
-    """Points of a stay length: none 0, up to 3 days as they are, 4-6 4, 7-13 5, 14 and more 7."""
-    return (F.when(days.isNull(), 0).when(days >= 14, 7).when(days >= 7, 5)
-            .when(days >= 4, 4).otherwise(days).cast("long"))
-
-
-def _flag(condition: Column) -> Column:
-    return F.when(condition, 1).otherwise(0).cast("long")
+# Points of a stay length: none 0, up to 3 days as they are, 4-6 4, 7-13 5, 14 and more 7.
+STAY_POINTS = """CASE WHEN last_inpatient_los IS NULL THEN 0 WHEN last_inpatient_los >= 14 THEN 7
+    WHEN last_inpatient_los >= 7 THEN 5 WHEN last_inpatient_los >= 4 THEN 4
+    ELSE last_inpatient_los END"""
 
 
 def points(p360: DataFrame) -> DataFrame:
     """The 360 with the four components, the index, the two local modifiers, the adjusted score
     and the band appended. Only column expressions: no shuffle."""
-    scored = p360.withColumns({
-        "l_points": stay_points(F.col("last_inpatient_los")),
-        "a_points": F.when(F.col("last_admission_source") == "EMERGENCY", 3).otherwise(0)
-        .cast("long"),
-        "c_points": F.col("charlson_capped"),
-        "e_points": least_strict(F.col("ed_visits_6mo"), F.lit(4).cast("long")),
-        "mod_adherence_point": _flag(F.expr(f"worst_pdc < {ADHERENCE_FLOOR}")),
-        "mod_barrier_point": _flag(F.col("documented_barrier_to_care"))})
-    scored = scored.withColumn("lace_index", F.expr("l_points + a_points + c_points + e_points"))
-    return scored.withColumns({
-        "adjusted_score": F.expr("lace_index + mod_adherence_point + mod_barrier_point"),
-        "risk_band": F.when(F.col("lace_index") >= HIGH_FROM, "HIGH")
-        .when(F.col("lace_index") >= INTERMEDIATE_FROM, "INTERMEDIATE").otherwise("LOW")})
+    scored = p360.selectExpr(
+        "*", f"CAST({STAY_POINTS} AS BIGINT) AS l_points",
+        "if(last_admission_source = 'EMERGENCY', 3L, 0L) AS a_points",
+        "charlson_capped AS c_points",
+        "CASE WHEN ed_visits_6mo IS NOT NULL THEN least(ed_visits_6mo, 4L) END AS e_points",
+        f"if(worst_pdc < {ADHERENCE_FLOOR}, 1L, 0L) AS mod_adherence_point",
+        "if(documented_barrier_to_care, 1L, 0L) AS mod_barrier_point")
+    summed = scored.selectExpr("*", "l_points + a_points + c_points + e_points AS lace_index")
+    return summed.selectExpr(
+        "*", "lace_index + mod_adherence_point + mod_barrier_point AS adjusted_score",
+        f"CASE WHEN lace_index >= {HIGH_FROM} THEN 'HIGH' "
+        f"WHEN lace_index >= {INTERMEDIATE_FROM} THEN 'INTERMEDIATE' ELSE 'LOW' END AS risk_band")
 
 
 def explanation() -> Column:
     """The arithmetic as text; a NULL input column makes it NULL, like string concatenation does."""
-    modifiers = F.col("mod_adherence_point") + F.col("mod_barrier_point")
-    stay = F.coalesce(F.concat(F.lit("last LOS "), F.col("last_inpatient_los"), F.lit("d")),
-                      F.lit("no inpatient stay"))
-    reasons = F.concat(
-        F.when(F.col("mod_adherence_point") == 1,
-               F.concat(F.lit("lowest active-medication PDC "), F.col("worst_pdc"), F.lit("; ")))
-        .otherwise(""),
-        F.when(F.col("mod_barrier_point") == 1,
-               F.concat(F.lit("documented barrier: "),
-                        F.coalesce(F.col("barrier_to_care"), F.lit("yes")))).otherwise(""))
-    return F.concat(
-        F.lit("LACE "), F.col("lace_index"),
-        F.lit(" = L"), F.col("l_points"), F.lit(" ("), stay, F.lit(") + "),
-        F.lit("A"), F.col("a_points"), F.lit(" (admission source "),
-        F.coalesce(F.col("last_admission_source"), F.lit("none")), F.lit(") + "),
-        F.lit("C"), F.col("c_points"), F.lit(" (Charlson "), F.col("charlson_raw"),
-        F.lit(", capped at 5) + "),
-        F.lit("E"), F.col("e_points"), F.lit(" ("), F.col("ed_visits_6mo"),
-        F.lit(" ED visits in prior 6 months)"),
-        F.when(modifiers > 0, F.concat(F.lit(". Local modifiers +"), modifiers, F.lit(" ("),
-                                       F.trim(reasons), F.lit(")"))).otherwise(""))
+    return F.expr("""concat(
+        'LACE ', lace_index, ' = L', l_points, ' (',
+        coalesce(concat('last LOS ', last_inpatient_los, 'd'), 'no inpatient stay'), ') + A',
+        a_points, ' (admission source ', coalesce(last_admission_source, 'none'), ') + C',
+        c_points, ' (Charlson ', charlson_raw, ', capped at 5) + E', e_points, ' (',
+        ed_visits_6mo, ' ED visits in prior 6 months)',
+        CASE WHEN mod_adherence_point + mod_barrier_point > 0 THEN concat(
+            '. Local modifiers +', mod_adherence_point + mod_barrier_point, ' (',
+            trim(concat(
+                if(mod_adherence_point = 1,
+                   concat('lowest active-medication PDC ', worst_pdc, '; '), ''),
+                if(mod_barrier_point = 1,
+                   concat('documented barrier: ', coalesce(barrier_to_care, 'yes')), ''))),
+            ')') ELSE '' END)""")
 
 
 def risk_score(p360: DataFrame, scored_at: dt.datetime | None = None) -> DataFrame:

@@ -8,16 +8,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panel360.functions import least_strict
-
 # Diagnosis codes, drug classes and laboratory codes the rollups look for.
-CHF_CODE = "I50.9"
-T2DM_PREFIX = "E11%"
-CKD_PREFIX = "N18%"
-COPD_PREFIX = "J44%"
+CONDITION_FLAGS = {"has_chf": "icd10_code = 'I50.9'", "has_t2dm": "icd10_code LIKE 'E11%'",
+                   "has_ckd": "icd10_code LIKE 'N18%'", "has_copd": "icd10_code LIKE 'J44%'"}
 DRUG_FLAGS = {"on_arni": "ARNI", "on_mra": "MRA", "on_sglt2": "SGLT2 inhibitor",
               "on_metformin": "biguanide", "on_loop_diuretic": "loop diuretic"}
 LAB_CODES = {"a1c": "4548-4", "creatinine": "2160-0", "ntprobnp": "33762-6",
@@ -25,34 +21,36 @@ LAB_CODES = {"a1c": "4548-4", "creatinine": "2160-0", "ntprobnp": "33762-6",
 CHARLSON_CAP = 5
 
 
-def _is(column: str, value: str | int) -> Column:
-    return F.col(column) == F.lit(value)
+def _per_patient(facts: DataFrame, **measures: str) -> DataFrame:
+    return facts.groupBy("patient_id").agg(*[F.expr(f"{sql} AS {name}")
+                                             for name, sql in measures.items()])
 
 
 def patient_utilization(encounters: DataFrame, as_of: dt.date) -> DataFrame:
     """Counts by setting, emergency visits in the six calendar months before `as_of`, last
     discharge and longest inpatient stay."""
-    inpatient, emergency = _is("encounter_type", "INPATIENT"), _is("encounter_type", "EMERGENCY")
-    recent = F.col("start_date") >= F.add_months(F.lit(as_of), -6)
-    return encounters.groupBy("patient_id").agg(
-        F.count("*").alias("encounter_count"),
-        F.count_if(inpatient).alias("inpatient_count"),
-        F.count_if(emergency).alias("ed_count"),
-        F.count_if(emergency & recent).alias("ed_visits_6mo"),
-        F.max(F.when(inpatient, F.col("end_date"))).alias("last_discharge_date"),
-        F.max(F.when(inpatient, F.col("length_of_stay_days"))).alias("last_inpatient_los"),
-        F.max("readmit_30d").alias("any_readmit_30d"))
-
-
-def _index_stays(encounters: DataFrame, *columns: str | Column) -> DataFrame:
+    inpatient, emergency = "encounter_type = 'INPATIENT'", "encounter_type = 'EMERGENCY'"
+    recent = f"start_date >= add_months(DATE '{as_of}', -6)"
+    return _per_patient(
+        encounters,
+        encounter_count="count(*)",
+        inpatient_count=f"count_if({inpatient})",
+        ed_count=f"count_if({emergency})",
+        ed_visits_6mo=f"count_if({emergency} AND {recent})",
+        last_discharge_date=f"max(end_date) FILTER (WHERE {inpatient})",
+        last_inpatient_los=f"max(length_of_stay_days) FILTER (WHERE {inpatient})",
+        any_readmit_30d="max(readmit_30d)")
+
+
+def _index_stays(encounters: DataFrame, *columns: str) -> DataFrame:
     """The most recent inpatient stay of each patient. Open stays (no end date) rank last; equal end
     dates fall back to the encounter id. The rank filter is applied before the shuffle too, so at
     most one row per patient and task travels."""
     latest = Window.partitionBy("patient_id").orderBy(F.desc_nulls_last("end_date"),
                                                       F.desc("encounter_id"))
-    return (encounters.filter(_is("encounter_type", "INPATIENT"))
-            .select("patient_id", *columns, F.row_number().over(latest).alias("_rank"))
-            .filter("_rank = 1").drop("_rank"))
+    return (encounters.filter("encounter_type = 'INPATIENT'")
+            .withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1")
+            .selectExpr("patient_id", *columns))
 
 
 def last_admission(encounters: DataFrame) -> DataFrame:
@@ -64,66 +62,69 @@ def last_admission(encounters: DataFrame) -> DataFrame:
 
 def index_outcomes(encounters: DataFrame) -> DataFrame:
     """Whether the last stay was followed by a readmission (0/1)."""
-    return _index_stays(encounters, F.col("readmit_30d").alias("outcome"))
+    return _index_stays(encounters, "readmit_30d AS outcome")
 
 
 def patient_burden(diagnoses: DataFrame) -> DataFrame:
     """Charlson weight of active conditions, raw and capped, and condition flags. The published
     index scores a Charlson sum of 4 as 5; this one keeps the sum and caps it at 5."""
-    active = _is("clinical_status", "active")
-    weight = F.sum(F.when(active, F.col("charlson_weight")).otherwise(0))
-    return diagnoses.groupBy("patient_id").agg(
-        weight.alias("charlson_raw"),
-        least_strict(weight, F.lit(CHARLSON_CAP).cast("long")).alias("charlson_capped"),
-        F.count_if(active).alias("active_condition_count"),
-        F.count_if(active & (F.col("hcc_flag") == 1)).alias("hcc_condition_count"),
-        F.bool_or(active & _is("icd10_code", CHF_CODE)).alias("has_chf"),
-        F.bool_or(active & F.col("icd10_code").like(T2DM_PREFIX)).alias("has_t2dm"),
-        F.bool_or(active & F.col("icd10_code").like(CKD_PREFIX)).alias("has_ckd"),
-        F.bool_or(active & F.col("icd10_code").like(COPD_PREFIX)).alias("has_copd"))
+    active = "clinical_status = 'active'"
+    weight = f"sum(CASE WHEN {active} THEN charlson_weight ELSE 0 END)"
+    return _per_patient(
+        diagnoses,
+        charlson_raw=weight,
+        charlson_capped=f"CASE WHEN {weight} IS NOT NULL "
+                        f"THEN least({weight}, {CHARLSON_CAP}L) END",
+        active_condition_count=f"count_if({active})",
+        hcc_condition_count=f"count_if({active} AND hcc_flag = 1)",
+        **{flag: f"bool_or({active} AND {test})" for flag, test in CONDITION_FLAGS.items()})
 
 
 def patient_pharmacy(medications: DataFrame) -> DataFrame:
     """Active medication count, lowest adherence and therapy flags."""
-    active = _is("active_flag", 1)
-    return medications.groupBy("patient_id").agg(
-        F.count_if(active).alias("active_med_count"),
-        F.min(F.when(active, F.col("adherence_pdc"))).alias("worst_pdc"),
-        *[F.bool_or(active & _is("drug_class", drug)).alias(flag)
-          for flag, drug in DRUG_FLAGS.items()])
+    active = "active_flag = 1"
+    return _per_patient(
+        medications,
+        active_med_count=f"count_if({active})",
+        worst_pdc=f"min(adherence_pdc) FILTER (WHERE {active})",
+        **{flag: f"bool_or({active} AND drug_class = '{drug}')"
+           for flag, drug in DRUG_FLAGS.items()})
 
 
 def patient_labs(labs: DataFrame) -> DataFrame:
     """Highest result per followed test and the abnormal count. The `latest_` names are those the
     published model uses; the value is the maximum. `latest_results` gives the true latest."""
-    return labs.groupBy("patient_id").agg(
-        *[F.max(F.when(_is("loinc_code", code), F.col("result_value"))).alias(f"latest_{name}")
-          for name, code in LAB_CODES.items()],
-        F.count_if(_is("abnormal_flag", 1)).alias("abnormal_result_count"))
+    return _per_patient(
+        labs,
+        **{f"latest_{name}": f"max(result_value) FILTER (WHERE loinc_code = '{code}')"
+           for name, code in LAB_CODES.items()},
+        abnormal_result_count="count_if(abnormal_flag = 1)")
 
 
 def latest_results(labs: DataFrame) -> DataFrame:
     """Most recent result per followed test; of several on one day, the highest."""
-    newest = F.struct("collected_date", "result_value")
-    return labs.groupBy("patient_id").agg(
-        *[F.max(F.when(_is("loinc_code", code), newest))["result_value"].alias(f"newest_{name}")
-          for name, code in LAB_CODES.items()])
+    newest = "max(struct(collected_date, result_value))"
+    return _per_patient(labs, **{
+        f"newest_{name}": f"({newest} FILTER (WHERE loinc_code = '{code}')).result_value"
+        for name, code in LAB_CODES.items()})
 
 
 def patient_financial(claims: DataFrame) -> DataFrame:
     """Allowed, paid and liability totals, denied count and claim count."""
-    return claims.groupBy("patient_id").agg(
-        F.sum("allowed_amount").alias("total_allowed_amount"),
-        F.sum("paid_amount").alias("total_paid_amount"),
-        F.sum("member_liability").alias("total_member_liability"),
-        F.count_if(_is("claim_status", "DENIED")).alias("denied_claim_count"),
-        F.count("*").alias("claim_count"))
+    return _per_patient(
+        claims,
+        total_allowed_amount="sum(allowed_amount)",
+        total_paid_amount="sum(paid_amount)",
+        total_member_liability="sum(member_liability)",
+        denied_claim_count="count_if(claim_status = 'DENIED')",
+        claim_count="count(*)")
 
 
 def patient_signals(signals: DataFrame) -> DataFrame:
     """Narrative signals per patient. Only notes that do report a barrier give the barrier text."""
-    return signals.groupBy("patient_id").agg(
-        F.bool_or("has_barrier").alias("has_barrier"),
-        F.max(F.when(F.col("has_barrier"), F.col("barrier_to_care"))).alias("barrier_to_care"),
-        F.max("adverse_event").alias("adverse_event"),
-        F.min("followup_days").alias("followup_days"))
+    return _per_patient(
+        signals,
+        has_barrier="bool_or(has_barrier)",
+        barrier_to_care="max(barrier_to_care) FILTER (WHERE has_barrier)",
+        adverse_event="max(adverse_event)",
+        followup_days="min(followup_days)")

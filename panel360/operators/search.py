@@ -7,6 +7,8 @@ the order in which partial sums meet.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,10 +170,12 @@ def vector_scan(corpus: DataFrame, queries: DataFrame, k: int, key: str, vector:
         *[F.col(name).alias(f"_wanted_{name}") for name in filters])).alias("q"))
     asked = packed.select(F.when(F.size("q") <= max_queries, F.col("q")).otherwise(
         F.raise_error(F.lit(f"more than {max_queries} query vectors")))).scalar()
-    for name in filters:
-        asked = F.filter(asked, lambda q, name=name: q[f"_wanted_{name}"] == F.col(name))
-    docs = with_norm(corpus.select(key, vector, *filters), vector)
-    pairs = docs.select(key, vector, "_norm", F.inline(asked))
+    docs = with_norm(corpus.select(key, vector, *filters), vector).withColumn("_asked", asked)
+    admitted = F.col("_asked")
+    if filters:
+        admitted = F.filter(admitted, lambda q: reduce(
+            and_, [q[f"_wanted_{name}"] == F.col(name) for name in filters]))
+    pairs = docs.select(key, vector, "_norm", F.inline(admitted))
     return _top(pairs.select(query_key, key, _cosine(vector, query_vector).alias("score")),
                 query_key, key, k)
 

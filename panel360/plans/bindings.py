@@ -5,9 +5,11 @@ tables need to find their patient."""
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
+from functools import cached_property
+from string import Formatter
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from panel360.plans.panel import Panel
 from panel360.schemas import EXTRACTS
@@ -19,307 +21,279 @@ AS_OF = dt.date(2001, 8, 1)
 CLINIC_ENTITLEMENTS = (("CLINICIAN", "AFRICA"), ("CLINICIAN", "AMERICA"),
                        ("CARE_MGR", "AFRICA"), ("CARE_MGR", "AMERICA"),
                        ("CARE_MGR", "ASIA"), ("CARE_MGR", "EUROPE"))
-DIAGNOSIS_OF_TYPE = {"ECONOMY": "I50.9", "LARGE": "E11.9", "MEDIUM": "N18.4", "PROMO": "J44.1",
-                     "STANDARD": "I10", "SMALL": "Z79.4"}
-DRUG_OF_TYPE = {"ECONOMY": "ARNI", "SMALL": "MRA", "LARGE": "SGLT2 inhibitor",
-                "MEDIUM": "biguanide", "PROMO": "loop diuretic", "STANDARD": "statin"}
-LAB_OF_EVENT = {"click": "4548-4", "error": "2160-0", "view": "33762-6", "purchase": "2823-3",
-                "signup": "718-7"}
-TEST_NAMES = {"click": "Hemoglobin A1c", "error": "Creatinine, serum", "view": "NT-proBNP",
-              "purchase": "Potassium, serum", "signup": "Hemoglobin"}
-DENIALS = ("PRIOR_AUTH_MISSING", "NOT_MEDICALLY_NECESSARY", "OUT_OF_NETWORK")
-BARRIERS = ("transportation", "medication cost concerns",
-            "lives alone, limited caregiver support", "no barriers identified")
-SAFETY_NOTES = ("No adverse drug events during admission.",
-                "Mild hypotension after dose increase; dose reduced and tolerated.",
-                "Transient hyperkalemia after therapy start; resolved with counseling.",
-                "Reported dizziness after dose increase; follow-up negative.")
-SPECIALTIES = ("cardiology", "primary care", "nephrology", "pulmonology")
-PAGE_TYPES = ("UTILIZATION_POLICY", "REGULATORY_BULLETIN", "QUALITY_MEASURE")
-QUESTION_TERMS = ("clinic", "acuity", "LOB", "heart  failure", "why denied", "average LOS",
-                  "cost", "region", "panel", "Policy", "readmit rate", "not a known term")
+TEST_NAMES = ("Hemoglobin A1c", "Creatinine, serum", "NT-proBNP", "Potassium, serum", "Hemoglobin")
+
+PLACED = """(SELECT * FROM {customer} LEFT JOIN {nation} ON c_nationkey = n_nationkey
+             LEFT JOIN {region} ON n_regionkey = r_regionkey)"""
+
+PATIENTS = f"""
+SELECT concat('SYN-P', c_custkey) AS patient_id, concat('SYN-M', c_custkey) AS member_id,
+       split_part(c_name, '#', 1) AS first_name,
+       concat(c_mktsegment, '-', split_part(c_name, '#', 2)) AS last_name,
+       date_add(DATE '1930-01-01', CAST(c_custkey * 37 % 26000 AS INT)) AS birth_date,
+       CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex, n_name AS city, r_name AS state,
+       CAST(c_custkey % 90000 + 10000 AS STRING) AS postal_code,
+       CASE WHEN c_custkey % 5 = 0 THEN 'ES' ELSE 'EN' END AS primary_language,
+       concat('NPI', c_nationkey) AS pcp_npi, 0 AS deceased_flag, 'DRIVER_TABLES' AS data_source
+FROM {PLACED}"""
+
+MEMBERS = f"""
+SELECT concat('SYN-M', c_custkey) AS member_id, concat('SYN-P', c_custkey) AS patient_id,
+       concat('Payer ', c_nationkey % 3) AS payer_name, concat('PLAN-', c_custkey % 5) AS plan_id,
+       c_mktsegment AS line_of_business,
+       date_add(DATE '1995-01-01', CAST(c_custkey % 1000 AS INT)) AS enroll_start,
+       CAST(NULL AS DATE) AS enroll_end,
+       CASE WHEN c_custkey % 4 = 0 THEN 'CARE_MGMT' ELSE 'NONE' END AS risk_program,
+       r_name AS attributed_clinic
+FROM {PLACED}"""
+
+KIND = """CASE o_orderpriority WHEN '1-URGENT' THEN 'EMERGENCY' WHEN '2-HIGH' THEN 'INPATIENT'
+                            WHEN '3-MEDIUM' THEN 'OUTPATIENT' ELSE 'TELEHEALTH' END"""
+
+ENCOUNTERS = f"""
+SELECT concat('SYN-E', o_orderkey) AS encounter_id, concat('SYN-P', o_custkey) AS patient_id,
+       kind AS encounter_type, started AS start_date, date_add(started, stay) AS end_date,
+       stay AS length_of_stay_days,
+       CASE WHEN kind <> 'INPATIENT' THEN 'N/A' WHEN o_orderstatus = 'F' THEN 'EMERGENCY'
+            ELSE 'ELECTIVE' END AS admission_source,
+       CASE WHEN kind <> 'INPATIENT' THEN 'N/A'
+            ELSE get(array('HOME', 'HOME_HEALTH', 'SNF'), CAST(o_orderkey % 3 AS INT)) END
+         AS discharge_disposition,
+       concat('Facility ', o_orderkey % 3) AS facility,
+       CAST(o_orderkey % 5 = 0 AS INT) AS readmit_30d
+FROM (SELECT *, CAST(o_orderdate AS DATE) AS started, {KIND} AS kind,
+             CASE WHEN o_orderpriority = '2-HIGH' THEN CAST(o_orderkey % 16 AS INT) ELSE 0 END
+               AS stay FROM {{orders}})"""
+
+CLAIMS = """
+SELECT concat('SYN-C', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-',
+              date_format(l_shipdate, 'yyyyMMdd')) AS claim_id,
+       concat('SYN-E', l_orderkey) AS encounter_id, concat('SYN-M', o_custkey) AS member_id,
+       concat('SYN-P', o_custkey) AS patient_id,
+       CASE WHEN o_orderpriority = '2-HIGH' THEN 'FACILITY' ELSE 'PROFESSIONAL' END AS claim_type,
+       CAST(l_shipdate AS DATE) AS service_date, allowed + allowed AS billed_amount,
+       allowed AS allowed_amount,
+       CASE WHEN l_returnflag = 'R' THEN allowed - liability ELSE 0 END AS paid_amount,
+       liability AS member_liability,
+       CASE l_returnflag WHEN 'A' THEN 'DENIED' WHEN 'R' THEN 'PAID' ELSE 'PENDING' END
+         AS claim_status,
+       get(array('PRIOR_AUTH_MISSING', 'NOT_MEDICALLY_NECESSARY', 'OUT_OF_NETWORK'),
+           l_linenumber % 4 - 1) AS denial_reason,
+       CASE WHEN o_orderpriority = '2-HIGH' THEN concat('DRG', l_partkey % 111 + 190) END
+         AS drg_code
+FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(18,2)) AS allowed,
+             CAST(l_quantity AS DECIMAL(18,2)) AS liability FROM {lineitem})
+JOIN {orders} ON l_orderkey = o_orderkey"""
+
+# Thinned to one line in four orders, or everyone would reach the comorbidity cap.
+DIAGNOSES = """
+SELECT concat('SYN-P', o_custkey) AS patient_id,
+       CASE p_type WHEN 'ECONOMY' THEN 'I50.9' WHEN 'LARGE' THEN 'E11.9' WHEN 'MEDIUM' THEN 'N18.4'
+            WHEN 'PROMO' THEN 'J44.1' WHEN 'STANDARD' THEN 'I10' WHEN 'SMALL' THEN 'Z79.4' END
+         AS icd10_code,
+       p_name AS diagnosis_description, CAST(o_orderdate AS DATE) AS onset_date,
+       p_size % 3 AS charlson_weight, CAST(p_size % 3 > 0 AS INT) AS hcc_flag,
+       CASE WHEN l_linestatus = 'O' THEN 'active' ELSE 'resolved' END AS clinical_status
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey
+WHERE l_linenumber = 1 AND l_orderkey % 4 = 0"""
+
+MEDICATIONS = """
+SELECT concat('SYN-P', o_custkey) AS patient_id, concat('RX-', l_partkey) AS rx_id,
+       p_name AS medication_name,
+       CASE p_type WHEN 'ECONOMY' THEN 'ARNI' WHEN 'SMALL' THEN 'MRA'
+            WHEN 'LARGE' THEN 'SGLT2 inhibitor' WHEN 'MEDIUM' THEN 'biguanide'
+            WHEN 'PROMO' THEN 'loop diuretic' WHEN 'STANDARD' THEN 'statin' END AS drug_class,
+       CAST(l_shipdate AS DATE) AS start_date,
+       CAST(l_partkey % 3 * 30 + 30 AS INT) AS days_supply, CAST(l_suppkey % 6 AS INT) AS refills,
+       CAST(35 + l_partkey % 66 AS DECIMAL(6,2)) / 100 AS adherence_pdc,
+       CAST(l_returnflag <> 'R' AS INT) AS active_flag
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey
+WHERE l_linenumber = 2 AND l_orderkey % 3 = 0"""
+
+LABS = """
+SELECT concat('SYN-P', user_id) AS patient_id,
+       CASE event_type WHEN 'click' THEN '4548-4' WHEN 'error' THEN '2160-0'
+            WHEN 'view' THEN '33762-6' WHEN 'purchase' THEN '2823-3' WHEN 'signup' THEN '718-7' END
+         AS loinc_code,
+       CASE event_type WHEN 'click' THEN 'Hemoglobin A1c' WHEN 'error' THEN 'Creatinine, serum'
+            WHEN 'view' THEN 'NT-proBNP' WHEN 'purchase' THEN 'Potassium, serum'
+            WHEN 'signup' THEN 'Hemoglobin' END AS test_name,
+       'unit' AS unit, value / 10 AS result_value, 0.1 AS ref_low, 10 AS ref_high,
+       CAST(value > 100 AS INT) AS abnormal_flag, CAST(ts AS DATE) AS collected_date
+FROM {events}"""
+
+ED_VISITS = """
+SELECT concat('SYN-P', o_custkey) AS patient_id, CAST(o_orderdate AS DATE) AS ed_visit_date,
+       'unspecified' AS chief_complaint, CAST(o_orderkey % 5 = 0 AS INT) AS admitted_flag
+FROM {orders} WHERE o_orderpriority = '1-URGENT'"""
+
+# Each document as a discharge note holding its whole text. Three notes go to one patient; one note
+# in ten has no header at all and one in ten no document id.
+NOTES = r"""
+SELECT name AS file_name, concat('stage/', name) AS stage_path,
+       concat(
+         CASE WHEN doc_id % 10 = 0 THEN ''
+              WHEN doc_id % 10 = 1 THEN concat('# Clinical note\n\n', people, '\n')
+              ELSE concat('# Discharge Summary (SYNTHETIC)\n\n**Document ID:** DS-SYN-E', doc_id,
+                          '\n', people, '**Facility:** Facility ', doc_id % 3, '\n\n') END,
+         '## Hospital Course\n', text,
+         '\n\n## Care Gaps and Follow-up Plan\n- Follow-up with ',
+         get(array('cardiology', 'primary care', 'nephrology', 'pulmonology'),
+             CAST(n_chars % 4 AS INT)),
+         ' within ', (n_chars % 3 + 1) * 7, ' days.\n- Barriers documented: ',
+         get(array('transportation', 'medication cost concerns',
+                   'lives alone, limited caregiver support', 'no barriers identified'),
+             CAST(least(n_chars % 20, 3) AS INT)),
+         '.\n\n## Safety Notes\n',
+         get(array('No adverse drug events during admission.',
+                   'Mild hypotension after dose increase; dose reduced and tolerated.',
+                   'Transient hyperkalemia after therapy start; resolved with counseling.',
+                   'Reported dizziness after dose increase; follow-up negative.'),
+             CAST(n_chars % 4 AS INT)), '\n') AS doc_text
+FROM (SELECT *, concat(CASE WHEN doc_id % 10 = 0 THEN 'scan_' ELSE 'discharge_' END, 'SYN-E',
+                       doc_id, '.md') AS name,
+             concat('**Patient ID:** SYN-P', doc_id - doc_id % 3, '   **Encounter ID:** SYN-E',
+                    doc_id, '\n') AS people
+      FROM {documents})"""
+
+# Each web page as an institutional document in one of four layouts: full header; header without
+# owner; no header, the date in a sentence; header with a malformed date.
+PAGE_DOCUMENTS = r"""
+SELECT name AS file_name, concat('stage/', name) AS stage_path,
+       concat('# ', CASE WHEN page_id % 4 = 2 THEN 'Policy ' ELSE '' END, coalesce(title, ''),
+              '\n\n',
+              CASE page_id % 4
+                WHEN 0 THEN concat(ident, '**Owner:** Owner ', page_id % 7,
+                                   '\n**Effective Date:** 2026-01-01\n')
+                WHEN 1 THEN concat(ident, '**Effective Date:** 2026-02-01\n')
+                WHEN 2 THEN 'This policy is effective from 2026-03-01 on.\n'
+                ELSE concat(ident, '**Effective Date:** soon\n') END,
+              '\n## Content\n', body_text) AS doc_text
+FROM (SELECT *, concat('page_', page_id, '.md') AS name,
+             concat('**Document ID:** PG-', page_id, '\n**Document Type:** ',
+                    get(array('UTILIZATION_POLICY', 'REGULATORY_BULLETIN', 'QUALITY_MEASURE'),
+                        CAST(page_id % 3 AS INT)), '\n') AS ident
+      FROM {page_texts})"""
+
+# Events as logged answers, the event type as the asking role.
+AUDIT_LOG = """
+SELECT concat('A', event_id) AS audit_id, CAST(ts AS TIMESTAMP) AS asked_at,
+       concat('user', user_id) AS asked_by, event_type AS asked_role,
+       get(array('clinic', 'acuity', 'LOB', 'heart  failure', 'why denied', 'average LOS', 'cost',
+                 'region', 'panel', 'Policy', 'readmit rate', 'not a known term'), k % 12)
+         AS question,
+       array_repeat('label', k % 5) AS citations, value > 50 AS grounded,
+       floor(value * 10) AS latency_ms
+FROM (SELECT *, CAST(get_json_object(props, '$.k') AS INT) AS k FROM {events})"""
+
+# Assistant turns as answers to the golden questions, with a judge verdict from the labels:
+# malformed where there is no label, a key missing where the label says toxic.
+EVAL_RUNS = """
+SELECT concat('run-', conv_id % 4) AS run_id,
+       CAST(date_add(DATE '2026-01-01', CAST(conv_id % 300 AS INT)) AS TIMESTAMP_NTZ) AS run_at,
+       concat('Q', lpad(CAST(conv_id % 12 + 1 AS STRING), 2, '0')) AS qid, text AS answer_text,
+       CASE turn % 3 WHEN 0 THEN array('RegulatoryDocs', 'PatientAnalytics')
+            WHEN 1 THEN array('PatientAnalytics') ELSE array('ClinicalNotes', 'EvidencePack') END
+         AS tools_observed,
+       array(concat('DS-SYN-E', conv_id, ' — Safety Notes (chunk ', turn, ')'),
+             concat('claim SYN-C', conv_id)) AS citations_observed,
+       CAST(length(text) AS BIGINT) AS latency_ms, 'v1' AS agent_version,
+       CASE WHEN quality IS NULL THEN 'no verdict' ELSE concat(
+         '{{"grounding":', quality * 5, ',"citation_quality":"', turn % 6, '"',
+         CASE WHEN toxic = 1 THEN '' ELSE ',"refusal_correctness":5' END,
+         ',"completeness":"', CASE WHEN turn % 4 = 0 THEN 'unsure' ELSE '4' END, '"}}') END
+         AS judge_json
+FROM {conversations} LEFT JOIN {labels} ON conv_id = doc_id WHERE role = 'assistant'"""
+
+EXTRACT_SQL = {"patients": PATIENTS, "members": MEMBERS, "encounters": ENCOUNTERS,
+               "claims": CLAIMS, "diagnoses": DIAGNOSES, "medications": MEDICATIONS, "labs": LABS,
+               "ed_visits": ED_VISITS}
+
+
+# Columns of the source tables, given so that no job runs to read them from the files.
+SOURCE_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                "c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+            "p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+              "value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def _case(column: Column, mapping: dict[str, str]) -> Column:
-    items = list(mapping.items())
-    result = F.when(column == items[0][0], items[0][1])
-    for key, value in items[1:]:
-        result = result.when(column == key, value)
-    return result
-
-
-def _nth(index: Column, values: tuple[str, ...]) -> Column:
-    """The value at a zero-based index."""
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
-
-
-def _id(prefix: str, *parts: str) -> Column:
-    names = [F.lit(prefix), F.col(parts[0])]
-    for part in parts[1:]:
-        names += [F.lit("-"), F.col(part)]
-    return F.concat(*names)
-
-
-def patients(spark: SparkSession, folder: str) -> DataFrame:
-    customer, nation, region = _places(spark, folder)
-    placed = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(
-        region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    key = F.col("c_custkey")
-    rows = placed.select(
-        _id("SYN-P", "c_custkey").alias("patient_id"), _id("SYN-M", "c_custkey").alias("member_id"),
-        F.split_part("c_name", F.lit("#"), F.lit(1)).alias("first_name"),
-        F.concat("c_mktsegment", F.lit("-"), F.split_part("c_name", F.lit("#"), F.lit(2)))
-        .alias("last_name"),
-        F.date_add(F.lit(dt.date(1930, 1, 1)), (key * 37 % 26000).cast("int"))
-        .alias("birth_date"),
-        F.when(key % 2 == 0, "F").otherwise("M").alias("sex"),
-        F.col("n_name").alias("city"), F.col("r_name").alias("state"),
-        (key % 90000 + 10000).cast("string").alias("postal_code"),
-        F.when(key % 5 == 0, "ES").otherwise("EN").alias("primary_language"),
-        _id("NPI", "c_nationkey").alias("pcp_npi"), F.lit(0).alias("deceased_flag"),
-        F.lit("DRIVER_TABLES").alias("data_source"))
-    return conform(rows, EXTRACTS["patients"])
-
-
-def _places(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return (table(spark, folder, "customer"), table(spark, folder, "nation"),
-            table(spark, folder, "region"))
-
-
-def members(spark: SparkSession, folder: str) -> DataFrame:
-    customer, nation, region = _places(spark, folder)
-    placed = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(
-        region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    key = F.col("c_custkey")
-    rows = placed.select(
-        _id("SYN-M", "c_custkey").alias("member_id"), _id("SYN-P", "c_custkey").alias("patient_id"),
-        F.concat(F.lit("Payer "), F.col("c_nationkey") % 3).alias("payer_name"),
-        F.concat(F.lit("PLAN-"), key % 5).alias("plan_id"),
-        F.col("c_mktsegment").alias("line_of_business"),
-        F.date_add(F.lit(dt.date(1995, 1, 1)), (key % 1000).cast("int")).alias("enroll_start"),
-        F.lit(None).cast("date").alias("enroll_end"),
-        F.when(key % 4 == 0, "CARE_MGMT").otherwise("NONE").alias("risk_program"),
-        F.col("r_name").alias("attributed_clinic"))
-    return conform(rows, EXTRACTS["members"])
-
-
-def _encounter_type() -> Column:
-    priority = F.col("o_orderpriority")
-    return (F.when(priority == "1-URGENT", "EMERGENCY").when(priority == "2-HIGH", "INPATIENT")
-            .when(priority == "3-MEDIUM", "OUTPATIENT").otherwise("TELEHEALTH"))
-
-
-def encounters(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").withColumns({
-        "encounter_type": _encounter_type(), "start_date": F.to_date("o_orderdate")})
-    key, inpatient = F.col("o_orderkey"), F.col("encounter_type") == "INPATIENT"
-    orders = orders.withColumn("length_of_stay_days",
-                               F.when(inpatient, (key % 16).cast("int")).otherwise(0))
-    rows = orders.select(
-        _id("SYN-E", "o_orderkey").alias("encounter_id"),
-        _id("SYN-P", "o_custkey").alias("patient_id"), "encounter_type", "start_date",
-        F.date_add("start_date", F.col("length_of_stay_days")).alias("end_date"),
-        "length_of_stay_days",
-        F.when(~inpatient, "N/A").when(F.col("o_orderstatus") == "F", "EMERGENCY")
-        .otherwise("ELECTIVE").alias("admission_source"),
-        F.when(~inpatient, "N/A").otherwise(_nth(key % 3, ("HOME", "HOME_HEALTH", "SNF")))
-        .alias("discharge_disposition"),
-        F.concat(F.lit("Facility "), key % 3).alias("facility"),
-        (key % 5 == 0).cast("int").alias("readmit_30d"))
-    return conform(rows, EXTRACTS["encounters"])
-
-
-def _lines(spark: SparkSession, folder: str, condition: Column | None = None) -> DataFrame:
-    """Order lines with their order; the condition reaches the scan of the lines."""
-    lines = table(spark, folder, "lineitem")
-    if condition is not None:
-        lines = lines.filter(condition)
-    return lines.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-
-
-def claims(spark: SparkSession, folder: str) -> DataFrame:
-    lines = _lines(spark, folder)
-    allowed = F.col("l_extendedprice").cast("decimal(18,2)")
-    liability = F.col("l_quantity").cast("decimal(18,2)")
-    status = (F.when(F.col("l_returnflag") == "A", "DENIED")
-              .when(F.col("l_returnflag") == "R", "PAID").otherwise("PENDING"))
-    inpatient = _encounter_type() == "INPATIENT"
-    rows = lines.select(
-        F.concat(_id("SYN-C", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), F.lit("-"),
-                 F.date_format("l_shipdate", "yyyyMMdd")).alias("claim_id"),
-        _id("SYN-E", "l_orderkey").alias("encounter_id"),
-        _id("SYN-M", "o_custkey").alias("member_id"), _id("SYN-P", "o_custkey").alias("patient_id"),
-        F.when(inpatient, "FACILITY").otherwise("PROFESSIONAL").alias("claim_type"),
-        F.to_date("l_shipdate").alias("service_date"),
-        (allowed + allowed).alias("billed_amount"), allowed.alias("allowed_amount"),
-        F.when(status == "PAID", allowed - liability).otherwise(F.lit(0)).cast("decimal(18,2)")
-        .alias("paid_amount"),
-        liability.alias("member_liability"), status.alias("claim_status"),
-        _nth(F.col("l_linenumber") % 4 - 1, DENIALS).alias("denial_reason"),
-        F.when(inpatient, F.concat(F.lit("DRG"), F.col("l_partkey") % 111 + 190))
-        .alias("drg_code"))
-    return conform(rows, EXTRACTS["claims"])
-
-
-def _parts(spark: SparkSession, folder: str, lines: DataFrame) -> DataFrame:
-    return lines.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
-
-
-def diagnoses(spark: SparkSession, folder: str) -> DataFrame:
-    """Thinned to one line in four orders, or everyone would reach the comorbidity cap."""
-    lines = _lines(spark, folder, F.expr("l_linenumber = 1 AND l_orderkey % 4 = 0"))
-    weight = (F.col("p_size") % 3).cast("int")
-    rows = _parts(spark, folder, lines).select(
-        _id("SYN-P", "o_custkey").alias("patient_id"),
-        _case(F.col("p_type"), DIAGNOSIS_OF_TYPE).alias("icd10_code"),
-        F.col("p_name").alias("diagnosis_description"), F.to_date("o_orderdate").alias("onset_date"),
-        weight.alias("charlson_weight"), (weight > 0).cast("int").alias("hcc_flag"),
-        F.when(F.col("l_linestatus") == "O", "active").otherwise("resolved")
-        .alias("clinical_status"))
-    return conform(rows, EXTRACTS["diagnoses"])
-
-
-def medications(spark: SparkSession, folder: str) -> DataFrame:
-    lines = _lines(spark, folder, F.expr("l_linenumber = 2 AND l_orderkey % 3 = 0"))
-    covered = (F.col("l_partkey") % 66 + 35).cast("decimal(6,2)")
-    rows = _parts(spark, folder, lines).select(
-        _id("SYN-P", "o_custkey").alias("patient_id"), _id("RX-", "l_partkey").alias("rx_id"),
-        F.col("p_name").alias("medication_name"),
-        _case(F.col("p_type"), DRUG_OF_TYPE).alias("drug_class"),
-        F.to_date("l_shipdate").alias("start_date"),
-        (F.col("l_partkey") % 3 * 30 + 30).cast("int").alias("days_supply"),
-        (F.col("l_suppkey") % 6).cast("int").alias("refills"),
-        (covered / 100).cast("decimal(4,2)").alias("adherence_pdc"),
-        (F.col("l_returnflag") != "R").cast("int").alias("active_flag"))
-    return conform(rows, EXTRACTS["medications"])
-
-
-def labs(spark: SparkSession, folder: str) -> DataFrame:
-    kind = F.col("event_type")
-    rows = table(spark, folder, "events").select(
-        _id("SYN-P", "user_id").alias("patient_id"), _case(kind, LAB_OF_EVENT).alias("loinc_code"),
-        _case(kind, TEST_NAMES).alias("test_name"), F.lit("unit").alias("unit"),
-        (F.col("value") / 10).cast("decimal(18,3)").alias("result_value"),
-        F.lit("0.100").cast("decimal(18,3)").alias("ref_low"),
-        F.lit("10.000").cast("decimal(18,3)").alias("ref_high"),
-        (F.col("value") > 100).cast("int").alias("abnormal_flag"),
-        F.to_date("ts").alias("collected_date"))
-    return conform(rows, EXTRACTS["labs"])
-
-
-def ed_visits(spark: SparkSession, folder: str) -> DataFrame:
-    rows = encounters(spark, folder).filter("encounter_type = 'EMERGENCY'").select(
-        "patient_id", F.col("start_date").alias("ed_visit_date"),
-        F.lit("unspecified").alias("chief_complaint"), F.col("readmit_30d").alias("admitted_flag"))
-    return conform(rows, EXTRACTS["ed_visits"])
-
-
-def notes(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document as a discharge note holding its whole text. Three notes go to one patient; one
-    note in ten has no header at all and one in ten no document id."""
-    doc, chars = F.col("doc_id"), F.col("n_chars")
-    encounter = _id("SYN-E", "doc_id")
-    people = F.concat(F.lit("**Patient ID:** SYN-P"), doc - doc % 3,
-                      F.lit("   **Encounter ID:** "), encounter, F.lit("\n"))
-    header = (F.when(doc % 10 == 0, F.lit(""))
-              .when(doc % 10 == 1, F.concat(F.lit("# Clinical note\n\n"), people, F.lit("\n")))
-              .otherwise(F.concat(F.lit("# Discharge Summary (SYNTHETIC)\n\n**Document ID:** DS-"),
-                                  encounter, F.lit("\n"), people,
-                                  F.lit("**Facility:** Facility "), doc % 3, F.lit("\n\n"))))
-    plan = F.concat(
-        F.lit("\n\n## Care Gaps and Follow-up Plan\n- Follow-up with "),
-        _nth(chars % 4, SPECIALTIES), F.lit(" within "), (chars % 3 + 1) * 7, F.lit(" days.\n"),
-        F.lit("- Barriers documented: "), _nth(F.least(chars % 20, F.lit(3)), BARRIERS),
-        F.lit(".\n\n## Safety Notes\n"), _nth(chars % 4, SAFETY_NOTES), F.lit("\n"))
-    name = F.concat(F.when(doc % 10 == 0, "scan_").otherwise("discharge_"), encounter,
-                    F.lit(".md"))
-    return table(spark, folder, "documents").select(
-        name.alias("file_name"), F.concat(F.lit("stage/"), name).alias("stage_path"),
-        F.concat(header, F.lit("## Hospital Course\n"), "text", plan).alias("doc_text"))
-
-
-def page_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Each web page as an institutional document in one of four layouts: full header; header
-    without owner; no header, the date in a sentence; header with a malformed date."""
-    page = F.col("page_id")
-    doc_id = F.concat(F.lit("**Document ID:** PG-"), page, F.lit("\n"))
-    kind = F.concat(F.lit("**Document Type:** "), _nth(page % 3, PAGE_TYPES), F.lit("\n"))
-    header = (F.when(page % 4 == 0, F.concat(doc_id, kind, F.lit("**Owner:** Owner "), page % 7,
-                                             F.lit("\n**Effective Date:** 2026-01-01\n")))
-              .when(page % 4 == 1, F.concat(doc_id, kind,
-                                            F.lit("**Effective Date:** 2026-02-01\n")))
-              .when(page % 4 == 2, F.lit("This policy is effective from 2026-03-01 on.\n"))
-              .otherwise(F.concat(doc_id, kind, F.lit("**Effective Date:** soon\n"))))
-    title = F.when(page % 4 == 2, F.concat(F.lit("Policy "), F.coalesce("title", F.lit("")))
-                   ).otherwise(F.coalesce("title", F.lit("")))
-    name = F.concat(F.lit("page_"), page, F.lit(".md"))
-    return parse_html(table(spark, folder, "pages")).select(
-        name.alias("file_name"), F.concat(F.lit("stage/"), name).alias("stage_path"),
-        F.concat(F.lit("# "), title, F.lit("\n\n"), header, F.lit("\n## Content\n"), "body_text")
-        .alias("doc_text"))
+    return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def panel(spark: SparkSession, folder: str) -> Panel:
-    makers = {"patients": patients, "members": members, "encounters": encounters,
-              "claims": claims, "diagnoses": diagnoses, "medications": medications,
-              "labs": labs, "ed_visits": ed_visits}
-    return Panel({name: make(spark, folder) for name, make in makers.items()},
-                 notes(spark, folder).unionByName(page_documents(spark, folder)), AS_OF)
+def _query(spark: SparkSession, folder: str, sql: str) -> DataFrame:
+    """A statement over the source tables it names in braces."""
+    named = {name for _, name, _, _ in Formatter().parse(sql) if name}
+    return spark.sql(sql, **{name: table(spark, folder, name) for name in sorted(named)})
+
+
+class Extracts(Mapping):
+    """The structured tables by name, each planned when first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder, self._made = spark, folder, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            rows = _query(self._spark, self._folder, EXTRACT_SQL[name])
+            self._made[name] = conform(rows, EXTRACTS[name])
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(EXTRACT_SQL)
+
+    def __len__(self) -> int:
+        return len(EXTRACT_SQL)
 
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Discharge notes and institutional documents."""
+    pages = spark.sql(PAGE_DOCUMENTS, page_texts=parse_html(table(spark, folder, "pages")))
+    return _query(spark, folder, NOTES).unionByName(pages)
+
+
+class BoundPanel(Panel):
+    """A panel over the driver's tables."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder
+        self.extracts, self.as_of = Extracts(spark, folder), AS_OF
+        self.stored, self.los_basis = None, "max"
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        return documents(self._spark, self._folder)
+
+
+def panel(spark: SparkSession, folder: str) -> Panel:
+    return BoundPanel(spark, folder)
 
 
 def audit_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as logged answers, the event type as the asking role."""
-    return table(spark, folder, "events").select(
-        _id("A", "event_id").alias("audit_id"), F.col("ts").cast("timestamp").alias("asked_at"),
-        _id("user", "user_id").alias("asked_by"), F.col("event_type").alias("asked_role"),
-        _nth(_k() % len(QUESTION_TERMS), QUESTION_TERMS).alias("question"),
-        F.array_repeat(F.lit("label"), _k() % 5).alias("citations"),
-        (F.col("value") > 50).alias("grounded"),
-        F.floor(F.col("value") * 10).alias("latency_ms"))
+    return _query(spark, folder, AUDIT_LOG)
 
 
 def eval_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Assistant turns as answers to the golden questions, with a judge verdict from the labels:
-    malformed where there is no label, a key missing where the label says toxic."""
-    conv, turn = F.col("conv_id"), F.col("turn")
-    tools = (F.when(turn % 3 == 0, F.array(F.lit("RegulatoryDocs"), F.lit("PatientAnalytics")))
-             .when(turn % 3 == 1, F.array(F.lit("PatientAnalytics")))
-             .otherwise(F.array(F.lit("ClinicalNotes"), F.lit("EvidencePack"))))
-    cited = F.array(
-        F.concat(F.lit("DS-SYN-E"), conv, F.lit(" — Safety Notes (chunk "), turn, F.lit(")")),
-        F.concat(F.lit("claim SYN-C"), conv))
-    verdict = (F.when(F.col("quality").isNull(), F.lit("no verdict"))
-               .otherwise(F.concat(
-                   F.lit('{"grounding":'), F.col("quality") * 5,
-                   F.lit(',"citation_quality":"'), turn % 6, F.lit('"'),
-                   F.when(F.col("toxic") == 1, F.lit("")).otherwise(
-                       F.lit(',"refusal_correctness":5')),
-                   F.lit(',"completeness":"'),
-                   F.when(turn % 4 == 0, F.lit("unsure")).otherwise(F.lit("4")), F.lit('"}'))))
-    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("conv_id"), "quality",
-                                                   "toxic")
-    return (table(spark, folder, "conversations").filter("role = 'assistant'")
-            .join(labels, "conv_id", "left").select(
-                F.concat(F.lit("run-"), conv % 4).alias("run_id"),
-                F.date_add(F.lit(dt.date(2026, 1, 1)), (conv % 300).cast("int"))
-                .cast("timestamp_ntz").alias("run_at"),
-                F.concat(F.lit("Q"), F.lpad((conv % 12 + 1).cast("string"), 2, "0")).alias("qid"),
-                F.col("text").alias("answer_text"), tools.alias("tools_observed"),
-                cited.alias("citations_observed"),
-                F.length("text").cast("long").alias("latency_ms"),
-                F.lit("v1").alias("agent_version"), verdict.alias("judge_json")))
+    return _query(spark, folder, EVAL_RUNS)
 
 
 def centroids(spark: SparkSession, folder: str, width: int = 64) -> DataFrame:
     """Query vectors: the mean embedding of every label, one hash aggregate over the table."""
-    embedding = F.col("embedding")
-    return table(spark, folder, "embeddings").groupBy("label").agg(F.array(*[
-        F.avg(embedding[i].cast("double")) for i in range(width)]).alias("query_vector"))
+    means = ", ".join(f"avg(CAST(embedding[{i}] AS DOUBLE))" for i in range(width))
+    return _query(spark, folder, f"SELECT label, array({means}) AS query_vector "
+                                 "FROM {embeddings} GROUP BY label")

@@ -234,7 +234,7 @@ QUERIES: dict[str, Query] = {
     "risk_roster": _panel(questions.risk_roster),
     "active_medications": _panel(questions.active_medications),
     "recent_labs": _panel(questions.recent_labs),
-    "lab_pivot": _panel(lambda p: questions.lab_pivot(p, list(bindings.TEST_NAMES.values()))),
+    "lab_pivot": _panel(lambda p: questions.lab_pivot(p, bindings.TEST_NAMES)),
     "clinic_risk": _panel(questions.clinic_risk),
     "clinic_gaps": _panel(questions.clinic_gaps),
     "top_risk_at_clinic": _panel(questions.top_risk_at_clinic),

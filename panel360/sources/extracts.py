@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panel360.schemas import EXTRACTS
@@ -18,8 +17,9 @@ def read_extract(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
            .option("sep", ",").option("quote", '"').option("escape", '"')
            .option("nullValue", "").option("multiLine", False)
            .csv(path))
-    return raw.select([F.nullif(F.col(f.name), F.lit("NULL")).cast(f.dataType).alias(f.name)
-                       for f in schema.fields])
+    return raw.selectExpr(*[
+        f"CAST(nullif({f.name}, 'NULL') AS {f.dataType.simpleString()}) AS {f.name}"
+        for f in schema.fields])
 
 
 def read_extracts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -30,7 +30,9 @@ def read_extracts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project a table to its declared columns and types; a missing column is an error."""
-    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    present = set(df.columns)
+    missing = [f.name for f in schema.fields if f.name not in present]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df.selectExpr(*[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}"
+                           for f in schema.fields])
