@@ -97,11 +97,11 @@ def _section_pieces(section: Column, size: int, overlap: int) -> Column:
     step = size - overlap
     cuts = F.regexp_extract_all(
         section, F.lit(rf"(?s)(.{{1,{step - 1}}}(?:[ \n\t\r]|\z)|.{{1,{step}}})"), F.lit(1))
-    tails = rf"(?s)[ \n\t\r](.{{1,{overlap - 1}}})\z"
+    tail = r"(?s)[ \n\t\r](.+)\z"
     before = F.concat(F.array(F.lit("")), cuts)
     # `before` is one longer than `cuts`; its last pair has no piece and drops out as NULL.
     joined = F.zip_with(cuts, before, lambda piece, prior: F.concat(
-        F.regexp_extract(prior, tails, 1), piece))
+        F.regexp_extract(F.right(prior, F.lit(overlap)), tail, 1), piece))
     return F.when(F.length(section) <= size, F.array(section)).otherwise(joined)
 
 
