@@ -3,6 +3,8 @@ shuffles: each document is handled whole, in its own row."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +57,12 @@ def _evaluated_once(df: DataFrame, keep: list[str], columns: dict[str, Column])
     return df.select(*keep, F.inline(F.array(row)))
 
 
-def doc_metadata(raw: DataFrame, default_owner: str = DEFAULT_OWNER) -> DataFrame:
+def doc_metadata(raw: DataFrame, default_owner: str = DEFAULT_OWNER,
+                 keep: Sequence[str] = ()) -> DataFrame:
     """Header fields by pattern, then by the second rule set for documents that lack an id, a type
-    or a date, then by file name. `extraction_path` says whether the second set was consulted."""
-    text, source = F.col("doc_text"), ["file_name", "stage_path", "doc_text"]
+    or a date, then by file name. `extraction_path` says whether the second set was consulted.
+    `keep` names further columns of the input to hand on."""
+    text, source = F.col("doc_text"), ["file_name", "stage_path", "doc_text", *keep]
     header = {f"{name}_rx": regex_group(text, pattern)
               for name, pattern in HEADER_PATTERNS.items()}
     found = _evaluated_once(raw, source, header)
@@ -68,25 +72,25 @@ def doc_metadata(raw: DataFrame, default_owner: str = DEFAULT_OWNER) -> DataFram
     def second(pattern: str) -> Column:
         return F.when(F.col("_partial"), regex_group(text, pattern))
 
-    looser = {"title": F.coalesce("title_rx", second(LOOSE_TITLE)), "_id": second(LOOSE_ID),
-              "_owner": second(LOOSE_OWNER), "_date": second(LOOSE_DATE)}
-    filled = _evaluated_once(found.withColumn("_partial", partial),
-                             [*source, *header, "_partial"], looser)
+    titled = _evaluated_once(found.withColumn("_partial", partial),
+                             [*source, *header, "_partial"],
+                             {"title": F.coalesce("title_rx", second(LOOSE_TITLE))})
     by_name = F.when(F.col("file_name").ilike("discharge%"), DISCHARGE).otherwise(UNKNOWN_TYPE)
     by_title = F.when(F.col("_partial"), _title_type(F.col("title")))
-    return filled.select(
-        F.coalesce("doc_id_rx", "_id",
+    return titled.select(
+        F.coalesce("doc_id_rx", second(LOOSE_ID),
                    F.concat(F.lit("DS-"), F.coalesce("encounter_rx", "file_name"))).alias("doc_id"),
         "file_name", "stage_path", F.col("title").alias("doc_title"),
         F.coalesce("doc_type_rx", by_title, by_name).alias("doc_type"),
-        F.coalesce("owner_rx", "_owner", F.lit(default_owner)).alias("issuing_owner"),
-        F.try_to_date(F.coalesce("effective_rx", "_date"), "yyyy-MM-dd").alias("effective_date"),
+        F.coalesce("owner_rx", second(LOOSE_OWNER), F.lit(default_owner)).alias("issuing_owner"),
+        F.try_to_date(F.coalesce("effective_rx", second(LOOSE_DATE)), "yyyy-MM-dd")
+        .alias("effective_date"),
         F.col("patient_rx").alias("patient_id"), F.col("encounter_rx").alias("encounter_id"),
         F.when(F.col("patient_rx").isNotNull(), "PATIENT_SPECIFIC").otherwise("INSTITUTIONAL")
         .alias("scope"),
         F.length(text).alias("char_count"),
         F.when(F.col("_partial"), "REGEX+RULES").otherwise("REGEX").alias("extraction_path"),
-        "doc_text")
+        "doc_text", *keep)
 
 
 def _section_pieces(section: Column, size: int, overlap: int) -> Column:

@@ -78,9 +78,11 @@ def text_scores(corpus: DataFrame, queries: DataFrame, key: str, text: str,
         terms = F.broadcast(terms)
     hits = (found.join(terms, "term", "left_semi")
             .groupBy(key, *filters, *carry, "doc_length", "term").agg(F.count("*").alias("tf")))
-    n_docs = docs.select(F.count("*")).scalar()
-    mean_length = docs.select(F.avg("doc_length")).scalar()
-    doc_freq = hits.groupBy("term").agg(F.count("*").alias("_df"))
+    size = docs.select(F.struct(F.count("*").alias("docs"),
+                                F.avg("doc_length").alias("mean_length"))).scalar()
+    n_docs, mean_length = size["docs"], size["mean_length"]
+    # Counted over `tf` so that both uses of `hits` keep the same columns and share one shuffle.
+    doc_freq = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("_df"))
     df = F.col("_df")
     idf = F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
     if max_queries is not None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -28,52 +28,55 @@ class Panel:
     def as_of_time(self) -> dt.datetime:
         return dt.datetime.combine(self.as_of, dt.time())
 
-    def _kept(self, name: str) -> DataFrame | None:
-        return (self.stored or {}).get(name)
+    def _kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        kept = (self.stored or {}).get(name)
+        return make() if kept is None else kept
 
     @cached_property
     def dim_patient(self) -> DataFrame:
-        return self._kept("dim_patient") or conform.dim_patient(
-            self.extracts["patients"], self.extracts["members"], self.as_of)
+        return self._kept("dim_patient", lambda: conform.dim_patient(
+            self.extracts["patients"], self.extracts["members"], self.as_of))
 
     @cached_property
     def metadata(self) -> DataFrame:
-        return self._kept("doc_metadata") or docs.doc_metadata(self.documents)
+        return self._kept("doc_metadata", lambda: docs.doc_metadata(self.documents))
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return self._kept("doc_chunk") or docs.doc_chunks(self.metadata)
+        return self._kept("doc_chunk", lambda: docs.doc_chunks(self.metadata))
 
     @cached_property
     def signals(self) -> DataFrame:
-        return self._kept("doc_signal") or docs.safety_flags(docs.doc_signals(self.metadata))
+        return self._kept("doc_signal", lambda: docs.safety_flags(docs.doc_signals(self.metadata)))
 
     @cached_property
     def p360(self) -> DataFrame:
-        return self._kept("patient_360") or gold.patient_360(
+        return self._kept("patient_360", lambda: gold.patient_360(
             self.dim_patient,
             gold.Facts(self.extracts["encounters"], self.extracts["diagnoses"],
                        self.extracts["medications"], self.extracts["labs"],
                        self.extracts["claims"], self.signals),
-            self.as_of, self.los_basis, self.as_of_time)
+            self.as_of, self.los_basis, self.as_of_time))
 
     @cached_property
     def member_360(self) -> DataFrame:
-        return self._kept("member_360") or gold.member_360(
-            self.extracts["members"], self.extracts["claims"], self.as_of)
+        return self._kept("member_360", lambda: gold.member_360(
+            self.extracts["members"], self.extracts["claims"], self.as_of))
 
     @cached_property
     def risk(self) -> DataFrame:
-        return self._kept("risk_readmission") or risk.risk_score(self.p360, self.as_of_time)
+        return self._kept("risk_readmission", lambda: risk.risk_score(self.p360, self.as_of_time))
 
     @cached_property
     def gaps(self) -> DataFrame:
-        return self._kept("care_gap") or gaps.care_gaps(self.p360, self.as_of_time)
+        return self._kept("care_gap", lambda: gaps.care_gaps(self.p360, self.as_of_time))
 
     @cached_property
     def ledger(self) -> DataFrame:
         """One pass over the 360 when scores and gaps are not stored, else over the stored tables."""
-        if self._kept("risk_readmission") and self._kept("care_gap"):
+        if "evidence_ledger" in (self.stored or {}):
+            return self.stored["evidence_ledger"]
+        if {"risk_readmission", "care_gap"} <= set(self.stored or {}):
             return ledger.evidence_ledger(self.chunks, self.risk, self.gaps,
                                           self.extracts["claims"])
         return ledger.evidence_ledger_from_360(self.chunks, self.p360, self.extracts["claims"],
@@ -81,8 +84,8 @@ class Panel:
 
     @cached_property
     def dq_checks(self) -> DataFrame:
-        return self._kept("dq_checks") or quality.dq_checks(
-            self.dim_patient, self.extracts["encounters"], self.extracts["claims"])
+        return self._kept("dq_checks", lambda: quality.dq_checks(
+            self.dim_patient, self.extracts["encounters"], self.extracts["claims"]))
 
     @property
     def semantic_tables(self) -> dict[str, DataFrame]:

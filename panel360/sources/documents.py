@@ -17,7 +17,7 @@ def _named(raw: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """Whole-file scan: file_name, stage_path, doc_text."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern)
     return _named(raw).drop("modified_at")
 
 
