@@ -59,10 +59,10 @@ def text_scores(corpus: DataFrame, queries: DataFrame, key: str, text: str,
     `filters` name columns present on both sides; a document is scored only where they are equal.
     `carry` names columns of the document to keep.
 
-    Only occurrences of query terms are kept after the scan, and they are counted per document
-    before they are shuffled. With `max_queries` the query side is checked against that bound and
-    broadcast. Without it the two sides meet on (term, filters), or on (term, salt) where there is
-    no filter, so that a term found in most documents is spread over all salts.
+    Occurrences are counted per document before they are shuffled. With `max_queries` the query
+    side is checked against that bound and broadcast, and only query terms leave the scan. Without
+    it nothing is moved by term alone: the counts meet the queries on (term, filters), or on (term,
+    salt) where there is no filter, so that a term found in most documents is spread over all salts.
     """
     if max_queries is not None:
         queries = _bounded(queries, max_queries)
@@ -73,11 +73,10 @@ def text_scores(corpus: DataFrame, queries: DataFrame, key: str, text: str,
     docs = corpus.select(key, *filters, *carry, tokens(F.col(text)).alias("_terms"))
     docs = docs.withColumn("doc_length", F.size("_terms"))
     found = docs.select(key, *filters, *carry, "doc_length", F.explode("_terms").alias("term"))
-    terms = wanted.select("term").distinct()
     if max_queries is not None:
-        terms = F.broadcast(terms)
-    hits = (found.join(terms, "term", "left_semi")
-            .groupBy(key, *filters, *carry, "doc_length", "term").agg(F.count("*").alias("tf")))
+        found = found.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    hits = (found.groupBy(key, *filters, *carry, "doc_length", "term")
+            .agg(F.count("*").alias("tf")))
     size = docs.select(F.struct(F.count("*").alias("docs"),
                                 F.avg("doc_length").alias("mean_length"))).scalar()
     n_docs, mean_length = size["docs"], size["mean_length"]
