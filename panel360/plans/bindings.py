@@ -85,7 +85,8 @@ FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(18,2)) AS allowed,
              CAST(l_quantity AS DECIMAL(18,2)) AS liability FROM {lineitem})
 JOIN {orders} ON l_orderkey = o_orderkey"""
 
-# Thinned to one line in four orders, or everyone would reach the comorbidity cap.
+# Every line is a diagnosis; the first line of one order in four is an active one, or everyone would
+# reach the comorbidity cap.
 DIAGNOSES = """
 SELECT concat('SYN-P', o_custkey) AS patient_id,
        CASE p_type WHEN 'ECONOMY' THEN 'I50.9' WHEN 'LARGE' THEN 'E11.9' WHEN 'MEDIUM' THEN 'N18.4'
@@ -93,10 +94,11 @@ SELECT concat('SYN-P', o_custkey) AS patient_id,
          AS icd10_code,
        p_name AS diagnosis_description, CAST(o_orderdate AS DATE) AS onset_date,
        p_size % 3 AS charlson_weight, CAST(p_size % 3 > 0 AS INT) AS hcc_flag,
-       CASE WHEN l_linestatus = 'O' THEN 'active' ELSE 'resolved' END AS clinical_status
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey
-WHERE l_linenumber = 1 AND l_orderkey % 4 = 0"""
+       CASE WHEN l_linestatus = 'O' AND l_linenumber = 1 AND l_orderkey % 4 = 0 THEN 'active'
+            ELSE 'resolved' END AS clinical_status
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey"""
 
+# Every line is a medication; the second line of one order in three may still be taken.
 MEDICATIONS = """
 SELECT concat('SYN-P', o_custkey) AS patient_id, concat('RX-', l_partkey) AS rx_id,
        p_name AS medication_name,
@@ -106,9 +108,8 @@ SELECT concat('SYN-P', o_custkey) AS patient_id, concat('RX-', l_partkey) AS rx_
        CAST(l_shipdate AS DATE) AS start_date,
        CAST(l_partkey % 3 * 30 + 30 AS INT) AS days_supply, CAST(l_suppkey % 6 AS INT) AS refills,
        CAST(35 + l_partkey % 66 AS DECIMAL(6,2)) / 100 AS adherence_pdc,
-       CAST(l_returnflag <> 'R' AS INT) AS active_flag
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey
-WHERE l_linenumber = 2 AND l_orderkey % 3 = 0"""
+       CAST(l_returnflag <> 'R' AND l_linenumber = 2 AND l_orderkey % 3 = 0 AS INT) AS active_flag
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey"""
 
 LABS = """
 SELECT concat('SYN-P', user_id) AS patient_id,
