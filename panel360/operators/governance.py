@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,17 +57,28 @@ def mask_clinical_text(value: Column, role: str) -> Column:
     return value if role in (*FULL_ACCESS, CARE_MGR) else F.lit(WITHHELD)
 
 
+def mask_explanation(value: Column, role: str) -> Column:
+    """Full for care roles; for anyone else the arithmetic without the barrier's wording, which ends
+    an explanation, before the closing bracket and, in the ledger, the methodology."""
+    if role in (*FULL_ACCESS, CARE_MGR):
+        return value
+    return F.regexp_replace(value, r"(?s)(documented barrier: ).*(\) \| Methodology: .*|\))$",
+                            "$1withheld$2")
+
+
 MASKS = {"name": mask_name, "dob": mask_dob, "postal": mask_postal,
-         "clinical_text": mask_clinical_text}
+         "clinical_text": mask_clinical_text, "explanation": mask_explanation}
 
 
 @dataclass(frozen=True)
 class Tag:
-    """Sensitivity of a column, the mask bound to it, and a condition on the rows it applies to."""
+    """Sensitivity of a column, the mask bound to it, a condition on the rows it applies to, and the
+    mask of the other rows."""
 
     sensitivity: str
     mask: str | None = None
     when: str | None = None
+    otherwise: str | None = None
 
 
 # Columns of the published tables that carry a tag.
@@ -82,8 +93,11 @@ TAGS: Mapping[str, Tag] = {
     "doc_text": Tag("CLINICAL", "clinical_text"),
     "chunk_text": Tag("CLINICAL", "clinical_text"),
     "adverse_event": Tag("CLINICAL", "clinical_text"),
+    "documented_adverse_event": Tag("CLINICAL", "clinical_text"),
     "barrier_to_care": Tag("CLINICAL", "clinical_text"),
-    "evidence_text": Tag("CLINICAL", "clinical_text", "evidence_class = 'DOCUMENT'")}
+    "score_explanation": Tag("CLINICAL", "explanation"),
+    "term": Tag("CLINICAL", "clinical_text"),
+    "evidence_text": Tag("CLINICAL", "clinical_text", "evidence_class = 'DOCUMENT'", "explanation")}
 
 
 def tag_columns(df: DataFrame, tags: Mapping[str, Tag] = TAGS) -> DataFrame:
@@ -98,7 +112,8 @@ def tag_columns(df: DataFrame, tags: Mapping[str, Tag] = TAGS) -> DataFrame:
         if tag.sensitivity not in SENSITIVITY:
             raise ValueError(f"unknown sensitivity {tag.sensitivity!r}")
         metadata = {"sensitivity": tag.sensitivity}
-        metadata |= {k: v for k, v in (("mask", tag.mask), ("mask_when", tag.when)) if v}
+        metadata |= {k: v for k, v in (("mask", tag.mask), ("mask_when", tag.when),
+                                        ("mask_otherwise", tag.otherwise)) if v}
         marked.append(F.col(name).alias(name, metadata=metadata))
     return df.select(marked)
 
@@ -128,19 +143,67 @@ def secure_view(df: DataFrame, role: str, entitlement: DataFrame,
     elif "patient_id" in order and role not in ALL_ROWS:
         if patients is None:
             raise ValueError("a table without a clinic column needs `patients`")
-        visible = row_access(patients.select("patient_id", "attributed_clinic"), role,
-                             entitlement).select("patient_id", F.lit(True).alias("_visible"))
-        rows = (df.join(visible, "patient_id", "left")
-                .filter(F.col("_visible") | F.col("patient_id").isNull()))
+        visible = row_access(patients.select("patient_id", "attributed_clinic"), role, entitlement)
+        of_patients = df.filter("patient_id IS NOT NULL").join(
+            visible.select("patient_id"), "patient_id", "left_semi")
+        # Rows without a patient pass by the join, which would send them all to one task.
+        rows = of_patients.select(*order).unionByName(df.filter("patient_id IS NULL"))
     else:
         rows = df
+    return rows.select([_shown(field, role) for field in df.schema.fields])
+
+
+def _shown(field: T.StructField, role: str) -> Column:
+    """A column as `role` sees it."""
+    column, tag = F.col(field.name), field.metadata
+    if not tag.get("mask"):
+        return column
+    masked = MASKS[tag["mask"]](column, role)
+    if tag.get("mask_when") and role not in FULL_ACCESS:
+        other = MASKS[tag["mask_otherwise"]](column, role) if tag.get("mask_otherwise") else column
+        masked = F.when(F.expr(tag["mask_when"]), masked).otherwise(other)
+    return masked.alias(field.name, metadata=tag)
+
+
+def secure_by_role(df: DataFrame, entitlement: DataFrame, patients: DataFrame | None = None,
+                   roles: Sequence[str] = ROLES) -> DataFrame:
+    """What each of `roles` sees of a tagged table, with the role in `role`. The table is built once:
+    each row meets its clinic once and is then repeated for the roles that may see it."""
+    order = df.columns
+    of_patients, others = df, None
+    if "attributed_clinic" not in order and "patient_id" in order:
+        if patients is None:
+            raise ValueError("a table without a clinic column needs `patients`")
+        others = df.filter("patient_id IS NULL").withColumn("_clinic", F.lit(None).cast("string"))
+        of_patients = df.filter("patient_id IS NOT NULL").join(
+            patients.select("patient_id", F.col("attributed_clinic").alias("_clinic"),
+                            F.lit(True).alias("_known")), "patient_id", "left")
+    elif "attributed_clinic" in order:
+        of_patients = df.withColumns({"_clinic": F.col("attributed_clinic"), "_known": F.lit(True)})
+    else:
+        others = df.withColumn("_clinic", F.lit(None).cast("string"))
+        of_patients = None
+    every = F.explode(F.array(*map(F.lit, roles))).alias("role")
+    parts = []
+    if of_patients is not None:
+        granted = entitlement.select(F.col("role_name").alias("role"),
+                                     F.col("attributed_clinic").alias("_clinic"),
+                                     F.lit(True).alias("_granted")).distinct()
+        repeated = of_patients.select(*order, "_clinic", "_known", every)
+        # ALL_ROWS roles see every row; the others those of a granted clinic.
+        parts.append(repeated.join(granted, ["role", "_clinic"], "left").filter(
+            F.col("role").isin(*ALL_ROWS) | (F.col("_granted") & F.col("_known"))))
+    if others is not None:
+        parts.append(others.select(*order, every))
+    rows = parts[0].select(*order, "role")
+    for more in parts[1:]:
+        rows = rows.unionByName(more.select(*order, "role"))
     shown = []
     for field in df.schema.fields:
-        column, tag = F.col(field.name), field.metadata
-        if tag.get("mask"):
-            masked = MASKS[tag["mask"]](column, role)
-            if tag.get("mask_when") and role not in FULL_ACCESS:
-                masked = F.when(F.expr(tag["mask_when"]), masked).otherwise(column)
-            column = masked.alias(field.name, metadata=tag)
+        column = F.col(field.name)
+        if field.metadata.get("mask"):
+            for role in roles:
+                column = F.when(F.col("role") == role, _shown(field, role)).otherwise(column)
+            column = column.alias(field.name, metadata=field.metadata)
         shown.append(column)
-    return rows.select(shown)
+    return rows.select(*shown, "role")

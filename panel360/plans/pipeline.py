@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from panel360.operators import quality
-from panel360.operators.governance import tag_columns
+from panel360.operators.governance import secure_view, tag_columns
 from panel360.plans.panel import Panel
 from panel360.schemas import EXTRACTS
 from panel360.sources import conform, read_documents, read_extracts, read_table, write_table
@@ -29,7 +29,7 @@ LAYERS = ((("dim_patient", "dim_patient", ()), ("metadata", "doc_metadata", ()))
 def _store(spark: SparkSession, df: DataFrame, path: str, by: tuple[str, ...]) -> DataFrame:
     tagged = tag_columns(df)
     write_table(tagged, path, by)
-    return tag_columns(read_table(spark, path).select(*df.columns))
+    return tag_columns(read_table(spark, path, df.schema).select(*df.columns))
 
 
 def build(spark: SparkSession, panel: Panel, out: str, gate: bool = True) -> Panel:
@@ -41,7 +41,7 @@ def build(spark: SparkSession, panel: Panel, out: str, gate: bool = True) -> Pan
     for name in EXTRACTS:
         rows = conform(panel.extracts[name], EXTRACTS[name])
         write_table(rows, f"{out}/fact_{name}")
-        facts[name] = read_table(spark, f"{out}/fact_{name}")
+        facts[name] = read_table(spark, f"{out}/fact_{name}", rows.schema)
     for layer in LAYERS:
         current = Panel(facts, panel.documents, panel.as_of, dict(stored), panel.los_basis)
         for attribute, name, by in layer:
@@ -56,3 +56,15 @@ def build_from_files(spark: SparkSession, structured: str, documents: str, out:
     """The build from a folder of CSV extracts and a folder of markdown documents."""
     panel = Panel(read_extracts(spark, structured), read_documents(spark, documents), as_of)
     return build(spark, panel, out, gate)
+
+
+def secure_panel(built: Panel, role: str, entitlement: DataFrame) -> Panel:
+    """What `role` sees of every published table of a build."""
+    people = built.dim_patient
+
+    def view(df: DataFrame) -> DataFrame:
+        return secure_view(tag_columns(df), role, entitlement, people)
+
+    return Panel({name: view(df) for name, df in built.extracts.items()},
+                 view(built.documents), built.as_of,
+                 {name: view(df) for name, df in (built.stored or {}).items()}, built.los_basis)

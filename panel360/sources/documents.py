@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from panel360.functions import html_to_text, regex_group
 
+NO_AGE_LIMIT = "36500d"
+
 
 def _named(raw: DataFrame) -> DataFrame:
     path = F.col("_metadata.file_path")
@@ -22,9 +24,10 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> D
 
 
 def stream_documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
-    """The same scan over files as they arrive, with the file time as `modified_at`."""
+    """The same scan over files as they arrive, with the file time as `modified_at`. No file is too old
+    to be taken: by default the source passes over those a week older than the newest."""
     raw = (spark.readStream.format("text").option("wholetext", True)
-           .option("pathGlobFilter", pattern).load(folder))
+           .option("maxFileAge", NO_AGE_LIMIT).option("pathGlobFilter", pattern).load(folder))
     return _named(raw)
 
 

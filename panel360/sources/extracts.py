@@ -8,14 +8,16 @@ from pyspark.sql import types as T
 from panel360.schemas import EXTRACTS
 
 
-def read_extract(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One extract. Columns are read as text so that the word NULL is null in every type, then
+def read_extract(spark: SparkSession, path: str, schema: T.StructType,
+                 line_breaks: bool = True) -> DataFrame:
+    """One extract. Quoted values may hold line breaks, for which each file is one task; a large
+    file that is known to have none is split with `line_breaks=False`. Columns are read as text so that the word NULL is null in every type, then
     cast under ANSI rules, so a value that does not fit its type fails the load."""
     text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
     raw = (spark.read.schema(text)
            .option("header", True).option("enforceSchema", True).option("mode", "FAILFAST")
            .option("sep", ",").option("quote", '"').option("escape", '"')
-           .option("nullValue", "").option("multiLine", False)
+           .option("nullValue", "").option("multiLine", line_breaks)
            .csv(path))
     return raw.selectExpr(*[
         f"CAST(nullif({f.name}, 'NULL') AS {f.dataType.simpleString()}) AS {f.name}"

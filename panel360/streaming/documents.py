@@ -1,12 +1,15 @@
 """Documents extracted once each, as they arrive, into metadata, chunk, signal and index tables.
 
 Every micro-batch owns one partition of each table and replaces it as a whole, so a batch that runs
-again after a failure leaves the same rows, not twice as many.
+again after a failure leaves the same rows, not twice as many. Every delivered file is kept, however
+old its time stamp; a reader sees the newest version of each document id. The file source takes a
+path once, so a revision must come under a new file name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from panel360.operators import docs, search
@@ -15,12 +18,11 @@ from panel360.sources.documents import stream_documents
 TABLES = ("doc_metadata", "doc_chunk", "doc_signal", "postings")
 
 
-def new_documents(files: DataFrame, late: str = "7 days") -> DataFrame:
-    """Metadata of documents not seen before. A document id delivered again under another file name
-    within `late` of the first is dropped; state older than that is released."""
-    metadata = docs.doc_metadata(files, keep=("modified_at",))
-    return (metadata.withWatermark("modified_at", late)
-            .dropDuplicatesWithinWatermark(["doc_id"]))
+def _newest(metadata: DataFrame, *ties: str) -> DataFrame:
+    """One row per document id: the latest file time, of equals the last by `ties`."""
+    columns = [c for c in metadata.columns if c != "doc_id"]
+    return metadata.groupBy("doc_id").agg(F.max_by(
+        F.struct(*columns), F.struct("modified_at", *ties)).alias("_row")).select("doc_id", "_row.*")
 
 
 def ingest_documents(spark: SparkSession, folder: str, out: str, checkpoint: str,
@@ -33,24 +35,40 @@ def ingest_documents(spark: SparkSession, folder: str, out: str, checkpoint: str
         def part(table: str) -> str:
             return f"{out}/{table}/batch={batch_id}"
 
-        batch.write.mode("overwrite").parquet(part("doc_metadata"))
-        metadata = spark.read.schema(batch.schema).parquet(part("doc_metadata"))
+        # Of several versions in one batch the newest; between batches the reader decides.
+        newest = _newest(batch, "file_name")
+        newest.write.mode("overwrite").parquet(part("doc_metadata"))
+        metadata = spark.read.schema(newest.schema).parquet(part("doc_metadata"))
         chunks = docs.doc_chunks(metadata)
         chunks.write.mode("overwrite").parquet(part("doc_chunk"))
         docs.safety_flags(docs.doc_signals(metadata)).write.mode("overwrite").parquet(
             part("doc_signal"))
         stored = spark.read.schema(chunks.schema).parquet(part("doc_chunk"))
-        search.postings(stored, "citation_label", "chunk_text", ("scope", "patient_id")).write.mode(
+        search.postings(stored, "citation_label", "chunk_text", search.INDEX_ATTRIBUTES).write.mode(
             "overwrite").parquet(part("postings"))
 
-    writer = (new_documents(stream_documents(spark, folder, pattern)).writeStream
-              .foreachBatch(write).option("checkpointLocation", checkpoint))
+    files = docs.doc_metadata(stream_documents(spark, folder, pattern), keep=("modified_at",))
+    writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     timed = writer.trigger(availableNow=True) if every is None else writer.trigger(
         processingTime=every)
     return timed.start()
 
 
 def read_ingested(spark: SparkSession, out: str, table: str) -> DataFrame:
+    """The rows of the newest version of every document."""
     if table not in TABLES:
         raise ValueError(f"unknown table {table!r}")
-    return spark.read.parquet(f"{out}/{table}")
+    versions = _newest(spark.read.parquet(f"{out}/doc_metadata"), "batch")
+    if table == "doc_metadata":
+        return versions
+    rows = spark.read.parquet(f"{out}/{table}")
+    return rows.join(versions.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").select(
+        rows.columns)
+
+
+def compact(spark: SparkSession, out: str, target: str) -> None:
+    """Write the newest versions to the tables of a new folder, each row under its own batch number in
+    as few files as its batches need; the intake may go on there."""
+    for table in TABLES:
+        read_ingested(spark, out, table).repartition("batch").write.partitionBy("batch").parquet(
+            f"{target}/{table}")

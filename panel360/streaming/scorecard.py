@@ -6,27 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from panel360.operators.audit import scorecard_daily
+from panel360.operators.audit import grounding_scorecard
 
 
-def start_scorecard(answers: DataFrame, out: str, checkpoint: str, late: str = "1 day",
+def start_scorecard(answers: DataFrame, out: str, checkpoint: str,
                     every: str | None = None) -> StreamingQuery:
-    """Keep the daily scorecard of a stream of logged answers. A batch writes the days it changed
-    into its own partition, which it replaces when it runs again."""
+    """Keep the daily scorecard of a stream of logged answers. A batch adds its rows to the log, a
+    folder per day, and counts the days it touched anew from the whole log, so a row counts
+    however late it comes. A batch that runs again replaces what it wrote."""
+    schema = answers.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    writer = (scorecard_daily(answers, late).writeStream.outputMode("update")
-              .foreachBatch(write).option("checkpointLocation", checkpoint))
+        dated = batch.withColumn("day", F.to_date("asked_at"))
+        dated.write.mode("overwrite").partitionBy("day").parquet(f"{out}/log/batch={batch_id}")
+        log = spark.read.schema(f"{_ddl(schema)}, batch BIGINT, day DATE").parquet(f"{out}/log")
+        new = spark.read.schema(f"{_ddl(schema)}, day DATE").parquet(f"{out}/log/batch={batch_id}")
+        touched = new.select("day").distinct()
+        rows = log.filter(F.col("batch") <= batch_id).join(touched, "day", "left_semi")
+        grounding_scorecard(rows).write.mode("overwrite").parquet(f"{out}/days/batch={batch_id}")
+
+    spark = answers.sparkSession
+    writer = answers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     timed = writer.trigger(availableNow=True) if every is None else writer.trigger(
         processingTime=every)
     return timed.start()
 
 
+def _ddl(schema) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
 def read_scorecard(spark: SparkSession, out: str) -> DataFrame:
     """The newest version of every day and role."""
-    rows = spark.read.parquet(out)
+    rows = spark.read.parquet(f"{out}/days")
     values = [c for c in rows.columns if c not in ("day", "asked_role", "batch")]
     newest = rows.groupBy("day", "asked_role").agg(
         F.max_by(F.struct(*values), "batch").alias("_newest"))

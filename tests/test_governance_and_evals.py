@@ -6,6 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from panel360.operators import audit, evals, governance as gov, quality
+from panel360.operators.conform import dim_patient
+from panel360.schemas import EXTRACTS
+
+PATIENTS, MEMBERS = EXTRACTS["patients"], EXTRACTS["members"]
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +52,61 @@ def test_tables_without_a_clinic_follow_the_patient(spark, people):
         gov.secure_view(ledger, gov.CLINICIAN, granted)
 
 
+def test_narrative_inside_other_texts_is_masked(spark):
+    score = "LACE 9 = L4. Local modifiers +1 (documented barrier: lives alone (no ramp)\nfar | off)"
+    method = " | Methodology: LACE index (CMAJ 2010). Additive."
+    rows = gov.tag_columns(spark.createDataFrame(
+        [("STRUCTURED", score + method, score, "fell", "fell")],
+        "evidence_class string, evidence_text string, score_explanation string, "
+        "documented_adverse_event string, term string"))
+    granted = gov.entitlement_table(spark)
+    seen = gov.secure_view(rows, gov.ANALYST, granted).first()
+    plain = "LACE 9 = L4. Local modifiers +1 (documented barrier: withheld)"
+    assert (seen.score_explanation, seen.evidence_text) == (plain, plain + method)
+    assert seen.documented_adverse_event == seen.term == gov.WITHHELD
+    full = gov.secure_view(rows, gov.CARE_MGR, granted).first()
+    assert full.score_explanation == score and full.evidence_text == score + method
+
+
+def test_all_roles_at_once_equal_one_role_each(spark, people):
+    granted = gov.entitlement_table(spark)
+    ledger = gov.tag_columns(spark.createDataFrame(
+        [("DOCUMENT", "P1", "story"), ("STRUCTURED", "P2", "claim"), ("DOCUMENT", "P3", "other"),
+         ("DOCUMENT", None, "policy"), ("DOCUMENT", "P9", "unknown patient")],
+        "evidence_class string, patient_id string, evidence_text string"))
+    plain = gov.tag_columns(spark.createDataFrame([("a term",)], "term string"))
+    for df in (gov.tag_columns(people), ledger, plain):
+        together = gov.secure_by_role(df, granted, people).collect()
+        for role in gov.ROLES:
+            one = gov.secure_view(df, role, granted, people).collect()
+            assert sorted(map(repr, ([*r][:-1] for r in together if r.role == role))) == sorted(
+                map(repr, map(list, one)))
+
+
+def _union(node):
+    if node.nodeName() == "Union":
+        return [node.children().apply(i) for i in range(node.children().size())]
+    below = (node.children().apply(i) for i in range(node.children().size()))
+    return next((found for child in below if (found := _union(child))), None)
+
+
+def test_rows_without_key_pass_no_join(spark, people, make, tmp_path):
+    rows = spark.range(10).selectExpr("if(id = 3, 'P1', NULL) AS patient_id", "id")
+    rows.write.parquet(str(tmp_path / "ledger"))
+    hidden = gov.secure_view(spark.read.parquet(str(tmp_path / "ledger")), gov.CLINICIAN,
+                             gov.entitlement_table(spark), people)
+    make(PATIENTS, {"patient_id": "P1"}, {"patient_id": "P2", "member_id": "M1"}).write.parquet(
+        str(tmp_path / "patients"))
+    dim = dim_patient(spark.read.parquet(str(tmp_path / "patients")),
+                      make(MEMBERS, {"member_id": "M1", "payer_name": "Y"}), dt.date(2026, 1, 1))
+    for df in (hidden, dim):
+        parts = [p.toString() for p in _union(df._jdf.queryExecution().optimizedPlan())]
+        without = [p for p in parts if "isnull(" in p]
+        assert len(parts) == 2 and len(without) == 1 and "Join" not in without[0]
+    assert hidden.count() == 10
+    assert {(r.patient_id, r.payer_name) for r in dim.collect()} == {("P1", None), ("P2", "Y")}
+
+
 def test_tags_survive_parquet_and_hidden_columns_are_not_read(spark, people, tmp_path):
     path = str(tmp_path / "people")
     gov.tag_columns(people).write.parquet(path)

@@ -7,11 +7,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from panel360 import schemas
-from panel360.operators import docs, quality
+from panel360.operators import docs, governance, quality
 from panel360.operators.audit import grounding_scorecard
 from panel360.plans import pipeline
 from panel360.plans.panel import Panel
-from panel360.streaming import ingest_documents, read_ingested, read_scorecard, start_scorecard
+from panel360.sources import read_table, write_table
+from panel360.streaming import (
+    compact,
+    ingest_documents,
+    read_ingested,
+    read_scorecard,
+    start_scorecard,
+)
 from test_documents import NOTE, POLICY
 
 
@@ -46,7 +53,57 @@ def test_documents_are_extracted_once(spark, tmp_path):
         read_ingested(spark, out, "nothing")
 
 
-def test_live_scorecard_equals_batch_and_drops_late_rows(spark, tmp_path):
+def test_old_files_and_revisions_count(spark, tmp_path):
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    day, now = 86_400, 1_700_000_000
+
+    def note(course, encounter="E0A1"):
+        return NOTE.format(course=course, barrier="cost", safety="s").replace("E0A1", encounter)
+
+    def run():
+        ingest_documents(spark, str(folder), out, state, every=None).awaitTermination(60)
+
+    put(folder, "p.md", POLICY, now)
+    put(folder, "discharge_1.md", note("first"), now)
+    run()
+    put(folder, "old.md", note("thirty days old", "E0B2"), now - 30 * day)
+    put(folder, "discharge_1_v2.md", note("revised"), now + 5)
+    put(folder, "discharge_1_v3.md", note("revised again"), now + 9)
+    run()
+    put(folder, "discharge_1_v0.md", note("an older version, delivered late"), now - 40 * day)
+    run()
+    current = [("p.md", POLICY), ("old.md", note("thirty days old", "E0B2")),
+               ("discharge_1_v3.md", note("revised again"))]
+    batch = docs.doc_metadata(spark.createDataFrame(
+        [(n, n, t) for n, t in current], "file_name string, stage_path string, doc_text string"))
+    for table, made, by in (("doc_metadata", batch, ("doc_id", "file_name", "doc_text")),
+                            ("doc_chunk", docs.doc_chunks(batch), ("citation_label", "chunk_text"))):
+        want = sorted(tuple(r) for r in made.select(*by).collect())
+        assert sorted(tuple(r) for r in read_ingested(spark, out, table).select(*by).collect()) == want
+    words = {r.term for r in read_ingested(spark, out, "postings").collect()}
+    assert "thirty" in words and "again" in words and "delivered" not in words
+    target = str(tmp_path / "compacted")
+    compact(spark, out, target)
+    for table in ("doc_chunk", "doc_signal", "postings"):
+        names = read_ingested(spark, out, table).columns
+        one, two = (sorted(map(repr, read_ingested(spark, o, table).select(names).collect()))
+                    for o in (out, target))
+        assert one == two
+
+
+@pytest.mark.parametrize("clinics", [("007", "012"), ("2026-01-01", "7e3")])
+def test_partition_columns_keep_their_type(spark, tmp_path, clinics):
+    df = spark.createDataFrame([("P1", clinics[0]), ("P2", clinics[1])],
+                               "patient_id string, attributed_clinic string")
+    write_table(df, str(tmp_path / "t"), ("attributed_clinic",))
+    back = read_table(spark, str(tmp_path / "t"), df.schema)
+    granted = governance.entitlement_table(spark, [("CLINICIAN", clinics[0])])
+    assert [tuple(r) for r in governance.row_access(back, "CLINICIAN", granted).select(
+        "patient_id", "attributed_clinic").collect()] == [("P1", clinics[0])]
+
+
+def test_live_scorecard_equals_batch_with_late_rows(spark, tmp_path):
     ddl = ("asked_at timestamp, asked_role string, grounded boolean, citations array<string>, "
            "latency_ms long")
     folder, out = str(tmp_path / "log"), str(tmp_path / "card")
@@ -64,7 +121,7 @@ def test_live_scorecard_equals_batch_and_drops_late_rows(spark, tmp_path):
         stream = spark.readStream.schema(ddl).parquet(folder)
         start_scorecard(stream, out, str(tmp_path / "state")).awaitTermination(60)
     live = sorted(tuple(r) for r in read_scorecard(spark, out).collect())
-    batch = grounding_scorecard(first.union(second))
+    batch = grounding_scorecard(first.union(second).union(late))
     assert live == sorted(tuple(r) for r in batch.select(
         *read_scorecard(spark, out).columns).collect())
 
@@ -87,7 +144,8 @@ def test_build_from_files(spark, tmp_path):
     csv(structured, "diagnoses", "SYN-P00042,I50.9,CHF,2020-01-01,2,1,active")
     for empty in ("medications", "labs", "ed_visits"):
         csv(structured, empty)
-    (documents / "discharge_1.md").write_text(NOTE.format(course="c", barrier="cost", safety="s"))
+    (documents / "discharge_1.md").write_text(NOTE.format(
+        course="secret course", barrier="secret barrier", safety="secret fall after a dose"))
     (documents / "p.md").write_text(POLICY)
     as_of, out = dt.date(2026, 9, 1), str(tmp_path / "out")
     built = pipeline.build_from_files(spark, str(structured), str(documents), out, as_of)
@@ -104,6 +162,14 @@ def test_build_from_files(spark, tmp_path):
     clinic = built.p360.filter(F.col("attributed_clinic") == "FVMG-NORTH")
     assert "PartitionFilters: [isnotnull(attributed_clinic" in (
         clinic._jdf.queryExecution().executedPlan().toString())
+    granted = governance.entitlement_table(spark, [("CLINICIAN", "FVMG-NORTH")])
+    for role, rows in (("ANALYST", 1), ("CLINICIAN", 1), ("CARE_MGR", 0)):
+        seen = pipeline.secure_panel(built, role, granted)
+        assert seen.p360.count() == seen.risk.count() == rows
+        tables = {**seen.stored, **seen.extracts}
+        text = "\n".join(repr(r) for df in tables.values() for r in df.collect())
+        leaks = [line for line in text.lower().split("\n") if "secret" in line]
+        assert bool(leaks) == (role == "CLINICIAN"), (role, leaks)
     csv(structured, "claims", "C1,SYN-E9,M1,SYN-P00042,FACILITY,2026-08-01,9,-5,4,1,PAID,,")
     with pytest.raises(quality.GateFailed, match="negative_allowed_amount: 1"):
         pipeline.build_from_files(spark, str(structured), str(documents), out, as_of)
