@@ -4,7 +4,6 @@ from panel360.functions.scalar import (
     as_ntz,
     div0,
     initcap_punct,
-    least_strict,
     month_boundaries,
     regex_group,
     to_int_rounded,
@@ -12,5 +11,5 @@ from panel360.functions.scalar import (
 )
 from panel360.functions.text import html_to_text, tokens
 
-__all__ = ["as_ntz", "div0", "html_to_text", "initcap_punct", "least_strict", "month_boundaries",
+__all__ = ["as_ntz", "div0", "html_to_text", "initcap_punct", "month_boundaries",
            "regex_group", "to_int_rounded", "tokens", "year_boundaries"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,12 +19,6 @@ def div0(numerator: Column, denominator: Column) -> Column:
         d == 0, F.lit(0.0)).otherwise(F.try_divide(n, d))
 
 
-def least_strict(*cols: Column) -> Column:
-    """Smallest argument, NULL if any argument is NULL (Spark's `least` skips NULLs)."""
-    any_null = reduce(lambda a, b: a | b, [c.isNull() for c in cols])
-    return F.when(~any_null, F.least(*cols))
-
-
 def year_boundaries(start: Column, end: Column) -> Column:
     """Number of 1 Januaries crossed, not completed years."""
     return F.year(end) - F.year(start)

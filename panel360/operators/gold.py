@@ -37,9 +37,9 @@ def patient_360(dim: DataFrame, facts: Facts, as_of: dt.date, los_basis: str = "
                 built_at: dt.datetime | None = None) -> DataFrame:
     """Patients left-joined to seven rollups of one row per patient each.
 
-    Each rollup is already hash-partitioned on patient_id by its own aggregation, so the joins add
-    no shuffle beyond one for the dimension, and a join whose columns a caller does not use is
-    dropped by the optimizer because the rollup side is unique. `los_basis` chooses the stay length
+    Each rollup is already partitioned on patient_id by its own aggregation, so the joins add no
+    shuffle beyond one for the dimension, and a join whose columns a caller does not use is dropped by
+    the optimizer because the rollup side is unique. `los_basis` chooses the stay length
     scored later: "max" over all stays, or "index_stay" for the last one.
     """
     if los_basis not in ("max", "index_stay"):

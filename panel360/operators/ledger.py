@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from panel360.operators.gaps import gap_array
 from panel360.operators.risk import METHODOLOGY, explanation, points
 
-TEXT_CLIP = 1200
 PACK_LIMIT = 120
 # Source names and labels of the structured evidence.
 RISK_SOURCE, GAP_SOURCE, CLAIM_SOURCE = ("GOLD.RISK_READMISSION", "GOLD.CARE_GAP",
@@ -19,14 +18,13 @@ COLUMNS = ("evidence_class", "source_id", "locator", "patient_id", "source_type"
            "evidence_text", "as_of_date")
 
 
-def _document_rows(chunks: DataFrame) -> DataFrame:
-    """Chunk text is clipped like the other evidence texts; chunks of the default size are below
-    the clip, so nothing is lost."""
+def _document_rows(chunks: DataFrame, clip: int | None) -> DataFrame:
+    text = F.col("chunk_text") if clip is None else F.left("chunk_text", F.lit(clip))
     return chunks.select(
         F.lit("DOCUMENT").alias("evidence_class"), F.col("doc_id").alias("source_id"),
         F.col("citation_label").alias("locator"), "patient_id",
         F.col("doc_type").alias("source_type"), F.col("section_heading").alias("context"),
-        F.left("chunk_text", F.lit(TEXT_CLIP)).alias("evidence_text"),
+        text.alias("evidence_text"),
         F.col("effective_date").alias("as_of_date"))
 
 
@@ -61,9 +59,9 @@ def _gap_entry(gap_type: Column, document: Column, detail: Column) -> Column:
                   gap_type, detail)
 
 
-def evidence_ledger(chunks: DataFrame, risk: DataFrame, gaps: DataFrame,
-                    claims: DataFrame) -> DataFrame:
-    """The ledger over stored risk and gap tables."""
+def evidence_ledger(chunks: DataFrame, risk: DataFrame, gaps: DataFrame, claims: DataFrame,
+                    clip: int | None = None) -> DataFrame:
+    """The ledger over stored risk and gap tables. `clip` cuts chunk texts to so many characters."""
     scores = risk.select("patient_id", F.col("scored_at").cast("date").alias("as_of_date"),
                          _risk_entry(F.col("score_explanation"),
                                      F.col("methodology_citation")).alias("e"))
@@ -71,12 +69,12 @@ def evidence_ledger(chunks: DataFrame, risk: DataFrame, gaps: DataFrame,
                             _gap_entry(F.col("gap_type"), F.col("governing_document_id"),
                                        F.col("gap_detail")).alias("e"))
     structured = scores.unionByName(open_gaps).select("patient_id", "as_of_date", "e.*")
-    return (_document_rows(chunks).unionByName(structured.select(*COLUMNS))
+    return (_document_rows(chunks, clip).unionByName(structured.select(*COLUMNS))
             .unionByName(_claim_rows(claims)))
 
 
 def evidence_ledger_from_360(chunks: DataFrame, p360: DataFrame, claims: DataFrame,
-                             as_of: dt.date) -> DataFrame:
+                             as_of: dt.date, clip: int | None = None) -> DataFrame:
     """The same rows straight from the 360: one pass gives each patient's score and gaps, where
     the stored-table form would build the 360 once for either."""
     gap_rows = F.transform(gap_array(), lambda gap: _gap_entry(
@@ -84,7 +82,7 @@ def evidence_ledger_from_360(chunks: DataFrame, p360: DataFrame, claims: DataFra
     score_row = F.array(_risk_entry(explanation(), F.lit(METHODOLOGY)))
     structured = points(p360).select(
         "patient_id", F.lit(as_of).alias("as_of_date"), F.inline(F.concat(score_row, gap_rows)))
-    return (_document_rows(chunks).unionByName(structured.select(*COLUMNS))
+    return (_document_rows(chunks, clip).unionByName(structured.select(*COLUMNS))
             .unionByName(_claim_rows(claims)))
 
 
@@ -93,18 +91,21 @@ def _order() -> list[Column]:
             F.asc("locator")]
 
 
-def evidence_pack(ledger: DataFrame, patient_id: str, limit: int = PACK_LIMIT) -> DataFrame:
-    """Everything held about one patient, at most `limit` rows. The filter on the literal id
-    reaches the scans of all branches."""
-    return (ledger.filter(F.col("patient_id") == F.lit(patient_id)).orderBy(*_order())
-            .limit(limit).drop("patient_id"))
+def evidence_pack(ledger: DataFrame, patient_id: str | Column,
+                  limit: int | None = PACK_LIMIT) -> DataFrame:
+    """What is held about one patient: the first `limit` rows, or all without one. The filter on the
+    id, a literal or a scalar subquery, reaches the scans of all branches."""
+    wanted = F.lit(patient_id) if isinstance(patient_id, str) else patient_id
+    rows = ledger.filter(F.col("patient_id") == wanted).orderBy(*_order())
+    return (rows if limit is None else rows.limit(limit)).drop("patient_id")
 
 
 def evidence_packs(ledger: DataFrame, patients: DataFrame | None = None,
-                   limit: int = PACK_LIMIT) -> DataFrame:
-    """The packs of many patients at once, ranked within each; `patients` narrows the set."""
+                   limit: int | None = PACK_LIMIT) -> DataFrame:
+    """The packs of many patients at once, ranked within each; `patients` narrows the set. Without
+    `limit` every row is in a pack."""
     if patients is not None:
         ledger = ledger.join(patients.select("patient_id"), "patient_id", "left_semi")
     place = F.row_number().over(Window.partitionBy("patient_id").orderBy(*_order()))
-    return (ledger.filter(F.col("patient_id").isNotNull())
-            .withColumn("pack_row", place).filter(F.col("pack_row") <= limit))
+    rows = ledger.filter(F.col("patient_id").isNotNull()).withColumn("pack_row", place)
+    return rows if limit is None else rows.filter(F.col("pack_row") <= limit)

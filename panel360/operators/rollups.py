@@ -1,14 +1,15 @@
 """One row per patient from each fact table.
 
-Every rollup but `last_admission` is a hash aggregate over fixed-width buffers, combined on the map
-side first: a patient holding a third of a fact table still sends one row per task to the shuffle.
+Every rollup is an aggregate combined on the map side first: a patient holding a third of a fact
+table still sends one row per task to the shuffle. Its side of a join is unique by patient, so the
+optimizer drops a rollup whose columns a query does not use.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Diagnosis codes, drug classes and laboratory codes the rollups look for.
@@ -19,6 +20,8 @@ DRUG_FLAGS = {"on_arni": "ARNI", "on_mra": "MRA", "on_sglt2": "SGLT2 inhibitor",
 LAB_CODES = {"a1c": "4548-4", "creatinine": "2160-0", "ntprobnp": "33762-6",
              "potassium": "2823-3"}
 CHARLSON_CAP = 5
+STAY_COLUMNS = ("encounter_id", "start_date", "end_date", "length_of_stay_days", "admission_source",
+                "discharge_disposition", "facility", "readmit_30d")
 
 
 def _per_patient(facts: DataFrame, **measures: str) -> DataFrame:
@@ -44,20 +47,17 @@ def patient_utilization(encounters: DataFrame, as_of: dt.date) -> DataFrame:
 
 def _index_stays(encounters: DataFrame, *columns: str) -> DataFrame:
     """The most recent inpatient stay of each patient. Open stays (no end date) rank last; equal end
-    dates fall back to the encounter id. The rank filter is applied before the shuffle too, so at
-    most one row per patient and task travels."""
-    latest = Window.partitionBy("patient_id").orderBy(F.desc_nulls_last("end_date"),
-                                                      F.desc("encounter_id"))
-    return (encounters.filter("encounter_type = 'INPATIENT'")
-            .withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1")
-            .selectExpr("patient_id", *columns))
+    dates fall back to the encounter id."""
+    kept = ", ".join(c for c in STAY_COLUMNS if c not in ("end_date", "encounter_id"))
+    return _per_patient(
+        encounters.filter("encounter_type = 'INPATIENT'"),
+        _last=f"max(struct(end_date IS NOT NULL AS ended, end_date, encounter_id, {kept}))",
+    ).selectExpr("patient_id", *[f"_last.{c}" for c in columns])
 
 
 def last_admission(encounters: DataFrame) -> DataFrame:
     """The last inpatient stay, by discharge date."""
-    return _index_stays(encounters, "encounter_id", "start_date", "end_date",
-                        "length_of_stay_days", "admission_source", "discharge_disposition",
-                        "facility")
+    return _index_stays(encounters, *STAY_COLUMNS[:-1])
 
 
 def index_outcomes(encounters: DataFrame) -> DataFrame:

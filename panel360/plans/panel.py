@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panel360.operators import conform, docs, gaps, gold, ledger, quality, risk
+from panel360.plans.semantic import GAP_COUNT
 
 
 @dataclass
@@ -89,7 +91,12 @@ class Panel:
 
     @property
     def semantic_tables(self) -> dict[str, DataFrame]:
-        return {"patient_360": self.p360, "member_360": self.member_360,
+        """The tables of the semantic model, and one row per patient with score and gap count from
+        which metrics of patients, scores and gaps are read in one pass."""
+        wide = risk.points(self.p360).withColumns({
+            "score_explanation": risk.explanation(), "methodology_citation": F.lit(risk.METHODOLOGY),
+            GAP_COUNT: F.size(gaps.gap_array())})
+        return {"patient_360": self.p360, "patient_wide": wide, "member_360": self.member_360,
                 "risk_readmission": self.risk, "care_gap": self.gaps,
                 "fact_encounter": self.extracts["encounters"],
                 "fact_claim": self.extracts["claims"],

@@ -167,9 +167,10 @@ def potassium_on_arni_mra(panel: Panel) -> DataFrame:
 
 
 def full_record_top_risk(panel: Panel) -> DataFrame:
-    """The evidence pack of the patient with the highest adjusted score."""
-    top = risk_roster(panel, 1).select("patient_id")
-    return ledger.evidence_packs(panel.ledger, top)
+    """Everything on record about the patient with the highest adjusted score. The patient is a scalar
+    subquery, which reaches the scans below every branch of the ledger."""
+    top = risk_roster(panel, 1).select("patient_id").scalar()
+    return ledger.evidence_packs(panel.ledger.filter(F.col("patient_id") == top), limit=None)
 
 
 def clinic_readmit_drivers(panel: Panel) -> DataFrame:

@@ -24,14 +24,17 @@ from panel360.plans import bindings, questions, semantic
 from panel360.plans.panel import Panel
 from panel360.sources.documents import parse_html
 from panel360.sources.literals import inline_rows
+from panel360.sources.scratch import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 PHRASES = (("L1", "Customer Building-000000005"), ("L2", "automobile patient in Asia"),
            ("L3", "SYN-P42"), ("L4", "machinery america age 40 F"))
 NOTE_QUESTION = "barriers documented transportation cost caregiver"
+POLICY_TYPES = ("UTILIZATION_POLICY", "REGULATORY_BULLETIN", "QUALITY_MEASURE")
 QUERY_BOUND = 1000
 COVERAGE_FLOOR = 0.35
+ONE_PATIENT = "SYN-P42"
 
 
 def _panel(make: Callable[[Panel], DataFrame]) -> Query:
@@ -61,8 +64,7 @@ def column_tests(panel: Panel) -> DataFrame:
 # --- Retrieval -----------------------------------------------------------------------------------
 
 def term_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return search.term_stats(search.postings(bindings.table(spark, folder, "documents"),
-                                             "doc_id", "text"))
+    return search.corpus_terms(bindings.table(spark, folder, "documents"), "text")
 
 
 def bm25_topk(spark: SparkSession, folder: str, min_coverage: float = 0.0) -> DataFrame:
@@ -76,20 +78,54 @@ def no_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return search.no_evidence(golden, bm25_topk(spark, folder, COVERAGE_FLOOR))
 
 
+def _chunk_index(panel: Panel, scope: str) -> str:
+    """A stored index over the chunks of one scope."""
+    chunks = panel.chunks.filter(F.col("scope") == scope)
+    path = scratch(chunks.sparkSession, f"index-{scope.lower()}")
+    search.write_index(chunks, path, "citation_label", "chunk_text", search.INDEX_ATTRIBUTES)
+    return path
+
+
 def note_search(panel: Panel) -> DataFrame:
     """Every patient's own notes, searched for barriers: as many queries as patients."""
-    notes = panel.chunks.filter("scope = 'PATIENT_SPECIFIC'")
     asked = panel.dim_patient.select(F.col("patient_id").alias("qid"), "patient_id",
                                      F.lit(NOTE_QUESTION).alias("question"))
-    return search.text_search(notes, asked, search.NOTES_K, "citation_label", "chunk_text",
-                              filters=("patient_id",))
+    return search.search_index(
+        asked.sparkSession, _chunk_index(panel, "PATIENT_SPECIFIC"), asked, search.NOTES_K,
+        "citation_label", "chunk_text", ("doc_id", "doc_type", "section_heading"),
+        filters=("patient_id",)).select("qid", "citation_label", "doc_id", "doc_type",
+                                        "section_heading", "chunk_text", "score", "coverage", "rank")
+
+
+def policy_search(panel: Panel) -> DataFrame:
+    """The golden questions put to institutional chunks, among all and within each document type."""
+    spark = panel.metadata.sparkSession
+    path = _chunk_index(panel, "INSTITUTIONAL")
+    golden = evals.golden_questions(spark).select("qid", "question")
+    narrowed = golden.select("qid", "question", F.explode(F.array(
+        *map(F.lit, POLICY_TYPES))).alias("doc_type")).withColumn(
+        "qid", F.concat_ws("/", "qid", "doc_type"))
+    shown = ("qid", "citation_label", "doc_id", "doc_type", "section_heading", "chunk_text",
+             "score", "coverage", "rank")
+    attributes = ("doc_id", "doc_type", "section_heading")
+    every = search.search_index(spark, path, golden, search.POLICY_K, "citation_label", "chunk_text",
+                                attributes)
+    by_type = search.search_index(spark, path, narrowed, search.POLICY_K, "citation_label",
+                                  "chunk_text", attributes, filters=("doc_type",))
+    return every.select(*shown).unionByName(by_type.select(*shown))
+
+
+def text_search_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The golden questions over documents, by the plan for any number of queries."""
+    return search.text_search(bindings.table(spark, folder, "documents"),
+                              evals.golden_questions(spark), search.POLICY_K, "doc_id", "text")
 
 
 def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """For every label, the vectors of that label nearest its mean."""
+    """For every label, the vectors of that label nearest its mean, for any number of labels."""
     asked = bindings.centroids(spark, folder).withColumn("qid", F.col("label"))
-    return search.vector_scan(bindings.table(spark, folder, "embeddings"), asked, search.POLICY_K,
-                              "vec_id", "embedding", filters=("label",), max_queries=QUERY_BOUND)
+    return search.vector_search(bindings.table(spark, folder, "embeddings"), asked, search.POLICY_K,
+                                "vec_id", "embedding", filters=("label",))
 
 
 def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,21 +173,14 @@ def masked_panel(spark: SparkSession, folder: str) -> DataFrame:
         "attributed_clinic"))
 
 
-def masked_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    panel = bindings.panel(spark, folder)
-    chunks = governance.tag_columns(panel.chunks)
-    return _by_role(spark, lambda role, granted: governance.secure_view(
-        chunks, role, granted, panel.dim_patient).select("citation_label", "file_name",
-                                                         "chunk_text"))
-
-
-def masked_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    panel = bindings.panel(spark, folder)
-    tagged = governance.tag_columns(panel.ledger)
-    withheld = F.col("evidence_text") == governance.WITHHELD
-    return _by_role(spark, lambda role, granted: governance.secure_view(
-        tagged, role, granted, panel.dim_patient).groupBy("evidence_class", "source_type").agg(
-        F.count("*").alias("visible_rows"), F.count_if(withheld).alias("withheld_rows")))
+def _secured(table: Callable[[Panel], DataFrame], *columns: str) -> Query:
+    """A table as every role sees it, built once."""
+    def make(spark: SparkSession, folder: str) -> DataFrame:
+        panel = bindings.panel(spark, folder)
+        granted = governance.entitlement_table(spark, bindings.CLINIC_ENTITLEMENTS)
+        return governance.secure_by_role(governance.tag_columns(table(panel)), granted,
+                                         panel.dim_patient).select("role", *columns)
+    return make
 
 
 # --- Evaluation ----------------------------------------------------------------------------------
@@ -228,6 +257,10 @@ QUERIES: dict[str, Query] = {
     "linked_documents": _panel(lambda p: docs.linked_documents(p.chunks)),
     "evidence_ledger": _panel(lambda p: p.ledger),
     "evidence_pack": _panel(lambda p: ledger.evidence_packs(p.ledger)),
+    "one_evidence_pack": _panel(lambda p: ledger.evidence_pack(p.ledger, ONE_PATIENT, limit=None)),
+    "patient_profile": _panel(lambda p: questions.patient_profile(p, ONE_PATIENT).select(
+        "patient_id", "full_name", "attributed_clinic", "lace_index", "adjusted_score", "risk_band",
+        "score_explanation", F.col("open_gaps").cast("long").alias("open_gaps"))),
     "full_record_top_risk": _panel(questions.full_record_top_risk),
     "kpi_strip": _panel(questions.kpi_strip),
     "object_counts": _panel(questions.object_counts),
@@ -259,13 +292,20 @@ QUERIES: dict[str, Query] = {
     "bm25_topk": bm25_topk,
     "no_evidence": no_evidence,
     "note_search": _panel(note_search),
+    "policy_search": _panel(policy_search),
+    "text_search": text_search_all,
     "vector_topk": vector_topk,
     "hybrid_topk": hybrid_topk,
     "patient_lookup": patient_lookup,
     "row_access": row_access,
     "masked_panel": masked_panel,
-    "masked_chunks": masked_chunks,
-    "masked_ledger": masked_ledger,
+    "masked_chunks": _secured(lambda p: p.chunks, "citation_label", "file_name", "chunk_text"),
+    "masked_360": _secured(lambda p: p.p360, "patient_id", "full_name", "birth_date",
+                           "attributed_clinic", "barrier_to_care", "documented_adverse_event"),
+    "masked_risk": _secured(lambda p: p.risk, "patient_id", "attributed_clinic", "lace_index",
+                            "score_explanation"),
+    "masked_ledger": _secured(lambda p: p.ledger, "evidence_class", "source_id", "locator",
+                              "patient_id", "source_type", "evidence_text"),
     "grounding_scorecard": lambda spark, folder: audit.grounding_scorecard(
         bindings.audit_log(spark, folder)),
     "scorecard_daily": lambda spark, folder: audit.scorecard_daily(

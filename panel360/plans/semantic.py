@@ -92,6 +92,52 @@ def _value(m: Metric, parts: Mapping[Measure, Column]) -> Column:
     return F.try_divide(top.cast("double"), bottom.cast("double"))
 
 
+def _values(wanted: Any) -> list:
+    return list(wanted) if isinstance(wanted, (list, tuple, set)) else [wanted]
+
+
+# Entities whose metrics can be read off one row per patient: patients, their one score and their
+# open gaps, which that row counts.
+ONE_PASS, GAP_COUNT = ("patient", "risk", "gaps"), "open_gap_rows"
+
+
+def _one_pass_result(model: SemanticModel, wide: DataFrame, metrics: Sequence[Metric],
+                     dims: Sequence[Dimension], where: Sequence[tuple[Dimension, Any]]) -> DataFrame:
+    """Metrics of several entities from one scan of `wide`, which has a row per patient: its key is
+    unique, so a distinct count of it is a plain count, and gap rows are counted in a column."""
+    used = {d.name: d for d in [*dims, *[d for d, _ in where]]}.values()
+    rows = wide.withColumns({d.name: F.expr(d.sql) for d in used}) if used else wide
+    for d, wanted in where:
+        rows = rows.filter(F.col(d.name).isin(_values(wanted)))
+    measures = list(dict.fromkeys((m.entity, x) for m in metrics
+                                  for x in (m.numerator, m.denominator) if x))
+
+    def whole(entity: str, x: Measure) -> Column:
+        if entity == "gaps":  # a group without gap rows has no value
+            total = F.sum(GAP_COUNT) if x.kind == "count" else F.count_if(F.col(GAP_COUNT) > 0)
+            return F.nullif(total, F.lit(0).cast("long"))
+        return (F.sum if x.kind == "sum" else F.count)(F.expr(x.sql))
+
+    summed = rows.groupBy(*[d.name for d in dims]).agg(
+        *[whole(*x).alias(f"_m{i}") for i, x in enumerate(measures)])
+    place = {x: F.col(f"_m{i}") for i, x in enumerate(measures)}
+    return summed.select(*[d.name for d in dims], *[_value(m, {
+        x: place[m.entity, x] for x in (m.numerator, m.denominator) if x}).alias(m.name)
+        for m in metrics])
+
+
+def _fits_one_pass(tables: Mapping[str, DataFrame], metrics: Sequence[Metric],
+                   dims: Sequence[Dimension]) -> bool:
+    """Whether a wide table is at hand, attributes are all a patient's own, and every gap measure is a
+    count of rows or of patients."""
+    return ("patient_wide" in tables and all(d.entity in ("patient", "risk") for d in dims)
+            and all(x.when is None and (x.kind == "count" or x.kind == "distinct" and
+                                        x.expr == "patient_id")
+                    for m in metrics if m.entity == "gaps" for x in (m.numerator, m.denominator) if x)
+            and all(x.expr == "patient_id" for m in metrics if m.entity != "gaps"
+                    for x in (m.numerator, m.denominator) if x and x.kind == "distinct"))
+
+
 def _entity_result(model: SemanticModel, tables: Mapping[str, DataFrame], entity: Entity,
                    metrics: Sequence[Metric], dims: Sequence[Dimension],
                    where: Sequence[tuple[Dimension, Any]]) -> DataFrame:
@@ -106,8 +152,7 @@ def _entity_result(model: SemanticModel, tables: Mapping[str, DataFrame], entity
 
     def admit(df: DataFrame) -> DataFrame:
         for d, wanted in where:
-            values = list(wanted) if isinstance(wanted, (list, tuple, set)) else [wanted]
-            df = df.filter(F.col(d.name).isin(values))
+            df = df.filter(F.col(d.name).isin(_values(wanted)))
         return df
 
     # Derived columns are named apart from the table's own ones.
@@ -125,6 +170,14 @@ def _entity_result(model: SemanticModel, tables: Mapping[str, DataFrame], entity
         side = tables[_entity(model, name).table].select(
             key, *[F.expr(d.sql).alias(d.name) for d in outer if d.entity == name])
         attributes = side if attributes is None else attributes.join(side, key, "left")
+    asked_outside = [d for d, _ in where if d in outer]
+    if asked_outside:
+        # A condition on an attribute keeps the facts of admitted keys only, before any sub-total.
+        admitted = attributes
+        for d, wanted in where:
+            if d in outer:
+                admitted = admitted.filter(F.col(d.name).isin(_values(wanted)))
+        rows = rows.join(admitted.select(key), key, "left_semi")
     # Sub-totals per key first. A distinct count keeps its key in the grouping, so it stays exact.
     keyed = [x.expr for x in measures if x.kind == "distinct" and x.expr != key]
     groups = list(dict.fromkeys([key, *[d.name for d in own], *keyed]))
@@ -181,6 +234,12 @@ def semantic_query(tables: Mapping[str, DataFrame], dimensions: Sequence[str],
         for d in [*dims, *[d for d, _ in conditions]]:
             if d.entity not in reachable:
                 raise SemanticError(f"{d.entity}.{d.name} is below the grain of {name} metrics")
+    together = [m for m in asked if m.entity in ONE_PASS]
+    if not _fits_one_pass(tables, together, [*dims, *[d for d, _ in conditions]]):
+        together = []
+    if together:
+        results.append(_one_pass_result(model, tables["patient_wide"], together, dims, conditions))
+    for name in dict.fromkeys(m.entity for m in asked if m not in together):
         results.append(_entity_result(model, tables, _entity(model, name),
                                       [m for m in asked if m.entity == name], dims, conditions))
     merged = results[0]

@@ -21,11 +21,6 @@ def test_div0(spark):
     assert one(spark, fn.div0(F.lit(None).cast("int"), b)) is None
 
 
-def test_least_strict_is_null_on_any_null(spark):
-    assert one(spark, fn.least_strict(F.lit(7), F.lit(5))) == 5
-    assert one(spark, fn.least_strict(F.lit(None).cast("int"), F.lit(5))) is None
-
-
 def test_boundaries_are_counted_not_completed(spark):
     eve, new_year = F.lit(dt.date(2000, 12, 31)), F.lit(dt.date(2001, 1, 1))
     assert one(spark, fn.year_boundaries(eve, new_year)) == 1

@@ -83,3 +83,25 @@ def test_terms_keep_ambiguity(spark):
     names = {(r.term.strip().lower(), r.name) for r in got}
     assert names == {("acuity", "risk_band"), ("acuity", "admission_source"),
                      ("heart   failure", "has_chf"), ("zebra", None)}
+
+
+@pytest.mark.parametrize("dims, where", [
+    (["attributed_clinic"], {}), ([], {}), (["risk_band", "sex"], {"attributed_clinic": "AFRICA"}),
+    (["attributed_clinic"], {"risk_band": ["HIGH", "LOW"], "sex": "F"})])
+def test_one_pass_equals_a_pass_per_entity(panel, dims, where):
+    metrics = ["patient_count", "avg_age", "total_cost", "readmission_rate", "avg_worst_pdc",
+               "avg_lace_index", "high_risk_count", "high_risk_share", "open_gap_count",
+               "patients_with_gaps", "total_allowed", "denial_rate"]
+    tables = panel.semantic_tables
+    apart = {k: v for k, v in tables.items() if k != "patient_wide"}
+
+    def rows(t):
+        return sorted([[round(x, 9) if isinstance(x, float) else x for x in r] for r in
+                       semantic_query(t, dims, metrics, where).collect()], key=repr)
+    assert rows(tables) == rows(apart)
+
+
+def test_clinic_of_a_patient_needs_no_fact_table(panel):
+    plan = panel.p360.select("patient_id", "attributed_clinic")._jdf.queryExecution() \
+        .optimizedPlan().toString()
+    assert "o_orderkey" not in plan and "l_orderkey" not in plan
