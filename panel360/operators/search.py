@@ -6,12 +6,15 @@ the order in which partial sums meet.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from operator import and_
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from panel360.functions import tokens
 
@@ -19,7 +22,9 @@ from panel360.functions import tokens
 POLICY_K, NOTES_K, LOOKUP_K = 8, 6, 5
 K1, B = 1.2, 0.75
 RRF_OFFSET = 60
-SALTS = 16
+BLOCK = 4096
+# What an index keeps of a chunk besides its terms.
+INDEX_ATTRIBUTES = ("doc_id", "scope", "patient_id", "doc_type", "section_heading")
 
 
 def postings(corpus: DataFrame, key: str, text: str, attributes: Sequence[str] = ()) -> DataFrame:
@@ -32,11 +37,69 @@ def postings(corpus: DataFrame, key: str, text: str, attributes: Sequence[str] =
 
 
 def term_stats(index: DataFrame) -> DataFrame:
-    """Documents and occurrences per term."""
+    """Documents and occurrences per term of an index."""
     return index.groupBy("term").agg(F.count("*").alias("doc_freq"),
                                      F.sum("tf").alias("occurrences"))
 
 
+def corpus_terms(corpus: DataFrame, text: str) -> DataFrame:
+    """The same straight from texts, with one shuffle: a text's sorted terms show where each occurs
+    first, and both numbers are counted before the shuffle."""
+    rows = corpus.select(F.inline(F.array(F.struct(F.array_sort(tokens(F.col(text))).alias("_terms")))))
+    terms = F.transform("_terms", lambda t, i: F.struct(
+        t.alias("term"), (~t.eqNullSafe(F.get("_terms", i - 1))).alias("_first")))
+    return rows.select(F.inline(terms)).groupBy("term").agg(
+        F.count_if("_first").alias("doc_freq"), F.count("*").alias("occurrences"))
+
+
+def write_index(corpus: DataFrame, path: str, key: str, text: str, attributes: Sequence[str] = (),
+                buckets: int = 64) -> None:
+    """Store an index: `postings` in folders by a hash of the term, `terms` with their document
+    frequency, `documents` with attributes and text, and `size`, one row with the number of documents
+    and their mean length."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    spread = F.pmod(F.xxhash64(key), F.lit(8))
+    (postings(corpus, key, text, attributes).withColumn("bucket", bucket)
+     .repartition("bucket", spread).write.partitionBy("bucket").parquet(f"{path}/postings"))
+    stored = read_index(corpus.sparkSession, path, "postings")
+    term_stats(stored).write.parquet(f"{path}/terms")
+    corpus.select(key, *attributes, text).write.parquet(f"{path}/documents")
+    corpus.agg(F.count("*").alias("docs"), F.avg(F.size(tokens(F.col(text)))).alias("mean_length"),
+               F.lit(buckets).alias("buckets")).write.parquet(f"{path}/size")
+
+
+def read_index(spark: SparkSession, path: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{table}")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, key: str, text: str,
+                 attributes: Sequence[str] = (), query_key: str = "qid",
+                 query_text: str = "question", filters: Sequence[str] = (),
+                 min_score: float = 0.0, min_coverage: float = 0.0) -> DataFrame:
+    """Top k per query from a stored index, with the documents' attributes and text. No text is cut
+    into terms again, and only folders of asked terms need to be read. `filters` name attributes that
+    the queries carry too and that must be equal. Scores are those of `text_search`."""
+    size = read_index(spark, path, "size").first()
+    wanted = queries.select(query_key, *filters,
+                            F.array_distinct(tokens(F.col(query_text))).alias("_terms"))
+    wanted = wanted.select(query_key, *filters, F.size("_terms").alias("_asked"),
+                           F.explode("_terms").alias("term"))
+    idf = F.log(1 + (size["docs"] - F.col("doc_freq") + 0.5) / (F.col("doc_freq") + 0.5))
+    # The statistics of asked terms only, then the queries, each term's row on its way to its folder.
+    known = read_index(spark, path, "terms").join(
+        wanted.select("term").distinct(), "term", "left_semi")
+    weights = wanted.join(known, "term").select(
+        query_key, *filters, "_asked", "term", idf.alias("_idf"),
+        F.pmod(F.xxhash64("term"), F.lit(size["buckets"])).cast("int").alias("bucket"))
+    pairs = read_index(spark, path, "postings").select(
+        key, *filters, "doc_length", "term", "tf", "bucket").join(weights, ["bucket", "term", *filters])
+    scored = _scores(pairs, query_key, key, (), F.lit(size["mean_length"])).filter(
+        (F.col("score") > min_score) & (F.col("coverage") >= min_coverage))
+    best = _top(scored, query_key, key, k)
+    documents = read_index(spark, path, "documents").select(key, *attributes, text)
+    return best.join(documents, key)
+
+
 def _top(scored: DataFrame, query_key: str, key: str, k: int, *ties: Column) -> DataFrame:
     place = Window.partitionBy(query_key).orderBy(F.desc("score"), *ties, F.asc(key))
     return scored.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
@@ -53,7 +116,7 @@ def _bounded(queries: DataFrame, max_queries: int) -> DataFrame:
 def text_scores(corpus: DataFrame, queries: DataFrame, key: str, text: str,
                 query_key: str = "qid", query_text: str = "question",
                 filters: Sequence[str] = (), carry: Sequence[str] = (),
-                max_queries: int | None = None) -> DataFrame:
+                max_queries: int | None = None, salts: int | None = None) -> DataFrame:
     """BM25 score and term coverage of every (query, document) pair that shares a term.
 
     `filters` name columns present on both sides; a document is scored only where they are equal.
@@ -62,7 +125,9 @@ def text_scores(corpus: DataFrame, queries: DataFrame, key: str, text: str,
     Occurrences are counted per document before they are shuffled. With `max_queries` the query
     side is checked against that bound and broadcast, and only query terms leave the scan. Without
     it nothing is moved by term alone: the counts meet the queries on (term, filters), or on (term,
-    salt) where there is no filter, so that a term found in most documents is spread over all salts.
+    salt) where there is no filter, so that a term found in most documents is spread over all salts,
+    as many as the session's shuffle partitions unless given. For searches over and over, or by very
+    many queries, store an index (`write_index`) and use `search_index`.
     """
     if max_queries is not None:
         queries = _bounded(queries, max_queries)
@@ -71,17 +136,21 @@ def text_scores(corpus: DataFrame, queries: DataFrame, key: str, text: str,
     wanted = wanted.select(query_key, *filters, F.size("_terms").alias("_asked"),
                            F.explode("_terms").alias("term"))
     docs = corpus.select(key, *filters, *carry, tokens(F.col(text)).alias("_terms"))
-    docs = docs.withColumn("doc_length", F.size("_terms"))
-    found = docs.select(key, *filters, *carry, "doc_length", F.explode("_terms").alias("term"))
+    # One term more, the empty one, stands for the document itself: it gives the number of documents
+    # and their length from the same counts, so that the corpus is read and cut up once.
+    found = docs.select(key, *filters, *carry, F.size("_terms").alias("doc_length"),
+                        F.explode(F.concat("_terms", F.array(F.lit("")))).alias("term"))
     if max_queries is not None:
-        found = found.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+        asked = wanted.select("term").union(wanted.sparkSession.sql("SELECT '' AS term")).distinct()
+        found = found.join(F.broadcast(asked), "term", "left_semi")
     hits = (found.groupBy(key, *filters, *carry, "doc_length", "term")
             .agg(F.count("*").alias("tf")))
-    size = docs.select(F.struct(F.count("*").alias("docs"),
-                                F.avg("doc_length").alias("mean_length"))).scalar()
+    # Both uses of `hits` below keep the columns of the third, so that all share one shuffle.
+    same = F.count_if(F.col("tf") > 0)
+    size = hits.filter("term = ''").select(F.struct(
+        same.alias("docs"), F.avg("doc_length").alias("mean_length"))).scalar()
     n_docs, mean_length = size["docs"], size["mean_length"]
-    # Counted over `tf` so that both uses of `hits` keep the same columns and share one shuffle.
-    doc_freq = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("_df"))
+    doc_freq = hits.groupBy("term").agg(same.alias("_df"))
     df = F.col("_df")
     idf = F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
     if max_queries is not None:
@@ -90,15 +159,21 @@ def text_scores(corpus: DataFrame, queries: DataFrame, key: str, text: str,
     else:
         # Few terms may be shared by very many queries, and by very many documents: either large
         # side takes a salt from its own key, and the table of terms is copied once per salt.
-        every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        weights = (wanted.withColumn("_salt", F.pmod(F.hash(query_key), F.lit(SALTS)))
+        salts = salts or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        weights = (wanted.withColumn("_salt", F.pmod(F.hash(query_key), F.lit(salts)))
                    .join(doc_freq.withColumn("_salt", every), ["term", "_salt"]).drop("_salt")
                    .withColumn("_idf", idf))
         if filters:
             pairs = hits.join(weights, ["term", *filters])
         else:
-            pairs = (hits.withColumn("_salt", F.pmod(F.hash(key), F.lit(SALTS)))
+            pairs = (hits.withColumn("_salt", F.pmod(F.hash(key), F.lit(salts)))
                      .join(weights.withColumn("_salt", every), ["term", "_salt"]))
+    return _scores(pairs, query_key, key, carry, mean_length)
+
+
+def _scores(pairs: DataFrame, query_key: str, key: str, carry: Sequence[str],
+            mean_length: Column) -> DataFrame:
     tf = F.col("tf")
     gain = F.col("_idf") * tf * (K1 + 1) / (
         tf + K1 * (1 - B + B * F.col("doc_length") / mean_length))
@@ -161,24 +236,68 @@ def vector_scan(corpus: DataFrame, queries: DataFrame, k: int, key: str, vector:
                 filters: Sequence[str] = (), max_queries: int = 1000) -> DataFrame:
     """Cosine top k per query for a bounded set of queries, in one pass over the corpus.
 
-    The queries travel as one array value held by a scalar subquery, so the corpus is neither
-    joined nor shuffled. More than `max_queries` of them is an error: that value cannot grow with
-    the data.
+    The queries, checked against `max_queries`, go to every task, which multiplies them with a block of
+    vectors at a time and hands on the k best of each query and block. The corpus is neither joined
+    nor shuffled, and no pair beyond those k leaves a task. Vectors of other lengths than a query's,
+    null and zero vectors have no cosine and are not found.
     """
-    few = queries.select(query_key, query_vector, *filters).limit(max_queries + 1)
-    packed = with_norm(few, query_vector).agg(F.collect_list(F.struct(
-        F.col(query_key), F.col(query_vector), F.col("_norm").alias("_query_norm"),
-        *[F.col(name).alias(f"_wanted_{name}") for name in filters])).alias("q"))
-    asked = packed.select(F.when(F.size("q") <= max_queries, F.col("q")).otherwise(
-        F.raise_error(F.lit(f"more than {max_queries} query vectors")))).scalar()
-    docs = with_norm(corpus.select(key, vector, *filters), vector).withColumn("_asked", asked)
-    admitted = F.col("_asked")
-    if filters:
-        admitted = F.filter(admitted, lambda q: reduce(
-            and_, [q[f"_wanted_{name}"] == F.col(name) for name in filters]))
-    pairs = docs.select(key, vector, "_norm", F.inline(admitted))
-    return _top(pairs.select(query_key, key, _cosine(vector, query_vector).alias("score")),
-                query_key, key, k)
+    asked = queries.select(query_key, F.col(query_vector).cast("array<double>"), *filters).limit(
+        max_queries + 1).collect()
+    if len(asked) > max_queries:
+        raise ValueError(f"more than {max_queries} query vectors")
+    schema = T.StructType([queries.schema[query_key], corpus.schema[key],
+                           T.StructField("score", T.DoubleType())])
+    by_length: dict[int, list[int]] = {}
+    for i, row in enumerate(asked):
+        if row[1]:
+            by_length.setdefault(len(row[1]), []).append(i)
+    sent = corpus.sparkSession.sparkContext.broadcast(
+        [(n, at, _unit(np.array([asked[i][1] for i in at], float))) for n, at in by_length.items()])
+    wanted = [tuple(row)[2:] for row in asked]
+    names, name_type = [row[0] for row in asked], to_arrow_type(queries.schema[query_key].dataType)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                found = [hit for n, held, matrix in sent.value
+                         for hit in _best_of(batch, n, held, matrix, wanted, k)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([names[q] for q, _, _ in found], name_type),
+                    batch.column(0).take(pa.array([i for _, i, _ in found], pa.int64())),
+                    pa.array([s for _, _, s in found], pa.float64())], schema.names)
+
+    rows = corpus.select(key, F.col(vector).cast("array<double>"), *filters)
+    found = rows.mapInArrow(best, schema).withColumn("score", F.round("score", 4))
+    return _top(found, query_key, key, k)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; a zero vector becomes NaN."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+
+
+def _best_of(batch: pa.RecordBatch, n: int, held: list[int], matrix: np.ndarray, wanted: list[tuple],
+             k: int) -> Iterator[tuple[int, int, float]]:
+    """(query, row, score) of the k best rows of a block for each query, with all that may tie with
+    the last of them once scores are rounded."""
+    vectors = batch.column(1)
+    rows = np.flatnonzero(pc.fill_null(pc.list_value_length(vectors), -1).to_numpy() == n)
+    if not len(rows):
+        return
+    flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+    scores = matrix @ _unit(flat.astype(float).reshape(-1, n)).T
+    filters = [batch.column(c).take(pa.array(rows)) for c in range(2, batch.num_columns)]
+    for q, row in zip(held, scores):
+        admitted = np.isfinite(row)
+        for column, value in zip(filters, wanted[q]):
+            same = pc.equal(column, pa.scalar(value, column.type))
+            admitted &= pc.fill_null(same, False).to_numpy(zero_copy_only=False)
+        row = np.where(admitted, row, -np.inf)
+        edge = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+        for i in np.flatnonzero(admitted & (row >= edge - 1e-4)):
+            yield q, int(rows[i]), float(row[i])
 
 
 def fuse(rankings: Sequence[DataFrame], k: int, key: str, query_key: str = "qid") -> DataFrame:

@@ -79,6 +79,47 @@ def test_vectors_scan_and_join_agree(spark):
         search.vector_search(vectors, asked, 2, "id", "v", ())
 
 
+def test_scan_of_many_vectors_keeps_ties_and_odd_rows(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    data = [(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(300)]
+    data += [(300, None), (301, []), (302, [1.0]), (303, [0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(data, "id long, v array<float>").repartition(5)
+    asked = spark.createDataFrame([(q, [float(x) for x in rng.normal(size=3)]) for q in range(6)] + [
+        (6, None), (7, [0.0, 0.0, 0.0]), (8, [1.0])], "qid int, query_vector array<double>")
+    got = {}
+    for r in search.vector_scan(vectors, asked, 5, "id", "v").collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.id, r.score))
+    held = [(i, np.array(v)) for i, v in data if v and len(v) == 3 and any(v)]
+    for q in asked.collect()[:6]:
+        a = np.array(q.query_vector)
+        scores = sorted(((-round(float(a @ v / np.sqrt(a @ a) / np.sqrt(v @ v)), 4), i)
+                         for i, v in held))[:5]
+        assert [i for _, i, _ in sorted(got[q.qid])] == [i for _, i in scores]
+    assert set(got) == {*range(6), 8} and [i for _, i, _ in got[8]] == [302]
+
+
+def test_stored_index_gives_the_scores_of_a_scan(spark, corpus, tmp_path):
+    path = str(tmp_path / "index")
+    search.write_index(corpus, path, "doc_id", "text", buckets=3)
+    asked = spark.createDataFrame([("q1", "the cat the"), ("q2", "nothing known"), ("q3", "dog")],
+                                  "qid string, question string")
+    scanned = search.text_search(corpus, asked, 5, "doc_id", "text")
+    found = search.search_index(spark, path, asked, 5, "doc_id", "text")
+    assert sorted(map(tuple, found.select(*scanned.columns).collect())) == sorted(
+        map(tuple, scanned.collect()))
+    texts = {r.doc_id: r.text for r in corpus.collect()}
+    assert all(r.text == texts[r.doc_id] for r in found.collect())
+
+
+def test_corpus_terms_equal_the_index_and_shuffle_once(spark, corpus):
+    direct = search.corpus_terms(corpus, "text")
+    stored = search.term_stats(search.postings(corpus, "doc_id", "text"))
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, stored.collect()))
+    plan = search.corpus_terms(corpus, "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_fusion_adds_reciprocal_ranks(spark):
     a = spark.createDataFrame([("q", 1, 1), ("q", 2, 2)], "qid string, id long, rank int")
     b = spark.createDataFrame([("q", 2, 1), ("q", 3, 2)], "qid string, id long, rank int")
