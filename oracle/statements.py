@@ -43,20 +43,52 @@ def _masked_chunks() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+# Fixed value: the text shown for a withheld one.
+_WITHHELD = "'***CLINICAL NARRATIVE WITHHELD FOR THIS ROLE***'"
+_PLAIN_SCORE = ("CASE WHEN contains({0}, 'documented barrier: ') THEN left({0}, "
+                "instr({0}, 'documented barrier: ') + 19) || 'withheld)' || {1} ELSE {0} END")
+
+
 def _masked_ledger() -> str:
     parts = []
+    score = _PLAIN_SCORE.format("evidence_text",
+                                "substr(evidence_text, instr(evidence_text, ' | Methodology: '))")
     for role in _MASK_ROLES:
         rows = ("true" if role not in _CLINICS else
                 f"c.patient_id IS NULL OR {_rows_for(role, 'd.attributed_clinic')}")
-        held = "evidence_class = 'DOCUMENT'" if role == "ANALYST" else "false"
+        text = ("evidence_text" if role != "ANALYST" else
+                f"CASE WHEN evidence_class = 'DOCUMENT' THEN {_WITHHELD} "
+                f"WHEN source_type = 'RISK_SCORE' THEN {score} ELSE evidence_text END")
         parts.append(
-            f"SELECT '{role}' AS role, evidence_class, source_type, count(*) AS visible_rows, "
-            f"count(*) FILTER ({held}) AS withheld_rows "
-            f"FROM t_ledger c LEFT JOIN t_dim d ON c.patient_id = d.patient_id WHERE {rows} "
-            f"GROUP BY evidence_class, source_type")
+            f"SELECT '{role}' AS role, evidence_class, source_id, locator, c.patient_id, "
+            f"source_type, {text} AS evidence_text "
+            f"FROM t_ledger c LEFT JOIN t_dim d ON c.patient_id = d.patient_id WHERE {rows}")
     return "\nUNION ALL\n".join(parts)
 
 
+def _masked_360() -> str:
+    parts = []
+    for role in _MASK_ROLES:
+        full, care = role in ("ADMIN", "CLINICIAN"), role != "ANALYST"
+        name = ("full_name" if full else "left(full_name, 1) || '***' || CASE WHEN contains(full_name, "
+                "' ') THEN ' ' || split_part(full_name, ' ', -1) ELSE '' END" if role == "CARE_MGR"
+                else "'***REDACTED***'")
+        born = "birth_date" if full else "make_date(year(birth_date), 1, 1)"
+        held = ["barrier_to_care", "documented_adverse_event"]
+        shown = ", ".join(f"{c if care else _WITHHELD} AS {c}" for c in held)
+        parts.append(f"SELECT '{role}' AS role, patient_id, {name} AS full_name, {born} AS birth_date, "
+                     f"attributed_clinic, {shown} FROM t_p360 WHERE {_rows_for(role)}")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _masked_risk() -> str:
+    plain = _PLAIN_SCORE.format("score_explanation", "''")
+    return "\nUNION ALL\n".join(
+        f"SELECT '{role}' AS role, patient_id, attributed_clinic, lace_index, "
+        f"{plain if role == 'ANALYST' else 'score_explanation'} AS score_explanation "
+        f"FROM t_risk WHERE {_rows_for(role)}" for role in _MASK_ROLES)
+
+
 def _row_access() -> str:
     return "\nUNION ALL\n".join(
         f"SELECT '{role}' AS role, attributed_clinic, count(*) AS patients FROM t_dim "
@@ -71,6 +103,34 @@ SELECT CAST(asked_at AS DATE) AS day, asked_role, count(*) AS answers,
        round(avg(latency_ms), 0) AS avg_latency_ms
 FROM t_audit GROUP BY ALL"""
 
+def _chunk_search(scope: str, queries: str, attribute: str, k: int) -> str:
+    """Best chunks of a scope for each query; `wanted`, if given, must equal the attribute."""
+    terms = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+    return f"""
+SELECT * FROM (WITH pool AS (
+  SELECT citation_label, doc_id, doc_type, section_heading, chunk_text, {attribute} AS attribute,
+         {terms.format('chunk_text')} AS toks FROM t_chunks WHERE scope = '{scope}'),
+cells AS (SELECT citation_label, attribute, len(toks) AS len, term, count(*) AS tf
+          FROM (SELECT *, unnest(toks) AS term FROM pool) GROUP BY ALL),
+spread AS (SELECT term, count(*) AS df FROM cells GROUP BY term),
+sizes AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM pool),
+asked AS (SELECT qid, wanted, len(ts) AS many, unnest(ts) AS term
+          FROM (SELECT qid, wanted, list_distinct({terms.format('question')}) AS ts FROM ({queries}))),
+scored AS (
+  SELECT qid, citation_label,
+         round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
+                   / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 4) AS score,
+         round(count(*) / max(many)::DOUBLE, 4) AS coverage
+  FROM asked JOIN cells USING (term) JOIN spread USING (term), sizes
+  WHERE wanted IS NULL OR wanted = attribute GROUP BY qid, citation_label),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, citation_label) AS INTEGER)
+              AS rank FROM scored WHERE score > 0)
+SELECT qid, citation_label, doc_id, doc_type, section_heading, chunk_text, score, coverage, rank
+FROM ranked JOIN pool USING (citation_label) WHERE rank <= {k})"""
+
+
+# The wording of the judge prompt.
 _JUDGE = """'You are grading a clinical copilot. Data is fully synthetic.' || chr(10) || chr(10)
   || 'QUESTION: ' || question || chr(10) || 'QUESTION CLASS: ' || question_class || chr(10)
   || 'EXPECTED EVIDENCE: ' || expected_evidence || chr(10)
@@ -174,8 +234,13 @@ WHERE patient_id IS NOT NULL""",
     # Ledger
     "evidence_ledger": "SELECT * FROM t_ledger",
     "evidence_pack": "SELECT * FROM t_packs WHERE pack_row <= 120",
+    "one_evidence_pack": "SELECT * EXCLUDE (patient_id) FROM t_ledger WHERE patient_id = 'SYN-P42'",
+    "patient_profile": """
+SELECT s.patient_id, p.full_name, p.attributed_clinic, lace_index, adjusted_score, risk_band,
+       score_explanation, (SELECT count(*) FROM t_gaps g WHERE g.patient_id = 'SYN-P42') AS open_gaps
+FROM t_risk s JOIN t_p360 p USING (patient_id) WHERE patient_id = 'SYN-P42'""",
     "full_record_top_risk": """
-SELECT * FROM t_packs WHERE pack_row <= 120 AND patient_id = (
+SELECT * FROM t_packs WHERE patient_id = (
   SELECT patient_id FROM t_points
   ORDER BY adjusted_score DESC, lace_index DESC, patient_id LIMIT 1)""",
     # Dashboard
@@ -334,33 +399,14 @@ GROUP BY term""",
     "no_evidence": """
 SELECT qid, question FROM t_golden
 WHERE qid NOT IN (SELECT qid FROM t_bm25 WHERE score > 0 AND coverage >= 0.35)""",
-    "note_search": r"""
-SELECT patient_id AS qid, citation_label, score, coverage, rank
-FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY patient_id ORDER BY score DESC, citation_label)
-                 AS INTEGER) AS rank
-  FROM (
-    SELECT patient_id, citation_label,
-           round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
-             / (tf + 1.2 * (0.25 + 0.75 * doc_length / mean_length))), 4) AS score,
-           round(count(*) / 5.0::DOUBLE, 4) AS coverage
-    FROM (SELECT patient_id, citation_label, doc_length, term, count(*) AS tf
-          FROM (SELECT patient_id, citation_label, len(toks) AS doc_length, unnest(toks) AS term
-                FROM (SELECT *, regexp_extract_all(lower(chunk_text), '[\p{L}\p{N}]+') AS toks
-                      FROM t_chunks WHERE scope = 'PATIENT_SPECIFIC'))
-          WHERE term IN ('barriers', 'documented', 'transportation', 'cost', 'caregiver')
-          GROUP BY ALL)
-    JOIN (SELECT term, count(*) AS df
-          FROM (SELECT DISTINCT citation_label, unnest(regexp_extract_all(lower(chunk_text),
-                  '[\p{L}\p{N}]+')) AS term FROM t_chunks WHERE scope = 'PATIENT_SPECIFIC')
-          GROUP BY term) USING (term)
-    CROSS JOIN (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(chunk_text),
-                  '[\p{L}\p{N}]+'))) AS mean_length
-                FROM t_chunks WHERE scope = 'PATIENT_SPECIFIC')
-    WHERE patient_id IN (SELECT patient_id FROM t_dim)
-    GROUP BY patient_id, citation_label)
-  WHERE score > 0)
-WHERE rank <= 6""",
+    "note_search": _chunk_search(
+        "PATIENT_SPECIFIC", "SELECT patient_id AS qid, 'barriers documented transportation cost "
+        "caregiver' AS question, patient_id AS wanted FROM t_dim", "patient_id", 6),
+    "policy_search": _chunk_search(
+        "INSTITUTIONAL", "SELECT qid, question, NULL AS wanted FROM t_golden UNION ALL "
+        "SELECT qid || '/' || t, question, t FROM t_golden, (SELECT unnest(['UTILIZATION_POLICY', "
+        "'REGULATORY_BULLETIN', 'QUALITY_MEASURE']) AS t)", "doc_type", 8),
+    "text_search": "SELECT * FROM t_bm25_top",
     "vector_topk": f"""
 SELECT CAST(c.label AS INTEGER) AS qid, e.vec_id, {_COSINE} AS score,
        CAST(row_number() OVER (PARTITION BY c.label ORDER BY {_COSINE} DESC, e.vec_id) AS INTEGER)
@@ -410,6 +456,8 @@ WHERE rank <= 5""",
     "row_access": _row_access(),
     "masked_panel": _masked_panel(),
     "masked_chunks": _masked_chunks(),
+    "masked_360": _masked_360(),
+    "masked_risk": _masked_risk(),
     "masked_ledger": _masked_ledger(),
     "grounding_scorecard": _SCORECARD,
     "scorecard_daily": _SCORECARD,
