@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from panel360.llm.common import fresh, let, once, stored, without
 
 GRAMS, BUCKETS = (3, 4), 4096
-EPOCHS, RATE, DECAY = 80, 4.0, 1e-4
+EPOCHS, RATE, DECAY = 80, 32.0, 1e-4
 MAX_LABELLED, MAX_RULES = 2000, 1000
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Words of the labelled table: hosts and paths to block, and others.
@@ -65,12 +65,14 @@ def path_of(url: Column) -> Column:
 
 def features(host: Column, path: Column) -> Column:
     """Buckets of all n-grams, repeats included."""
-    grams = [F.transform(
-        F.regexp_extract_all(F.concat(F.lit("^"), text, F.lit("$")), F.lit(f"(?s)(?=(.{{{n}}}))"),
-                             F.lit(1)),
-        lambda g, space=space: F.pmod(F.xxhash64(F.lit(space), g), F.lit(BUCKETS)).cast("int"))
-        for space, text in (("host", host), ("path", path)) for n in GRAMS]
-    return F.concat(*grams)
+    def of(space: str, text: Column, n: int) -> Column:
+        grams = F.regexp_extract_all(F.concat(F.lit("^"), text, F.lit("$")),
+                                     F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        return F.transform(grams, lambda g: F.pmod(F.xxhash64(F.lit(space), g),
+                                                   F.lit(BUCKETS)).cast("int"))
+
+    return F.concat(*[of(space, text, n) for space, text in (("host", host), ("path", path))
+                      for n in GRAMS])
 
 
 def _sigmoid(x: Column) -> Column:
