@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from panel360.functions import tokens
+from panel360.functions.arrow import map_arrow
 
 # Results per tool.
 POLICY_K, NOTES_K, LOOKUP_K = 8, 6, 5
@@ -268,7 +269,7 @@ def vector_scan(corpus: DataFrame, queries: DataFrame, k: int, key: str, vector:
                     pa.array([s for _, _, s in found], pa.float64())], schema.names)
 
     rows = corpus.select(key, F.col(vector).cast("array<double>"), *filters)
-    found = rows.mapInArrow(best, schema).withColumn("score", F.round("score", 4))
+    found = map_arrow(rows, best, schema).withColumn("score", F.round("score", 4))
     return _top(found, query_key, key, k)
 
 
