@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path inside the folder that `spark.checkpoint.dir` names, which driver and
-    executors share. Only a local session without that setting gets a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if context.applicationId not in _own:
-            _own[context.applicationId] = tempfile.mkdtemp(prefix="panel360-")
-            if context.getCheckpointDir() is None:
-                context.setCheckpointDir(_own[context.applicationId])
-        shared = _own[context.applicationId]
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to a scratch table and read back: lineage ends at files that outlive
-    any executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from panel360.sources.scratch import scratch, stored
 
+__all__ = ["fresh", "let", "once", "scratch", "slices", "stored", "without"]
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once, also where `body` uses it inside a lambda."""

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panel360.functions.arrow import map_arrow
 from panel360.llm.common import slices, stored, without
 
 SPAN, GRAM = 10, 5
@@ -206,7 +207,7 @@ def decontaminate(documents: DataFrame, items: DataFrame, text: str = "text",
         dealt = F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks)) == block
         index = documents.sparkSession.sparkContext.broadcast(
             Index([tuple(r) for r in questions.where(dealt).collect()], span, gram))
-        rows = rows.mapInArrow(_pass(index, at, added), schema)
+        rows = map_arrow(rows, _pass(index, at, added), schema)
         if block % CHAIN == CHAIN - 1 and block < blocks - 1:
             rows = stored(rows, "decontaminate")
     return rows

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from panel360.functions.arrow import map_arrow
 from panel360.llm.common import slices, without
 from panel360.llm.decontaminate import Words
 
@@ -183,4 +184,4 @@ def scan_licenses(docs: DataFrame, text: str = "text",
                 made = scanner.scan([(t or "").encode() for t in batch.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panel360.functions.arrow import map_arrow
 from panel360.llm.common import slices, without
 
 BUCKETS, WIDTH, GRAMS = 1 << 17, 8, (3, 4)
@@ -193,4 +194,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     [*batch.columns, pa.array(values, pa.float64()),
                      pa.array([int(v >= 0.5) for v in values], pa.int32())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panel360.functions.arrow import map_arrow
 from panel360.llm.common import stored
 
 SHARDS, ROWS_PER_RANGE, DRAWS, OVERFULL, ROUNDS = 24, 1_000_000, 64, 2.0, 6
@@ -56,7 +57,7 @@ def _in_ranges(rows: DataFrame, cuts: np.ndarray, parts: dict[int, int]) -> Data
                 [*batch.schema.names, "range", "sub"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, range long, sub long")
+    return map_arrow(rows, run, f"{fields}, range long, sub long")
 
 
 def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS,

@@ -34,6 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panel360.functions.arrow import map_arrow
+
 RECORDS_PER_FILE = 4000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
@@ -163,7 +165,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.mapInArrow(run, _CAPTURE)
+    return map_arrow(files, run, _CAPTURE)
 
 
 class LoserTree:
@@ -221,4 +223,4 @@ def merge_runs(captures: DataFrame, partitions: int | None = None) -> DataFrame:
         merged = table.take(order).append_column("place", pa.array(range(len(order)), pa.int64()))
         yield from merged.to_batches(max_chunksize=10_000)
 
-    return runs.mapInArrow(run, schema)
+    return map_arrow(runs, run, schema)
