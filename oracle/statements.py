@@ -150,6 +150,25 @@ _COSINE = """round(list_dot_product(e.v, c.q)
 STATEMENTS: dict[str, str] = {
     # Scans, dimension, rollups
     "html_title_scan": "SELECT page_id, title, body_text FROM t_html",
+    "csv_extract": """
+SELECT patient_id, member_id, first_name, last_name, birth_date, sex, city, state, postal_code,
+       primary_language, pcp_npi, 0 AS deceased_flag, data_source FROM t_patients""",
+    "partitioned_table": """
+SELECT attributed_clinic, count(*) AS patients, max(birth_date) AS youngest FROM t_dim
+GROUP BY attributed_clinic""",
+    "appended_log": """
+SELECT if(hour(asked_at) < 12, 'night', 'day') AS asked_by, asked_role, count(*) AS answers,
+       count(*) AS ids FROM t_audit GROUP BY ALL""",
+    "fact_claims": """
+SELECT *, CAST(2 * allowed_amount AS DECIMAL(18,2)) AS billed_amount,
+       CASE WHEN claim_type = 'FACILITY'
+            THEN 'DRG' || (CAST(split_part(claim_id, '-', 4) AS BIGINT) % 111 + 190) END AS drg_code
+FROM t_claims""",
+    "ed_visits": """
+SELECT concat('SYN-P', o_custkey) AS patient_id, count(*) AS visits,
+       CAST(count(*) FILTER (o_orderkey % 5 = 0) AS BIGINT) AS admitted,
+       max(CAST(o_orderdate AS DATE)) AS last_visit
+FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey""",
     "dim_patient": "SELECT * FROM t_dim",
     "patient_utilization": "SELECT * FROM t_util",
     "last_admission": "SELECT * EXCLUDE (readmit_30d) FROM t_last",

@@ -23,8 +23,10 @@ from panel360.operators import (
 from panel360.plans import bindings, questions, semantic
 from panel360.plans.panel import Panel
 from panel360.sources.documents import parse_html
+from panel360.sources.extracts import read_extract
 from panel360.sources.literals import inline_rows
 from panel360.sources.scratch import scratch
+from panel360.sources.tables import append_rows, audit_defaults, read_table, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +54,35 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return result
 
 
+# --- Scans and sinks -----------------------------------------------------------------------------
+
+def csv_extract(panel: Panel) -> DataFrame:
+    """The patients written as a CSV extract and read back with their schema."""
+    patients = panel.extracts["patients"]
+    path = scratch(patients.sparkSession, "csv")
+    (patients.write.option("header", True).option("quote", '"').option("escape", '"').csv(path))
+    return read_extract(patients.sparkSession, path, patients.schema)
+
+
+def partitioned_table(panel: Panel) -> DataFrame:
+    """The dimension written in folders by clinic and read back: patients by clinic."""
+    dim = panel.dim_patient
+    path = scratch(dim.sparkSession, "dim-by-clinic")
+    write_table(dim, path, ("attributed_clinic",))
+    return read_table(dim.sparkSession, path, dim.schema).groupBy("attributed_clinic").agg(
+        F.count("*").alias("patients"), F.max("birth_date").alias("youngest"))
+
+
+def appended_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The answer log appended in two parts, each given its own ids and askers."""
+    log = bindings.audit_log(spark, folder).drop("audit_id", "asked_by")
+    path = scratch(spark, "answer-log")
+    for user, part in (("night", "hour(asked_at) < 12"), ("day", "hour(asked_at) >= 12")):
+        append_rows(log.filter(part), path, audit_defaults(user, "ANALYST"))
+    return read_table(spark, path).groupBy("asked_by", "asked_role").agg(
+        F.count("*").alias("answers"), F.count_distinct("audit_id").alias("ids"))
+
+
 # --- Quality -------------------------------------------------------------------------------------
 
 def column_tests(panel: Panel) -> DataFrame:
@@ -218,6 +249,13 @@ def citation_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "html_title_scan": lambda spark, folder: parse_html(bindings.table(spark, folder, "pages")),
+    "csv_extract": _panel(csv_extract),
+    "partitioned_table": _panel(partitioned_table),
+    "appended_log": appended_log,
+    "fact_claims": _fact("claims", lambda claims: claims),
+    "ed_visits": _fact("ed_visits", lambda visits: visits.groupBy("patient_id").agg(
+        F.count("*").alias("visits"), F.sum("admitted_flag").alias("admitted"),
+        F.max("ed_visit_date").alias("last_visit"))),
     "dim_patient": _panel(lambda p: p.dim_patient),
     "patient_utilization": _panel(lambda p: rollups.patient_utilization(
         p.extracts["encounters"], p.as_of)),
