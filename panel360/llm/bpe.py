@@ -31,11 +31,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from panel360.functions.arrow import map_arrow
 from panel360.llm.common import slices, without
 
 #: Fixed value: how byte-level vocabularies of this family cut a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SHORT, MEMORY = 64, 250_000
+SHORT, MEMORY = 64, 150_000
 _ROWS = 1 << 13
 _NONE = 1 << 62
 _SAFE = regex.compile(r"(?<=\S) (?=\S)")
@@ -200,9 +201,7 @@ class Vocabulary:
         return out
 
     def decode(self, packed: bytes | None) -> str:
-        """The text of packed ids."""
-        ids = np.frombuffer(packed or b"", dtype="<u4").tolist()
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", errors="replace")
+        return decoded(packed, self.bytes)
 
 
 def _pieces(text: str) -> list[str]:
@@ -211,12 +210,24 @@ def _pieces(text: str) -> list[str]:
     return _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
 
 
+@lru_cache(maxsize=4)
+def byte_table(path: str) -> dict[int, bytes]:
+    """The bytes of each id: all that decoding needs."""
+    return Vocabulary(path).bytes
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     """One per worker process and file."""
     return Vocabulary(path)
 
 
+def decoded(packed: bytes | None, table: dict[int, bytes]) -> str:
+    """The text of packed ids."""
+    ids = np.frombuffer(packed or b"", dtype="<u4").tolist()
+    return b"".join(map(table.__getitem__, ids)).decode("utf-8", errors="replace")
+
+
 def _added(df: DataFrame, fields: dict[str, T.DataType], source: str, make) -> DataFrame:
     rows = without(df, fields)
     at = rows.columns.index(source)
@@ -228,7 +239,7 @@ def _added(df: DataFrame, fields: dict[str, T.DataType], source: str, make) -> D
                 made = make(batch.column(at))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -243,6 +254,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """`df` with `decoded`, the text of its packed ids."""
     def make(packed: pa.Array) -> list[pa.Array]:
-        return [pa.array([vocabulary(path).decode(p.as_py()) for p in packed], pa.string())]
+        table = byte_table(path)
+        return [pa.array([decoded(p.as_py(), table) for p in packed], pa.string())]
 
     return _added(df, {"decoded": T.StringType()}, ids, make)

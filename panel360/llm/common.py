@@ -39,7 +39,7 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in drop])
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `limit` bytes in one column, or one row where that is longer."""
     ends = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().cumsum()
     start = 0

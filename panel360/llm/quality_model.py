@@ -33,9 +33,9 @@ from panel360.functions.arrow import map_arrow
 from panel360.llm.common import slices, without
 
 BUCKETS, WIDTH, GRAMS = 1 << 17, 8, (3, 4)
-MAX_ROWS, MAX_BYTES = 4000, 32_000_000
+MAX_ROWS, MAX_BYTES = 2500, 16_000_000
 EPOCHS, RATE, SEED = 6, 2.0, 7
-MEMORY, _LONG = 250_000, 64
+MEMORY, _LONG = 150_000, 64
 _PRIME, _AGAIN = np.uint64(0x100000001B3), "\0again"
 
 
@@ -91,7 +91,7 @@ def document_features(words: list[str], known: dict[str, np.ndarray]) -> tuple:
     sizes = np.array([len(f) for f in found])
     weights = np.repeat(1.0 / sizes / len(words), sizes)
     buckets, at = np.unique(np.concatenate(found), return_inverse=True)
-    return buckets, np.bincount(at, weights=weights).astype(np.float32)
+    return buckets.astype(np.int32), np.bincount(at, weights=weights).astype(np.float32)
 
 
 @dataclass
@@ -116,6 +116,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     rng, known = np.random.default_rng(seed), {}
     docs = [document_features(words_of(t), known) for t in texts]
+    known.clear()
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     layer, bias = np.zeros((WIDTH, 2), np.float32), np.zeros(2, np.float32)
     weight = len(marks) / (2 * np.bincount(marks, minlength=2))
