@@ -105,7 +105,9 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", epochs: i
         by_bucket, F.col("id") == F.col("b"), "left").agg(F.sort_array(F.collect_list(F.struct(
             "id", F.coalesce("x", F.array().cast("array<struct<id:int,v:double>>")).alias("x"))))
         .alias("columns"))
-    arrays = stored(by_row.join(by_bucket), "url-training")  # one row and one row
+    # The two rows become one.
+    arrays = stored(by_row.unionByName(by_bucket, allowMissingColumns=True).agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("rows", "columns")]), "url-training")
 
     def step(w: Column, _: Column) -> Column:
         missed = F.transform("rows", lambda r: _sigmoid(F.get(w, F.lit(BUCKETS)) + F.aggregate(
