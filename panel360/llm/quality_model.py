@@ -5,32 +5,36 @@ that counts as one more word) has one vector for itself and one for each of
 its character n-grams, all found by hash; the word's vector is their mean, a document's the mean of its
 words', and a softmax layer turns that into the probability of label 1. Vectors and layer are
 learned together on the driver from a sample of labelled documents, of at most `MAX_ROWS` rows and
-`MAX_BYTES` bytes of whole texts, taken in the order of a hash of their text.
+`MAX_BYTES` bytes of whole texts, taken in the order of a hash of their id. A text that does not fit into
+what is left is passed over and later ones are taken; sizes and hashes choose the sample, and only
+chosen texts are moved. If these bounds leave out one of two labels, an error is raised.
 
 For scoring, each hashed vector is multiplied with the layer once, so a model is one number per
 bucket and a bias: `BUCKETS` floats sent to the tasks. Each task keeps the values of about `MEMORY`
 words it has met. Rows are neither shuffled nor grouped.
 
 Defined results: null and empty texts score by the bias; labels other than 0 and 1 are left out;
-ids labelled more than once count once for each label; repeated rows are each scored; an empty table
-gives no rows; without labelled rows, or with one label only, every score is 0.5. Other columns are
-kept, columns of the added names replaced.
+ids labelled more than once count once for each label; repeated rows are each scored, and the one with
+the smallest text hash is trained on; an empty table gives no rows; without labelled rows, or with one
+label only, every score is 0.5 (a warning says so where there are labels). Other columns are kept,
+columns of the added names replaced.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panel360.functions.arrow import map_arrow
-from panel360.llm.common import slices, without
+from panel360.llm.common import slices, stored, without
 
 BUCKETS, WIDTH, GRAMS = 1 << 17, 8, (3, 4)
 MAX_ROWS, MAX_BYTES = 2500, 16_000_000
@@ -143,15 +147,47 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     """At most `max_rows` labelled rows, not held out, and `max_bytes` bytes of their whole texts."""
     usable = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(key))).select(
         F.col(key).alias("key"), F.col(label).cast("int").alias("label")).distinct()
-    usable = usable.orderBy(F.xxhash64("key"), "label").limit(max_rows)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = rows.join(F.broadcast(usable), "key").select(
-        "label", "text", F.octet_length("text").alias("size"), F.xxhash64("text").alias("at"))
-    found = found.where("text IS NOT NULL").orderBy("at", "text", "label").limit(max_rows)
-    order = Window.partitionBy(F.lit(0)).orderBy("at", "text", "label").rowsBetween(
-        Window.unboundedPreceding, 0)
-    bounded = found.withColumn("total", F.sum("size").over(order)).where(F.col("total") <= max_bytes)
-    return [(r["text"], r["label"]) for r in bounded.orderBy("at", "text", "label").collect()]
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(
+        "key IS NOT NULL AND text IS NOT NULL")
+    measured = F.struct(F.xxhash64("text").alias("at"), F.octet_length("text").alias("size"))
+    sized = rows.groupBy("key").agg(F.min(measured).alias("one")).select(
+        F.xxhash64("key").alias("place"), "key", "one.*").join(usable, "key")
+    sized = stored(sized.select("place", "key", "label", "at", "size"), "training-sample")
+    chosen = _choose(sized, max_rows, max_bytes)
+    if len({r["label"] for r in chosen}) < 2:
+        known = sized.select("label").distinct().count()
+        if known == 2:
+            raise ValueError("the bounds of the training sample leave out a label: "
+                             f"{len(chosen)} rows in max_rows={max_rows}, max_bytes={max_bytes}")
+        if usable.take(1):
+            warnings.warn(f"labelled texts have {known} of 2 labels, so every score is 0.5")
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], sized.schema)
+    found = rows.join(F.broadcast(wanted), "key").where(
+        (F.xxhash64("text") == F.col("at")) & (F.octet_length("text") == F.col("size")))
+    found = found.groupBy("key", "label", "at").agg(F.min("text").alias("text"))
+    return [(r["text"], r["label"]) for r in found.orderBy("at", "text", "label").collect()]
+
+
+def _choose(sized: DataFrame, max_rows: int, max_bytes: int) -> list[Row]:
+    """Rows in the order of their place, each that fits into what is left of the bounds. A round
+    fetches the next rows that may fit, without their texts; the first one of a round does."""
+    chosen, left, after = [], max_bytes, F.lit(True)
+    names = ["place", "key", "label"]
+    while len(chosen) < max_rows:
+        asked = max_rows - len(chosen)
+        fitting = sized.where((F.col("size") <= left) & after)
+        found = fitting.orderBy(*names).limit(asked).collect()
+        for row in found:
+            if row["size"] <= left:
+                chosen.append(row)
+                left -= row["size"]
+        if len(found) < asked:
+            break
+        after = F.struct(*names) > F.struct(*[
+            F.lit(found[-1][n]).cast(sized.schema[n].dataType).alias(n) for n in names])
+    return chosen
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",

@@ -71,3 +71,46 @@ def test_defined_results(spark, small):
     untrained = q.train([], [])
     assert [r.score for r in q.score(df, untrained).collect()] == [0.5] * 4
     assert q.train(["a", "b"], [1, 1]).bias == 0.0
+
+
+def test_long_text_is_passed_over(spark):
+    kept = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    hashes = {r.id: r.h for r in spark.range(60).selectExpr("id", "xxhash64(id) h").collect()}
+    by_id = min(kept, key=hashes.get)
+    long = [f"{i} " * 2000 for i in range(100)]
+    schema = "doc_id long, text string"
+    found = spark.createDataFrame(list(enumerate(long)), schema).selectExpr("doc_id", "xxhash64(text) h")
+    by_text = long[min(found.collect(), key=lambda r: r.h).doc_id]
+    for at, body in ((by_id, long[0]), (kept[-1], by_text)):
+        docs = spark.createDataFrame([(i, body if i == at else f"t{i}") for i in range(60)], schema)
+        sample = q.training_sample(docs, labels, "doc_id", "text", "quality", max_bytes=1000)
+        assert sorted(t for t, _ in sample) == sorted(f"t{i}" for i in kept if i != at)
+        few = q.training_sample(docs, labels, "doc_id", "text", "quality", max_rows=9, max_bytes=1000)
+        assert len(few) == 9 and body not in [t for t, _ in few]
+        assert q.fit(docs, labels).values.any()
+
+
+def test_texts_that_fit_fill_the_sample_round_by_round(spark):
+    docs = spark.createDataFrame([(i, "x" * (1 + i % 50)) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+    hashes = {r.id: r.h for r in spark.range(600).selectExpr("id", "xxhash64(id) h").collect()}
+    want, left = [], 150
+    for i in sorted((i for i in range(600) if zlib.crc32(str(i).encode()) % 3 != 1), key=hashes.get):
+        if len(want) < 20 and 1 + i % 50 <= left:
+            want.append(("x" * (1 + i % 50), i % 2))
+            left -= 1 + i % 50
+    got = q.training_sample(docs, labels, "doc_id", "text", "quality", max_rows=20, max_bytes=150)
+    assert sorted(got) == sorted(want)
+
+
+def test_repeated_rows_train_once_and_lost_labels_are_told(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"t{i}") for i in range(40)] + [(ids[0], f"t{ids[0]}")] * 500 + [(ids[0], "other")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert len(q.training_sample(docs, labels, "doc_id", "text", "quality", max_rows=30)) == min(30, len(ids))
+    with pytest.raises(ValueError, match="leave out a label"):
+        q.training_sample(docs, labels, "doc_id", "text", "quality", max_bytes=1)
+    with pytest.warns(UserWarning, match="0.5"):
+        assert q.training_sample(docs.limit(0), labels, "doc_id", "text", "quality") == []
