@@ -114,3 +114,7 @@ def test_repeated_rows_train_once_and_lost_labels_are_told(spark):
         q.training_sample(docs, labels, "doc_id", "text", "quality", max_bytes=1)
     with pytest.warns(UserWarning, match="0.5"):
         assert q.training_sample(docs.limit(0), labels, "doc_id", "text", "quality") == []
+
+
+def test_bounds_of_the_sample():
+    assert (q.MAX_ROWS, q.MAX_BYTES) == (4000, 32_000_000)
