@@ -7,10 +7,13 @@ common. Documents are winnowed the same way, their kept k-grams are looked up am
 items, and each hit is extended to the spans that lie over it, which are compared byte for byte.
 An item shorter than a span is one span; such items are winnowed by their own length.
 
-The items form an index that travels to the tasks. Its size is checked: items are dealt into blocks of
-about `BLOCK_BYTES`, and the documents pass one block after the other, `CHAIN` blocks to a pass
-over the table. Documents are never shuffled, and no pair of a document and an item leaves a task
-other than in that document's own row.
+The items form an index that travels to the tasks, block by block. Repeated rows of an item are
+dropped, texts of more than `BLOCK_BYTES` are cut into pieces that share all but one word of a span,
+and the pieces are dealt into buckets by hash, whose bytes are counted: buckets are packed into blocks
+of at most `BLOCK_BYTES`, and are made smaller where one of several pieces has more. Only a single
+span, whose words are very long, can be a larger block. The documents pass one block after the
+other, `CHAIN` blocks to a pass over the table. Documents are never shuffled, and no pair of a
+document and an item leaves a task other than in that document's own row.
 
 Defined results: null and empty texts have no words and are clean; items without words match
 nothing; items with equal texts are each counted; repeated item ids are named once; repeated
@@ -27,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +39,7 @@ from panel360.llm.common import slices, stored, without
 
 SPAN, GRAM = 10, 5
 BLOCK_BYTES, CHAIN = 16_000_000, 4
+BUCKETS, MOST_BUCKETS = 64, 1 << 16  # for each block, and in all
 #: Fixed value: bytes that are part of a word. Others separate words.
 _WORD = np.array([b > 0x7F or chr(b).isalnum() for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
@@ -201,18 +205,58 @@ def decontaminate(documents: DataFrame, items: DataFrame, text: str = "text",
                        F.array().cast(added["items"].dataType).alias("items"))
     schema, at = rows.schema, rows.columns.index(text)
     questions = items.select(item_id, item_text).where(F.length(item_text) > 0)
-    size = questions.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    blocks = int(size // block_bytes) + 1
-    for block in range(blocks):
-        dealt = F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks)) == block
+    pieces = stored(map_arrow(questions, _cut(span, block_bytes), questions.schema).distinct(), "items")
+    blocks = _blocks(pieces, item_id, item_text, block_bytes)
+    for n, block in enumerate(blocks):
         index = documents.sparkSession.sparkContext.broadcast(
-            Index([tuple(r) for r in questions.where(dealt).collect()], span, gram))
+            Index([tuple(r) for r in pieces.where(block).collect()], span, gram))
         rows = map_arrow(rows, _pass(index, at, added), schema)
-        if block % CHAIN == CHAIN - 1 and block < blocks - 1:
+        if n % CHAIN == CHAIN - 1 and n < len(blocks) - 1:
             rows = stored(rows, "decontaminate")
     return rows
 
 
+def _cut(span: int, most: int):
+    """Items in pieces of at most `most` bytes, or one span, that together hold the same spans."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1):
+                owners, made = [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    words = Words([text.encode()])
+                    begin, end, n = 0, 0, len(words.start)
+                    while end < n:
+                        end = int(words.stop.searchsorted(words.start[begin] + most, side="right"))
+                        end = min(n, max(end, begin + span))
+                        owners.append(i)
+                        made.append(words.run(begin, end - begin).decode())
+                        begin = end - span + 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(owners, pa.int64())),
+                     pa.array(made, batch.column(1).type)], whole.schema.names)
+    return run
+
+
+def _blocks(pieces: DataFrame, item_id: str, item_text: str, block_bytes: int) -> list[Column]:
+    """Conditions that share out the pieces in blocks, by counted bytes."""
+    size = F.octet_length(item_text)
+    buckets = BUCKETS * int((pieces.agg(F.sum(size)).first()[0] or 0) // block_bytes + 1)
+    while True:
+        bucket = F.pmod(F.xxhash64(item_id, item_text), F.lit(buckets))
+        held = pieces.groupBy(bucket.alias("bucket")).agg(
+            F.sum(size).alias("bytes"), F.count("*").alias("n")).orderBy("bucket").collect()
+        if buckets >= MOST_BUCKETS or all(r["n"] == 1 or r["bytes"] <= block_bytes for r in held):
+            break
+        buckets *= 2
+    starts, total = [0], 0
+    for r in held:
+        if total and total + r["bytes"] > block_bytes:
+            starts.append(r["bucket"])
+            total = 0
+        total += r["bytes"]
+    return [(bucket >= a) & (bucket < b) for a, b in zip(starts, [*starts[1:], buckets])]
+
+
 def _pass(index, at: int, added: T.StructType):
     """Each row with what one block of items adds to it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

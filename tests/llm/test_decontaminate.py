@@ -87,3 +87,28 @@ def test_empty(spark, tmp_path):
     assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (2, 0, 0, False)
     none = spark.createDataFrame([], docs)
     assert d.decontaminate(none, spark.createDataFrame([(1, "a")], "item_id long, text string")).collect() == []
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    sizes, made = [], d.Index.__init__
+
+    def init(self, items, span, gram):
+        sizes.append(sum(len(t) for _, t in items))
+        made(self, items, span, gram)
+
+    monkeypatch.setattr(d.Index, "__init__", init)
+    monkeypatch.setattr(d, "CHAIN", 100)
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(400))
+    items = [(1, "ten words said again and again in one short text")] * 300 + [(2, long)]
+    items += [(i, " ".join(f"{i}x{k}" for k in range(12))) for i in range(3, 9)]
+    w = long.split()
+    rows = [(i, "pad " * i + " ".join(w[at:at + 12]) + " pad") for i, at in enumerate(range(0, 389, 7))]
+    rows += [(100, items[0][1]), (101, items[-1][1]), (102, long), (103, " ".join(w[20:29]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    got = d.decontaminate(df, asked, block_bytes=1000).collect()
+    assert 1 < len(sizes) < 15 and max(sizes) <= 1000
+    for r in got:
+        places = [p for s in r.hit_spans for p in range(s.start, s.end)]
+        assert (r.n_words, places, r["items"]) == brute(r.text, items)
