@@ -7,6 +7,7 @@ Jaccard similarity of such a window and the template. For each template length t
 the most rows with which that similarity collides with probability `CHANCE` or more. Collisions
 are candidates; containment is then counted on the shingles themselves, so nothing is reported that
 does not hold. A window without any template's shingle cannot collide and gets no signature.
+A notice that a text holds several times is returned each time.
 
 Templates are written by the caller and checked against `MAX_TEMPLATES`; texts are scanned row by
 row, without a shuffle.
@@ -19,7 +20,6 @@ table gives no rows. Other columns are kept, columns of the added names replaced
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +33,7 @@ from panel360.llm.decontaminate import Words
 
 SHINGLE, CONTAINMENT, STRETCH = 5, 0.8, 1.5
 HASHES, CHANCE, MAX_TEMPLATES = 128, 0.9999, 1000
+_COST = 1 << 32
 #: Notices as published with the licenses, under their SPDX identifiers.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -68,21 +69,36 @@ class Template:
         self.needed = math.ceil(CONTAINMENT * len(self.shingles))
         self.hashes = np.unique(words.grams(self.size)[0]) if self.n_words else np.empty(0, np.uint64)
 
-    def best(self, places: list[tuple[int, bytes]]) -> tuple[int, int, int] | None:
-        """The stretch with the most different shingles (of equals the first): their number, and the
-        places of its first word and behind its last. `places`: its shingles in a text, in order."""
-        inside, first, best = Counter(), 0, None
-        for at, shingle in places:
-            inside[shingle] += 1
-            while at + self.size - places[first][0] > self.stretch:
-                gone = places[first][1]
-                inside[gone] -= 1
-                if not inside[gone]:
-                    del inside[gone]
-                first += 1
-            if len(inside) >= self.needed and (best is None or len(inside) > best[0]):
-                best = len(inside), places[first][0], at + self.size
-        return best
+    def stretches(self, places: list[tuple[int, bytes]]) -> list[tuple[int, int, int]]:
+        """The stretches without common words that hold the most different shingles together, each
+        counted for itself (of equals the fewest, then the first): their number, and the places of
+        the first word and behind the last. `places`: its shingles in a text, in order."""
+        at = np.array([p for p, _ in places], np.int64)
+        before = (at + self.size).searchsorted(at, side="right")  # places whose words end before this
+        lowest = at.searchsorted(at + self.size - self.stretch)
+        held, last = np.zeros(len(at), np.int64), {}  # different shingles from each place till now
+        most, taken = np.zeros(len(at) + 1, np.int64), [None] * (len(at) + 1)
+        for j, (_, shingle) in enumerate(places):
+            most[j + 1], low = most[j], lowest[j]
+            held[max(low, last.get(shingle, -1) + 1):j + 1] += 1
+            last[shingle] = j
+            inside = held[low:j + 1]
+            if inside[0] >= self.needed:
+                # A stretch costs less than one shingle, so that fewer stretches win among equals.
+                total = np.where(inside >= self.needed,
+                                 most[before[low:j + 1]] + inside * _COST - 1, -1)
+                best = int(total.argmax())
+                if total[best] > most[j]:
+                    most[j + 1], taken[j + 1] = total[best], (low + best, int(inside[best]))
+        found, j = [], len(at)
+        while j:
+            if taken[j] is None:
+                j -= 1
+            else:
+                first, number = taken[j]
+                found.append((number, int(at[first]), int(at[j - 1]) + self.size))
+                j = int(before[first])
+        return found[::-1]
 
 
 class Scanner:
@@ -139,9 +155,9 @@ class Scanner:
                 named = [(p - low, words.run(p, size)) for p in places.tolist()]
                 for i in sorted(found):
                     t = self.templates[i]
-                    if best := t.best([x for x in named if x[1] in t.shingles]):
-                        out[text].append({"license": t.name, "start": best[1], "end": best[2],
-                                          "containment": best[0] / len(t.shingles)})
+                    for number, start, end in t.stretches([x for x in named if x[1] in t.shingles]):
+                        out[text].append({"license": t.name, "start": start, "end": end,
+                                          "containment": number / len(t.shingles)})
         for found in out:
             found.sort(key=lambda f: (f["start"], f["license"], f["end"]))
         return out

@@ -70,3 +70,30 @@ def test_table(spark):
     assert licenses.scan_licenses(df.limit(0)).collect() == []
     twice = licenses.scan_licenses(df, templates=(("A", line), ("B", line), ("C", "")))
     assert [f.license for f in twice.where("doc_id = 3").first().licenses] == ["A", "B"]
+
+
+def test_each_time_a_notice_occurs():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, template in licenses.TEMPLATES:
+        n = len(Words([template.encode()]).start)
+        for times in (2, 3, 7):
+            for gap in ("", "lorem ipsum " * 3, "and more text " * 200):
+                step = n + len(gap.split())
+                got = [(f["start"], f["end"]) for f in scanner.scan([f"{template} {gap}".encode() * times])[0]
+                       if f["license"] == name and f["end"] - f["start"] == n]
+                assert got == [(i * step, i * step + n) for i in range(times)], (name, times, gap)
+
+
+def test_damaged_notice_beside_a_whole_one():
+    words = licenses.TEMPLATES[1][1].split()
+    damaged = [*words[:12], "x", *words[12:]]
+    scanner = licenses.Scanner(licenses.TEMPLATES[1:2])
+    got = scanner.scan([" ".join([*damaged, *words, *damaged]).encode()])[0]
+    n = len(Words([" ".join(words).encode()]).start)
+    assert [(f["start"], f["end"]) for f in got] == [(0, n + 1), (n + 1, 2 * n + 1), (2 * n + 1, 3 * n + 2)]
+    assert got[0]["containment"] < 1 == got[1]["containment"]
+
+
+def test_a_notice_very_many_times():
+    line = licenses.TEMPLATES[0][1]
+    assert len(licenses.Scanner(licenses.TEMPLATES).scan([f"{line} ".encode() * 2000])[0]) == 2000
