@@ -34,7 +34,8 @@ from panel360.llm.decontaminate import Words
 SHINGLE, CONTAINMENT, STRETCH = 5, 0.8, 1.5
 HASHES, CHANCE, MAX_TEMPLATES = 128, 0.9999, 1000
 _COST = 1 << 32
-#: Notices as published with the licenses, under their SPDX identifiers.
+#: Notices as published with the licenses, under their SPDX identifiers. The last is a
+#: notice that grants no license; it has no such identifier.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
@@ -55,7 +56,8 @@ TEMPLATES = (
             "permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."))
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("LicenseRef-All-Rights-Reserved", "All rights reserved."))
 
 
 class Template:

@@ -97,3 +97,9 @@ def test_damaged_notice_beside_a_whole_one():
 def test_a_notice_very_many_times():
     line = licenses.TEMPLATES[0][1]
     assert len(licenses.Scanner(licenses.TEMPLATES).scan([f"{line} ".encode() * 2000])[0]) == 2000
+
+
+def test_reserved_rights():
+    got = licenses.Scanner(licenses.TEMPLATES).scan([b"A text.\nAll Rights Reserved.", b"all rights are reserved"])
+    assert [[(f["license"], f["start"], f["end"]) for f in found] for found in got] == [
+        [("LicenseRef-All-Rights-Reserved", 2, 5)], []]
