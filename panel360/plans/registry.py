@@ -77,7 +77,8 @@ def appended_log(spark: SparkSession, folder: str) -> DataFrame:
     """The answer log appended in two parts, each given its own ids and askers."""
     log = bindings.audit_log(spark, folder).drop("audit_id", "asked_by")
     path = scratch(spark, "answer-log")
-    for user, part in (("night", "hour(asked_at) < 12"), ("day", "hour(asked_at) >= 12")):
+    for user, part in (("night", "hour(asked_at) < 12"),
+                       ("day", "coalesce(hour(asked_at) >= 12, true)")):
         append_rows(log.filter(part), path, audit_defaults(user, "ANALYST"))
     return read_table(spark, path).groupBy("asked_by", "asked_role").agg(
         F.count("*").alias("answers"), F.count_distinct("audit_id").alias("ids"))

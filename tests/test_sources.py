@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panel360 import schemas
+from panel360.plans import registry
 from panel360.sources import append_rows, conform, inline_rows, read_documents, read_extract
 from panel360.sources.tables import audit_defaults
 
@@ -59,6 +60,14 @@ def test_append_fills_defaults(spark, tmp_path):
     assert {r.asked_role for r in log.collect()} == {"ANALYST"}
 
 
+def test_rows_without_time_are_appended(spark, monkeypatch):
+    log = spark.sql("SELECT CAST(t AS timestamp_ntz) AS asked_at, 'x' AS audit_id, 'x' AS asked_by "
+                    "FROM VALUES ('2026-01-01 03:00:00'), ('2026-01-01 12:00:00'), (NULL) AS v(t)")
+    monkeypatch.setattr(registry.bindings, "audit_log", lambda spark, folder: log)
+    got = {r.asked_by: (r.answers, r.ids) for r in registry.appended_log(spark, "").collect()}
+    assert got == {"night": (1, 1), "day": (2, 2)}
+
+
 def test_schemas_hold_money_as_decimals():
     kinds = {f.name: f.dataType.simpleString() for f in schemas.CLAIMS.fields}
     assert kinds["allowed_amount"] == "decimal(18,2)" and len(schemas.EXTRACTS) == 8
