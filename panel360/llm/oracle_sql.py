@@ -63,5 +63,22 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
+_REPEATS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 49], ' ') AS s
+  FROM d, LATERAL unnest(range(1, len(w) - 48)) AS t(i) WHERE doc_id IS NOT NULL),
+found AS (SELECT r, i FROM runs JOIN (SELECT s, min(doc_id) AS first FROM runs GROUP BY s) USING (s)
+          WHERE first < doc_id),
+gone AS (SELECT DISTINCT r, i + k AS i FROM found, LATERAL unnest(range(0, 50)) AS t(k)),
+words AS (SELECT r, i, w[i] AS word FROM d, LATERAL unnest(range(1, len(w) + 1)) AS t(i)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS body
+         FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) USING (r)"""
+
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": _CHAT, "op5_warc_index": _WARC,
-                              "op6_decontamination": _LEAKS}
+                              "op6_decontamination": _LEAKS, "op13_substring_dedup": _REPEATS}

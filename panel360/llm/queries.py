@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and their independent SQL."""
+"""The registered queries of the operators."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panel360.llm import (bpe, chat, decontaminate, licenses, quality_model, quality_rules, sharding,
-                          simhash, urlfilter, warc)
+                          simhash, substring, urlfilter, warc)
 from panel360.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +132,14 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", gone.alias("n_removed"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_chat_formatting, op2_simhash_near_dedup, op3_bpe_encoding, op4_quality_rules, op5_warc_index,
-    op6_decontamination, op7_license_scan, op8_sharding, op9_url_filter, op10_quality_classifier)}
+    op6_decontamination, op7_license_scan, op8_sharding, op9_url_filter, op10_quality_classifier,
+    op13_substring_dedup)}
