@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panel360.llm import (bpe, chat, decontaminate, licenses, quality_model, quality_rules, sharding,
-                          simhash, substring, urlfilter, warc)
-from panel360.llm.common import scratch
+from panel360.llm import (bpe, chat, decontaminate, licenses, merkle, quality_model, quality_rules,
+                          sharding, simhash, substring, urlfilter, warc)
+from panel360.llm.common import scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,6 +132,18 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    leaves = stored(table(spark, folder, "documents").select(
+        "doc_id", "lang", merkle.leaf_digest(*fields, F.col("text")).alias("leaf"),
+        F.when(tampered, merkle.leaf_digest(*fields, lowered)).alias("changed")), "leaves")
+    made = merkle.manifest(leaves, "lang", "doc_id", changed="changed")
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"),
+                       "folded_root", "verified")
+
+
 def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring.dedup(table(spark, folder, "documents").select("doc_id", "text"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -142,4 +154,4 @@ def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_chat_formatting, op2_simhash_near_dedup, op3_bpe_encoding, op4_quality_rules, op5_warc_index,
     op6_decontamination, op7_license_scan, op8_sharding, op9_url_filter, op10_quality_classifier,
-    op13_substring_dedup)}
+    op11_merkle_manifest, op13_substring_dedup)}
