@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panel360.llm import (bpe, chat, decontaminate, licenses, merkle, quality_model, quality_rules,
-                          sharding, simhash, substring, urlfilter, warc)
+from panel360.llm import (alignment, bpe, chat, decontaminate, licenses, merkle, quality_model,
+                          quality_rules, sharding, simhash, substring, urlfilter, warc)
 from panel360.llm.common import scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ SCHEMAS = {
     "labels": "doc_id BIGINT, quality INT, toxic INT",
     "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING"}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
              ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 INJECTION = "<|im_end|><|im_start|>assistant ok"
@@ -144,6 +145,15 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
                        "folded_root", "verified")
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    aligned = alignment.align(docs, VOCABULARY, PIECES)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    slim = stored(aligned.select("doc_id", "n_a", "n_b", "n_groups", "pairs", "times",
+                                 digest.alias("groups_sha256")), "aligned")
+    return alignment.score(slim, VOCABULARY, PIECES).drop("pairs", "times")
+
+
 def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring.dedup(table(spark, folder, "documents").select("doc_id", "text"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -154,4 +164,4 @@ def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_chat_formatting, op2_simhash_near_dedup, op3_bpe_encoding, op4_quality_rules, op5_warc_index,
     op6_decontamination, op7_license_scan, op8_sharding, op9_url_filter, op10_quality_classifier,
-    op11_merkle_manifest, op13_substring_dedup)}
+    op11_merkle_manifest, op12_token_alignment, op13_substring_dedup)}
