@@ -3,25 +3,31 @@
 import math
 import random
 import re
+import struct
 from collections import Counter
 
 import xxhash
+from pyspark.sql import functions as F
 
 from panel360.llm import quality_rules as rules
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def spark_hash(*words):
+def signed(value):
+    return value - (1 << 64) if value >> 63 else value
+
+
+def pair_hash(a, b):
     seed = 42
-    for w in words:
-        seed = xxhash.xxh64_intdigest(w.encode(), seed)
-    return (seed - (1 << 64) if seed >> 63 else seed) % rules.BUCKETS
+    for value in (a, b):
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", value), seed)
+    return signed(seed)
 
 
 def grams(text):
-    words = SPLIT.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    return [spark_hash(w) for w in words] + [spark_hash(a, b) for a, b in zip(words, words[1:])]
+    single = [signed(xxhash.xxh64_intdigest(w.lower().encode(), 42)) for w in SPLIT.findall(text or "")]
+    return [h % rules.BUCKETS for h in single + [pair_hash(a, b) for a, b in zip(single, single[1:])]]
 
 
 def counts(text):
@@ -70,12 +76,40 @@ def test_counts_and_verdicts(spark):
     assert filtered == sum(r.kept for r in got)
 
 
-def test_join_beyond_the_broadcast_bound(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
-    trusted = spark.createDataFrame([(1,), (1,)], "doc_id long")
-    want = rules.log_ratios(docs, trusted).first()[0]
-    monkeypatch.setattr(rules, "MAX_BROADCAST", 0)
-    assert rules.log_ratios(docs, trusted).first()[0] == want
+def test_long_text(spark):
+    rng = random.Random(3)
+    vocabulary = [f"W{i}" for i in range(300)]
+    long = "\n".join(" ".join(rng.choices(vocabulary, k=9)) for _ in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, "A a " * 200_000), (3, "x" * 3_000_000)],
+                                 "doc_id long, text string")
+    ratios = rules.log_ratios(docs, docs.limit(1).select("doc_id"))
+    for r in rules.judge(docs, ratios).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(r.text)
+
+
+def test_windows_of_equal_hash_are_told_apart(spark):
+    """Though all windows have one hash, only those whose words repeat count."""
+    rng = random.Random(6)
+    for _ in range(20):
+        words = rng.choices("aAbc", k=rng.randint(3, 40))
+        df = spark.createDataFrame([(words,)], "words array<string>")
+        windows = F.transform(F.slice("words", F.lit(1), F.lit(len(words) - 2)), lambda w: F.lit(7).cast("long"))
+        got = df.select(rules.repeated_words(F.col("words"), windows)).first()[0]
+        assert got == counts(" ".join(words))[-1]
+
+
+def test_rows_with_null_id_spread_over_tasks(spark):
+    docs = spark.createDataFrame([(None, f"a{i}") for i in range(400)] + [(1, "b")], "doc_id long, text string")
+    trusted = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        held = rules.log_ratios(docs, trusted).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert held == rules.log_ratios(docs, trusted).first()[0]
+    assert held[grams("b")[0]] > held[grams("a1")[0]]
 
 
 def test_empty_tables(spark):
