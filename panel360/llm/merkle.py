@@ -11,7 +11,7 @@ the left is never hashed again. Without change the same folding proves the leaf.
 Ranks come from a range partition: rows are sorted by tree and order, written with their place, and
 the place of a tree's first row in each partition follows from counts per partition. A task then holds
 `FANOUT ** LEVELS` neighbouring nodes at most, builds their `LEVELS` levels and hands on one node; tier
-by tier there are 32,768 times fewer. Downwards each such group gets one row with the siblings above
+by tier there are 4,096 times fewer. Downwards each such group gets one row with the siblings above
 it, and its leaves are folded where its midstates are. So a tree of any size, or one that holds all
 rows, is spread over tasks; no digest passes the driver but the root.
 
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from panel360.functions.arrow import map_arrow
 from panel360.llm.common import stored, without
 
-FANOUT, LEVELS = 8, 5
+FANOUT, LEVELS = 8, 4
 ADDED = ("subroot", "root", "proof", "folded_root", "verified")
 _PLACE_BITS = 33  # of a monotonically increasing id: the row within its partition
 _OUT_ROWS = 1_000
