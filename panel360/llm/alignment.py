@@ -199,7 +199,7 @@ def align(documents: DataFrame, bpe_path: str, piece_path: str, text: str = "tex
     keyed = rows.where(long).withColumn(key, F.sha2(text, 256))
     whole = _long(keyed.select(F.col(key).alias("key"), F.col(text).alias("body")), bpe_path, piece_path,
                   chunk, added)
-    joined = keyed.join(whole.withColumnRenamed("key", key), key).select(schema.names)
+    joined = keyed.join(whole.withColumnRenamed("key", key).hint("merge"), key).select(schema.names)
     return short.union(joined)
 
 
@@ -219,7 +219,7 @@ def _short(bpe_path: str, piece_path: str, at: int, names: list[str]):
     """Whole texts, a batch of them side by side."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, at, 500_000):
+            for batch in slices(whole, at, 250_000):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made(batch.column(at))], names)
 
     def made(texts: pa.Array) -> list[pa.Array]:
@@ -253,9 +253,9 @@ def _long(texts: DataFrame, bpe_path: str, piece_path: str, chunk: int, added: T
         T.StructField("cut", T.BooleanType()), T.StructField("head_a", ids), T.StructField("head_b", ids),
         T.StructField("closed", T.StringType()), T.StructField("tail_a", ids), T.StructField("tail_b", ids),
         added["pairs"], added["times"]])
-    cut = map_arrow(texts.dropDuplicates(["key"]), _ranges(chunk, ranges.names), ranges)
-    made = stored(map_arrow(cut.repartition("key", "at"), _fragments(bpe_path, piece_path, fragments.names),
-                            fragments), "fragments")
+    # One shuffle spreads the ranges and drops those of equal texts.
+    cut = map_arrow(texts, _ranges(chunk, ranges.names), ranges).dropDuplicates(["key", "at"])
+    made = stored(map_arrow(cut, _fragments(bpe_path, piece_path, fragments.names), fragments), "fragments")
     left = made.agg(F.max("parts")).first()[0] or 1
     while left > 1:
         dealt = made.withColumn("goal", F.floor(F.col("at") / FANIN))
