@@ -426,6 +426,23 @@ WHERE qid NOT IN (SELECT qid FROM t_bm25 WHERE score > 0 AND coverage >= 0.35)""
         "SELECT qid || '/' || t, question, t FROM t_golden, (SELECT unnest(['UTILIZATION_POLICY', "
         "'REGULATORY_BULLETIN', 'QUALITY_MEASURE']) AS t)", "doc_type", 8),
     "text_search": "SELECT * FROM t_bm25_top",
+    "similar_documents": """
+SELECT * FROM (WITH freq AS (SELECT term, count(*) AS df FROM t_postings GROUP BY term),
+sizes AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM t_tokens),
+ideas AS (
+  SELECT doc_id AS qid, term, row_number() OVER (PARTITION BY doc_id ORDER BY
+           round(tf * ln(1 + (n - df + 0.5) / (df + 0.5)), 6) DESC, term) AS place
+  FROM t_postings JOIN freq USING (term), sizes WHERE doc_id % 50 = 0),
+scored AS (
+  SELECT qid, doc_id,
+         round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
+                   / (tf + 1.2 * (0.25 + 0.75 * doc_length / mean))), 4) AS score,
+         round(count(*)::DOUBLE / max(many), 4) AS coverage
+  FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS many FROM ideas WHERE place <= 12)
+    JOIN t_postings USING (term) JOIN freq USING (term), sizes
+  GROUP BY qid, doc_id)
+SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+FROM scored WHERE score > 0 QUALIFY rank <= 8)""",
     "vector_topk": f"""
 SELECT CAST(c.label AS INTEGER) AS qid, e.vec_id, {_COSINE} AS score,
        CAST(row_number() OVER (PARTITION BY c.label ORDER BY {_COSINE} DESC, e.vec_id) AS INTEGER)

@@ -14,6 +14,7 @@ from panel360.operators import (
     evals,
     gaps,
     governance,
+    index,
     ledger,
     quality,
     risk,
@@ -25,7 +26,7 @@ from panel360.plans.panel import Panel
 from panel360.sources.documents import parse_html
 from panel360.sources.extracts import read_extract
 from panel360.sources.literals import inline_rows
-from panel360.sources.scratch import scratch
+from panel360.sources.scratch import scratch, stored
 from panel360.sources.tables import append_rows, audit_defaults, read_table, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,7 +115,7 @@ def _chunk_index(panel: Panel, scope: str) -> str:
     """A stored index over the chunks of one scope."""
     chunks = panel.chunks.filter(F.col("scope") == scope)
     path = scratch(chunks.sparkSession, f"index-{scope.lower()}")
-    search.write_index(chunks, path, "citation_label", "chunk_text", search.INDEX_ATTRIBUTES)
+    index.write_index(chunks, path, "citation_label", "chunk_text", index.INDEX_ATTRIBUTES)
     return path
 
 
@@ -122,7 +123,7 @@ def note_search(panel: Panel) -> DataFrame:
     """Every patient's own notes, searched for barriers: as many queries as patients."""
     asked = panel.dim_patient.select(F.col("patient_id").alias("qid"), "patient_id",
                                      F.lit(NOTE_QUESTION).alias("question"))
-    return search.search_index(
+    return index.search_index(
         asked.sparkSession, _chunk_index(panel, "PATIENT_SPECIFIC"), asked, search.NOTES_K,
         "citation_label", "chunk_text", ("doc_id", "doc_type", "section_heading"),
         filters=("patient_id",)).select("qid", "citation_label", "doc_id", "doc_type",
@@ -140,13 +141,36 @@ def policy_search(panel: Panel) -> DataFrame:
     shown = ("qid", "citation_label", "doc_id", "doc_type", "section_heading", "chunk_text",
              "score", "coverage", "rank")
     attributes = ("doc_id", "doc_type", "section_heading")
-    every = search.search_index(spark, path, golden, search.POLICY_K, "citation_label", "chunk_text",
-                                attributes)
-    by_type = search.search_index(spark, path, narrowed, search.POLICY_K, "citation_label",
-                                  "chunk_text", attributes, filters=("doc_type",))
+    every = index.search_index(spark, path, golden, search.POLICY_K, "citation_label", "chunk_text",
+                               attributes)
+    by_type = index.search_index(spark, path, narrowed, search.POLICY_K, "citation_label",
+                                 "chunk_text", attributes, filters=("doc_type",))
     return every.select(*shown).unionByName(by_type.select(*shown))
 
 
+def revised_index(spark: SparkSession, folder: str) -> str:
+    """An index of the documents in two segments. Those in other languages than English come first with
+    their language's name for a text and are revised by the second segment."""
+    path = scratch(spark, "index-documents")
+    texts = bindings.table(spark, folder, "documents").select(
+        "doc_id", "text", "lang", F.coalesce(F.col("lang") != "en", F.lit(True)).alias("revised"))
+    index.write_index(texts.select("doc_id", F.when(F.col("revised"), F.col("lang")).otherwise(
+        F.col("text")).alias("text")), path, "doc_id", "text")
+    later = texts.filter("revised")
+    index.write_segment(later.select("doc_id", "text"), path, 1, "doc_id", "text",
+                        dead=later.select("doc_id", F.lit(0).alias("of")))
+    index.commit(spark, path, 1)
+    return path
+
+
+def similar_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """For every document whose id is divisible by 50, the documents that its most distinctive terms
+    find, over an index with a revision."""
+    path = revised_index(spark, folder)
+    asked = stored(index.distinctive_terms(spark, path, "doc_id", F.col("doc_id") % 50 == 0), "asked")
+    return index.search_index(spark, path, asked, search.POLICY_K, "doc_id", "text").drop("text")
+
+
 def text_search_all(spark: SparkSession, folder: str) -> DataFrame:
     """The golden questions over documents, by the plan for any number of queries."""
     return search.text_search(bindings.table(spark, folder, "documents"),
@@ -333,6 +357,7 @@ QUERIES: dict[str, Query] = {
     "note_search": _panel(note_search),
     "policy_search": _panel(policy_search),
     "text_search": text_search_all,
+    "similar_documents": similar_documents,
     "vector_topk": vector_topk,
     "hybrid_topk": hybrid_topk,
     "patient_lookup": patient_lookup,

@@ -1,6 +1,12 @@
 """Incremental intake of documents and the live scorecard."""
 
-from panel360.streaming.documents import compact, ingest_documents, read_ingested
+from panel360.streaming.documents import (
+    compact,
+    ingest_documents,
+    read_ingested,
+    search_ingested,
+)
 from panel360.streaming.scorecard import read_scorecard, start_scorecard
 
-__all__ = ["compact", "ingest_documents", "read_ingested", "read_scorecard", "start_scorecard"]
+__all__ = ["compact", "ingest_documents", "read_ingested", "read_scorecard", "search_ingested",
+           "start_scorecard"]

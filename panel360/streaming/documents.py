@@ -1,9 +1,14 @@
-"""Documents extracted once each, as they arrive, into metadata, chunk, signal and index tables.
+"""Documents extracted once each, as they arrive, into metadata, chunk and signal tables and a text index.
 
-Every micro-batch owns one partition of each table and replaces it as a whole, so a batch that runs
-again after a failure leaves the same rows, not twice as many. Every delivered file is kept, however
-old its time stamp; a reader sees the newest version of each document id. The file source takes a
-path once, so a revision must come under a new file name.
+Every micro-batch owns one partition of each table and one segment of the index. Its row in the index's
+`commits` is written last: readers take committed batches only, so between two writes of a batch, or
+after a stop there, all tables still show the state before it. A batch that runs again replaces what
+it wrote; one that was committed is left as it is.
+
+Every delivered file is kept, however old its time stamp; a reader sees the newest version of each
+document id. The index holds the chunks of newest versions: a revision buries those of the version
+before, a version older than the one known is never indexed. The file source takes a path once, so a
+revision must come under a new file name.
 """
 
 from __future__ import annotations
@@ -12,10 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from panel360.operators import docs, search
+from panel360.operators import docs, index
 from panel360.sources.documents import stream_documents
 
-TABLES = ("doc_metadata", "doc_chunk", "doc_signal", "postings")
+TABLES = ("doc_metadata", "doc_chunk", "doc_signal")
+LABEL, TEXT = "citation_label", "chunk_text"
 
 
 def _newest(metadata: DataFrame, *ties: str) -> DataFrame:
@@ -25,6 +31,19 @@ def _newest(metadata: DataFrame, *ties: str) -> DataFrame:
         F.struct(*columns), F.struct("modified_at", *ties)).alias("_row")).select("doc_id", "_row.*")
 
 
+def _save(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
+def _batches(spark: SparkSession, out: str, table: str) -> DataFrame | None:
+    """The committed rows of a table with their batch."""
+    known = sorted(index.committed(spark, f"{out}/index"))
+    if not known:
+        return None
+    return spark.read.option("basePath", f"{out}/{table}").parquet(
+        *[f"{out}/{table}/batch={b}" for b in known])
+
+
 def ingest_documents(spark: SparkSession, folder: str, out: str, checkpoint: str,
                      every: str | None = "1 hour", pattern: str = "*.md") -> StreamingQuery:
     """Start the intake. `every` is the longest time the index may lag behind; None takes what is
@@ -35,17 +54,29 @@ def ingest_documents(spark: SparkSession, folder: str, out: str, checkpoint: str
         def part(table: str) -> str:
             return f"{out}/{table}/batch={batch_id}"
 
+        if batch_id in index.committed(spark, f"{out}/index"):
+            return
         # Of several versions in one batch the newest; between batches the reader decides.
         newest = _newest(batch, "file_name")
-        newest.write.mode("overwrite").parquet(part("doc_metadata"))
+        _save(newest, part("doc_metadata"))
         metadata = spark.read.schema(newest.schema).parquet(part("doc_metadata"))
         chunks = docs.doc_chunks(metadata)
-        chunks.write.mode("overwrite").parquet(part("doc_chunk"))
-        docs.safety_flags(docs.doc_signals(metadata)).write.mode("overwrite").parquet(
-            part("doc_signal"))
+        _save(chunks, part("doc_chunk"))
+        _save(docs.safety_flags(docs.doc_signals(metadata)), part("doc_signal"))
         stored = spark.read.schema(chunks.schema).parquet(part("doc_chunk"))
-        search.postings(stored, "citation_label", "chunk_text", search.INDEX_ATTRIBUTES).write.mode(
-            "overwrite").parquet(part("postings"))
+        dead, known = None, _batches(spark, out, "doc_metadata")
+        if known is not None:
+            mine = metadata.select("doc_id", F.col("modified_at").alias("_mine"))
+            before = _newest(known.select("doc_id", "modified_at", "batch").join(
+                mine.select("doc_id"), "doc_id", "left_semi"), "batch").withColumnRenamed("batch", "of")
+            versions = mine.join(before, "doc_id")
+            late = versions.filter("modified_at > _mine")
+            stored = stored.join(late.select("doc_id"), "doc_id", "left_anti")
+            old = versions.filter("modified_at <= _mine").select("doc_id", F.col("of").alias("batch"))
+            dead = _batches(spark, out, "doc_chunk").join(old, ["doc_id", "batch"]).select(
+                LABEL, F.col("batch").alias("of"))
+        index.write_segment(stored, f"{out}/index", batch_id, LABEL, TEXT, index.INDEX_ATTRIBUTES, dead)
+        index.commit(spark, f"{out}/index", batch_id)
 
     files = docs.doc_metadata(stream_documents(spark, folder, pattern), keep=("modified_at",))
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -55,20 +86,32 @@ def ingest_documents(spark: SparkSession, folder: str, out: str, checkpoint: str
 
 
 def read_ingested(spark: SparkSession, out: str, table: str) -> DataFrame:
-    """The rows of the newest version of every document."""
+    """The rows of the newest committed version of every document."""
     if table not in TABLES:
         raise ValueError(f"unknown table {table!r}")
-    versions = _newest(spark.read.parquet(f"{out}/doc_metadata"), "batch")
+    known = _batches(spark, out, "doc_metadata")
+    if known is None:
+        raise ValueError(f"no committed batch under {out}")
+    versions = _newest(known, "batch")
     if table == "doc_metadata":
         return versions
-    rows = spark.read.parquet(f"{out}/{table}")
+    rows = _batches(spark, out, table)
     return rows.join(versions.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").select(
         rows.columns)
 
 
+def search_ingested(spark: SparkSession, out: str, queries: DataFrame, k: int, **options) -> DataFrame:
+    """Top k chunks per query of what has been taken in up to the last committed batch; `options` as
+    for `index.search_index`."""
+    return index.search_index(spark, f"{out}/index", queries, k, LABEL, TEXT, **options)
+
+
 def compact(spark: SparkSession, out: str, target: str) -> None:
-    """Write the newest versions to the tables of a new folder, each row under its own batch number in
-    as few files as its batches need; the intake may go on there."""
+    """Write the newest versions to the tables of a new folder as one batch, the last committed one,
+    and the index as one segment; the intake may go on there."""
+    known = index.committed(spark, f"{out}/index")
+    if not known:
+        raise ValueError(f"no committed batch under {out}")
     for table in TABLES:
-        read_ingested(spark, out, table).repartition("batch").write.partitionBy("batch").parquet(
-            f"{target}/{table}")
+        _save(read_ingested(spark, out, table).drop("batch"), f"{target}/{table}/batch={max(known)}")
+    index.merge(spark, f"{out}/index", f"{target}/index", LABEL, max(known))

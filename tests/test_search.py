@@ -99,19 +99,6 @@ def test_scan_of_many_vectors_keeps_ties_and_odd_rows(spark):
     assert set(got) == {*range(6), 8} and [i for _, i, _ in got[8]] == [302]
 
 
-def test_stored_index_gives_the_scores_of_a_scan(spark, corpus, tmp_path):
-    path = str(tmp_path / "index")
-    search.write_index(corpus, path, "doc_id", "text", buckets=3)
-    asked = spark.createDataFrame([("q1", "the cat the"), ("q2", "nothing known"), ("q3", "dog")],
-                                  "qid string, question string")
-    scanned = search.text_search(corpus, asked, 5, "doc_id", "text")
-    found = search.search_index(spark, path, asked, 5, "doc_id", "text")
-    assert sorted(map(tuple, found.select(*scanned.columns).collect())) == sorted(
-        map(tuple, scanned.collect()))
-    texts = {r.doc_id: r.text for r in corpus.collect()}
-    assert all(r.text == texts[r.doc_id] for r in found.collect())
-
-
 def test_corpus_terms_equal_the_index_and_shuffle_once(spark, corpus):
     direct = search.corpus_terms(corpus, "text")
     stored = search.term_stats(search.postings(corpus, "doc_id", "text"))

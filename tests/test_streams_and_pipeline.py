@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panel360 import schemas
-from panel360.operators import docs, governance, quality
+from panel360.operators import docs, governance, index, quality, search
 from panel360.operators.audit import grounding_scorecard
 from panel360.plans import pipeline
 from panel360.plans.panel import Panel
@@ -17,8 +17,10 @@ from panel360.streaming import (
     ingest_documents,
     read_ingested,
     read_scorecard,
+    search_ingested,
     start_scorecard,
 )
+from panel360.streaming import documents as stream_module
 from test_documents import NOTE, POLICY
 
 
@@ -47,7 +49,8 @@ def test_documents_are_extracted_once(spark, tmp_path):
     assert ({r.citation_label for r in chunks.collect()}
             == {r.citation_label for r in batch.collect()})
     assert read_ingested(spark, out, "doc_signal").first().has_barrier
-    terms = read_ingested(spark, out, "postings").filter("term = 'criteria'").collect()
+    terms = index.read_index(spark, f"{out}/index", "postings", "citation_label").filter(
+        "term = 'criteria'").collect()
     assert [t.citation_label for t in terms] == ["PA-CARD-014 — Coverage Criteria (chunk 1)"]
     with pytest.raises(ValueError):
         read_ingested(spark, out, "nothing")
@@ -81,15 +84,76 @@ def test_old_files_and_revisions_count(spark, tmp_path):
                             ("doc_chunk", docs.doc_chunks(batch), ("citation_label", "chunk_text"))):
         want = sorted(tuple(r) for r in made.select(*by).collect())
         assert sorted(tuple(r) for r in read_ingested(spark, out, table).select(*by).collect()) == want
-    words = {r.term for r in read_ingested(spark, out, "postings").collect()}
+    words = {r.term for r in index.read_index(spark, f"{out}/index", "terms", "citation_label").collect()}
     assert "thirty" in words and "again" in words and "delivered" not in words
+    asked = spark.createDataFrame(
+        [("q1", "revised again course"), ("q2", "thirty days old cost"), ("q3", "coverage criteria arni"),
+         ("q4", "an older version delivered late"), ("q5", "first")], "qid string, question string")
+
+    def found(df):
+        return sorted(map(tuple, df.select("qid", "citation_label", "score", "coverage", "rank").collect()))
+
+    want = found(search.text_search(docs.doc_chunks(batch), asked, 4, "citation_label", "chunk_text"))
+    assert found(search_ingested(spark, out, asked, 4)) == want
     target = str(tmp_path / "compacted")
     compact(spark, out, target)
-    for table in ("doc_chunk", "doc_signal", "postings"):
-        names = read_ingested(spark, out, table).columns
+    for table in ("doc_chunk", "doc_signal"):
+        names = [c for c in read_ingested(spark, out, table).columns if c != "batch"]
         one, two = (sorted(map(repr, read_ingested(spark, o, table).select(names).collect()))
                     for o in (out, target))
         assert one == two
+    assert found(search_ingested(spark, target, asked, 4)) == want
+    put(folder, "discharge_1_v9.md", note("the compacted tables grow on"), now + 99)
+    ingest_documents(spark, str(folder), target, state, every=None).awaitTermination(60)
+    batch = docs.doc_metadata(spark.createDataFrame(
+        [("p.md", "p.md", POLICY), ("old.md", "old.md", note("thirty days old", "E0B2")),
+         ("discharge_1_v9.md", "v9", note("the compacted tables grow on"))],
+        "file_name string, stage_path string, doc_text string"))
+    assert found(search_ingested(spark, target, asked, 4)) == found(
+        search.text_search(docs.doc_chunks(batch), asked, 4, "citation_label", "chunk_text"))
+
+
+def test_a_stop_after_any_write_shows_the_state_before(spark, tmp_path, monkeypatch):
+    """Readers see a batch only when all of it is written; the next run brings it."""
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    put(folder, "p.md", POLICY, 1_700_000_000)
+    ingest_documents(spark, str(folder), out, state, every=None).awaitTermination(60)
+    asked = spark.createDataFrame([("q", "criteria course revised")], "qid string, question string")
+
+    def state_of():
+        return [sorted(map(repr, read_ingested(spark, out, t).collect())) for t in (
+            "doc_metadata", "doc_chunk", "doc_signal")] + [
+            sorted(map(repr, search_ingested(spark, out, asked, 5).collect()))]
+
+    before = state_of()
+    put(folder, "p_v2.md", POLICY.replace("criteria", "criteria revised"), 1_700_000_900)
+    put(folder, "discharge_1.md", NOTE.format(course="c", barrier="cost", safety="s"), 1_700_000_900)
+    saves = {"n": 0}
+    inner, inner_index = stream_module._save, index._save
+
+    def stopping(save):
+        def run(*args):
+            if saves["n"] == saves["stop"]:
+                raise RuntimeError("stopped here")
+            saves["n"] += 1
+            return save(*args)
+        return run
+
+    monkeypatch.setattr(stream_module, "_save", stopping(inner))
+    monkeypatch.setattr(index, "_save", stopping(inner_index))
+    for stop in range(100):
+        saves.update(n=0, stop=stop)
+        query = ingest_documents(spark, str(folder), out, state, every=None)
+        try:
+            query.awaitTermination(120)
+        except Exception as error:  # the stream's own error names the cause
+            assert "stopped here" in str(error)
+            assert state_of() == before
+            continue
+        break
+    assert stop == 9 and state_of() != before
+    assert len(read_ingested(spark, out, "doc_metadata").collect()) == 2
 
 
 @pytest.mark.parametrize("clinics", [("007", "012"), ("2026-01-01", "7e3")])
