@@ -448,6 +448,11 @@ SELECT CAST(c.label AS INTEGER) AS qid, e.vec_id, {_COSINE} AS score,
        CAST(row_number() OVER (PARTITION BY c.label ORDER BY {_COSINE} DESC, e.vec_id) AS INTEGER)
          AS rank
 FROM t_vectors e JOIN t_centroids c ON e.label = c.label QUALIFY rank <= 8""",
+    "vector_neighbours": f"""
+SELECT c.qid, e.vec_id, {_COSINE} AS score,
+       CAST(row_number() OVER (PARTITION BY c.qid ORDER BY {_COSINE} DESC, e.vec_id) AS INTEGER) AS rank
+FROM t_vectors e CROSS JOIN (SELECT vec_id AS qid, v AS q FROM t_vectors WHERE vec_id % 50 = 0) c
+QUALIFY rank <= 8""",
     "hybrid_topk": f"""
 SELECT qid, doc_id, score, rank
 FROM (

@@ -20,6 +20,7 @@ from panel360.operators import (
     risk,
     rollups,
     search,
+    vectors,
 )
 from panel360.plans import bindings, questions, semantic
 from panel360.plans.panel import Panel
@@ -184,6 +185,14 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
                                 "vec_id", "embedding", filters=("label",))
 
 
+def vector_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """For every vector whose id is divisible by 50, the nearest of all vectors."""
+    every = bindings.table(spark, folder, "embeddings")
+    asked = every.filter(F.col("vec_id") % 50 == 0).select(
+        F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
+    return vectors.nearest(every, asked, search.POLICY_K, "vec_id", "embedding")
+
+
 def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Golden questions with a label's mean as their vector: text and vector lists fused."""
     label = (F.substr("qid", F.lit(2)).cast("int") - 1) % 10
@@ -359,6 +368,7 @@ QUERIES: dict[str, Query] = {
     "text_search": text_search_all,
     "similar_documents": similar_documents,
     "vector_topk": vector_topk,
+    "vector_neighbours": vector_neighbours,
     "hybrid_topk": hybrid_topk,
     "patient_lookup": patient_lookup,
     "row_access": row_access,
