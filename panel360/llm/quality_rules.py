@@ -8,8 +8,8 @@ fixed threshold: at or above it the text is kept.
 Everything is DataFrame functions. A text is split once and each word hashed once; pairs and three-word
 windows are hashed from those numbers, and only windows of equal hash are compared by their words. The
 n-gram counts leave each task as one row per bucket, and the ratios, `BUCKETS` numbers, come back as a
-scalar subquery. Trusted ids meet the documents in a plain join, which Spark broadcasts or shuffles by
-its size estimate.
+scalar subquery. Trusted ids, which grow with the corpus, are not broadcast: the texts are shuffled once to
+meet them, by id, and build no sort.
 
 Defined results: null and empty texts have no words, fail the base rules and score 0; an id that is
 trusted more than once counts once; rows with null id are never trusted, and spread over the join's
@@ -101,7 +101,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id",
         "key", F.lit(0).cast("long").alias("spread"), F.lit(1).alias("good"))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("body")).withColumn(
         "spread", F.when(F.col("key").isNull(), F.xxhash64("body")).otherwise(F.lit(0)))
-    rows = rows.join(ids, ["key", "spread"], "left").select("good", "body")
+    rows = rows.join(ids.hint("shuffle_hash"), ["key", "spread"], "left").select("good", "body")
     rows = once(rows, {"words": words_of(F.coalesce("body", F.lit("")))}).drop("body")
     rows = hashed(rows, "words", "single", "pairs").drop("words")
     counts = (rows.select("good", F.explode(F.concat("single", "pairs")).alias("hash"))
