@@ -493,6 +493,32 @@ FROM (
     CROSS JOIN (SELECT count(*) AS n, avg(len(toks)) AS mean_length FROM t_blobs)
     GROUP BY qid, patient_id, full_name, attributed_clinic, line_of_business, phrase))
 WHERE rank <= 5""",
+    "name_lookup": r"""
+SELECT * FROM (WITH bearers AS (
+  SELECT DISTINCT patient_id, full_name, unnest(regexp_extract_all(lower(full_name), '[\p{L}\p{N}]+')) AS word
+  FROM t_dim),
+phrases AS (
+  SELECT patient_id AS qid, left(first_name, 4) || ' ' || left(last_name, len(last_name) - 2) || 'x'
+           || right(last_name, 1) AS phrase
+  FROM t_dim WHERE CAST(substr(patient_id, 6) AS BIGINT) % 50 = 0),
+asked AS (SELECT DISTINCT qid, phrase, unnest(regexp_extract_all(lower(phrase), '[\p{L}\p{N}]+')) AS a
+          FROM phrases),
+words AS (SELECT DISTINCT word FROM bearers),
+pairs AS (
+  SELECT a, word, CASE WHEN word = a THEN 0 WHEN starts_with(word, a) THEN 1 ELSE levenshtein(a, word) + 1 END
+                    AS penalty
+  FROM (SELECT DISTINCT a FROM asked), words
+  WHERE starts_with(word, a) OR levenshtein(a, word) <= CASE WHEN len(a) >= 8 THEN 2 WHEN len(a) >= 4 THEN 1
+                                                             ELSE 0 END),
+hits AS (SELECT qid, phrase, patient_id, full_name, a, min(penalty) AS p
+         FROM asked JOIN pairs USING (a) JOIN bearers USING (word) GROUP BY ALL),
+people AS (
+  SELECT qid, patient_id, full_name, CAST(count(*) AS INTEGER) AS matched, CAST(sum(p) AS BIGINT) AS penalty,
+         CAST(levenshtein(lower(phrase), lower(full_name)) AS INTEGER) AS distance
+  FROM hits GROUP BY qid, phrase, patient_id, full_name)
+SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY penalty, distance, patient_id) AS INTEGER) AS rank
+FROM (SELECT * FROM people QUALIFY matched = max(matched) OVER (PARTITION BY qid))
+QUALIFY rank <= 5)""",
     # Governance
     "row_access": _row_access(),
     "masked_panel": _masked_panel(),

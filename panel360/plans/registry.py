@@ -16,6 +16,7 @@ from panel360.operators import (
     governance,
     index,
     ledger,
+    names,
     quality,
     risk,
     rollups,
@@ -211,6 +212,19 @@ def patient_lookup(spark: SparkSession, folder: str) -> DataFrame:
                                  inline_rows(spark, schema, PHRASES), max_queries=QUERY_BOUND)
 
 
+def name_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every patient whose number is divisible by 50, asked for by the beginning of the first name and
+    a last name with its last sign but one wrong, among all patients."""
+    dim = bindings.panel(spark, folder).dim_patient.select("patient_id", "full_name", "first_name", "last_name")
+    path = scratch(spark, "names")
+    names.write_names(dim, path)
+    number = F.substr("patient_id", F.lit(6)).cast("long")
+    wrong = F.overlay("last_name", F.lit("x"), F.length("last_name") - 1, F.lit(1))
+    asked = stored(dim.filter(number % 50 == 0).select(F.col("patient_id").alias("qid"), F.concat(
+        F.left("first_name", F.lit(4)), F.lit(" "), wrong).alias("phrase")), "phrases")
+    return names.find_names(spark, path, asked, search.LOOKUP_K)
+
+
 def sv_terms(spark: SparkSession, folder: str) -> DataFrame:
     asked = (bindings.audit_log(spark, folder).groupBy(F.col("question").alias("term"))
              .agg(F.count("*").alias("times_asked")))
@@ -371,6 +385,7 @@ QUERIES: dict[str, Query] = {
     "vector_neighbours": vector_neighbours,
     "hybrid_topk": hybrid_topk,
     "patient_lookup": patient_lookup,
+    "name_lookup": name_lookup,
     "row_access": row_access,
     "masked_panel": masked_panel,
     "masked_chunks": _secured(lambda p: p.chunks, "citation_label", "file_name", "chunk_text"),
