@@ -6,7 +6,7 @@ from panel360.streaming.documents import (
     read_ingested,
     search_ingested,
 )
-from panel360.streaming.scorecard import read_scorecard, start_scorecard
+from panel360.streaming.scorecard import compact_scorecard, read_scorecard, start_scorecard
 
-__all__ = ["compact", "ingest_documents", "read_ingested", "read_scorecard", "search_ingested",
-           "start_scorecard"]
+__all__ = ["compact", "compact_scorecard", "ingest_documents", "read_ingested", "read_scorecard",
+           "search_ingested", "start_scorecard"]

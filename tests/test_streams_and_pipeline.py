@@ -14,6 +14,7 @@ from panel360.plans.panel import Panel
 from panel360.sources import read_table, write_table
 from panel360.streaming import (
     compact,
+    compact_scorecard,
     ingest_documents,
     read_ingested,
     read_scorecard,
@@ -21,6 +22,7 @@ from panel360.streaming import (
     start_scorecard,
 )
 from panel360.streaming import documents as stream_module
+from panel360.streaming import scorecard as scorecard_module
 from test_documents import NOTE, POLICY
 
 
@@ -184,10 +186,40 @@ def test_live_scorecard_equals_batch_with_late_rows(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(ddl).parquet(folder)
         start_scorecard(stream, out, str(tmp_path / "state")).awaitTermination(60)
-    live = sorted(tuple(r) for r in read_scorecard(spark, out).collect())
-    batch = grounding_scorecard(first.union(second).union(late))
-    assert live == sorted(tuple(r) for r in batch.select(
-        *read_scorecard(spark, out).columns).collect())
+    def same(*parts):
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.union(part)
+        columns = read_scorecard(spark, out).columns
+        live = sorted(map(repr, read_scorecard(spark, out).collect()))
+        return live == sorted(map(repr, grounding_scorecard(whole).select(*columns).collect()))
+
+    assert same(first, second, late)
+    compact_scorecard(spark, out)
+    compact_scorecard(spark, out)
+    assert same(first, second, late)
+    odd = spark.createDataFrame([(None, "A", None, None, None), (dt.datetime(2026, 1, 9), None, True, [], None),
+                                 (dt.datetime(2026, 1, 2, 4), "A", True, ["z"], 2**40)], ddl)
+    odd.coalesce(1).write.mode("append").parquet(folder)
+    start_scorecard(spark.readStream.schema(ddl).parquet(folder), out, str(tmp_path / "state")).awaitTermination(60)
+    assert same(first, second, late, odd)
+    compact_scorecard(spark, out)
+    assert same(first, second, late, odd)
+
+
+def test_a_batch_of_the_scorecard_reads_its_own_rows_only(spark, tmp_path, monkeypatch):
+    ddl = "asked_at timestamp, asked_role string, grounded boolean, citations array<string>, latency_ms long"
+    folder, plans = str(tmp_path / "log"), []
+    inner = scorecard_module._save
+    monkeypatch.setattr(scorecard_module, "_save", lambda df, path: (
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString()), inner(df, path)))
+    for day in (1, 2, 3):
+        spark.createDataFrame([(dt.datetime(2026, 1, day), "A", True, ["x"], 10)], ddl).coalesce(1).write.mode(
+            "append").parquet(folder)
+        start_scorecard(spark.readStream.schema(ddl).parquet(folder), str(tmp_path / "card"),
+                        str(tmp_path / "state")).awaitTermination(60)
+    assert len(plans) == 3 and not any("Join" in p or str(tmp_path / "card") in p for p in plans)
+    assert read_scorecard(spark, str(tmp_path / "card")).count() == 3
 
 
 def csv(folder, name, *lines):
