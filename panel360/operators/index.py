@@ -11,10 +11,10 @@ the living documents of all segments as one.
 NULL texts are no documents. Texts are cut into terms once, when a segment is written; everything else is derived from those counts.
 Scores are those of `search.text_search` over the living documents.
 
-A search need not read what cannot reach rank k. A query's terms are ordered by the most each can add;
-its leading terms are scored first, and the k-th score so far bounds the rest: documents that hold only
-terms which together stay below it are left out, and what the trailing terms add to the others is read
-from the documents' own counts. The result is the same as without bounds.
+A bounded search leaves out what cannot reach rank k. A query's terms are ordered by the most each can
+add; its leading terms are scored first, and the k-th score so far bounds the rest: documents that hold
+only terms which together stay below it are never summed, and the postings of trailing terms count for
+the others alone, before they move. The result is the same as without bounds.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ BUCKETS = 64
 TASK_WORDS, TASK_POSTINGS = 4_000_000, 200_000
 # How many documents, in multiples of k, the leading terms of a query should hold.
 LEAD = 4
+# So many different terms, some megabytes, are sent to the tasks that read postings; more are shuffled.
+SENT_TERMS = 200_000
 _SLACK = 1e-3  # for scores that are equal once rounded
 
 TERMS = "array<struct<term: string, tf: bigint>>"
@@ -147,10 +149,15 @@ def _posting_columns(columns: Sequence[str]) -> list[str]:
     return [*columns[:-2], columns[-1]]
 
 
-def _living(spark: SparkSession, path: str, table: str, key: str, segments: Sequence[int]) -> DataFrame:
-    """Rows of documents that no committed segment has buried."""
+def _living(spark: SparkSession, path: str, table: str, key: str, segments: Sequence[int],
+            terms: DataFrame | None = None) -> DataFrame:
+    """Rows of documents that no committed segment has buried; of postings those of some `terms` (bucket,
+    term), before anything else."""
+    rows = _table(spark, path, table, segments)
+    if terms is not None:
+        rows = rows.join(terms, ["bucket", "term"], "left_semi")
     dead = _table(spark, path, "dead", segments).select(key, F.col("of").alias("segment")).distinct()
-    return _table(spark, path, table, segments).join(dead, [key, "segment"], "left_anti")
+    return rows.join(dead, [key, "segment"], "left_anti")
 
 
 def read_index(spark: SparkSession, path: str, table: str, key: str) -> DataFrame:
@@ -190,37 +197,35 @@ def merge(spark: SparkSession, path: str, target: str, key: str, segment: int =
 def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, key: str, text: str,
                  attributes: Sequence[str] = (), query_key: str = "qid",
                  query_text: str = "question", filters: Sequence[str] = (),
-                 min_score: float = 0.0, min_coverage: float = 0.0, bounded: bool | None = None) -> DataFrame:
+                 min_score: float = 0.0, min_coverage: float = 0.0, bounded: bool = False) -> DataFrame:
     """Top k per query over the living documents, with their attributes and text. `filters` name attributes that
-    the queries carry too and that must be equal. `bounded` chooses the plan that leaves out documents
-    by score bounds; it is taken for queries without filter or floor of coverage unless said otherwise."""
+    the queries carry too and that must be equal. `bounded` chooses the plan that leaves out documents by
+    score bounds: a few jobs more, and far fewer sums to shuffle where queries hold frequent terms."""
     segments = committed(spark, path)
     if not segments:
         raise ValueError(f"no committed segment under {path}")
-    plain = bool(filters) or min_coverage > 0
-    if bounded and plain:
+    if bounded and (filters or min_coverage > 0):
         raise ValueError("bounds hold for queries without filters and min_coverage only")
     size = read_index(spark, path, "size", key).select(F.struct("docs", "words")).scalar()
     mean = F.try_divide(size["words"], size["docs"])
     wanted = queries.select(query_key, *filters, F.array_distinct(tokens(F.col(query_text))).alias("_terms"))
     wanted = wanted.select(query_key, *filters, F.size("_terms").alias("_asked"),
                            F.explode("_terms").alias("term"))
-    known = read_index(spark, path, "terms", key).join(
-        wanted.select("term").distinct(), "term", "left_semi")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(next(iter(segments.values())))).cast("int").alias("bucket")
+    terms = stored(wanted.select("term").distinct().select(bucket, "term"), "terms")
+    terms = F.broadcast(terms) if terms.count() <= SENT_TERMS else terms
+    known = read_index(spark, path, "terms", key).join(terms.select("term"), "term", "left_semi")
     df = F.col("doc_freq")
     idf = F.log(1 + (size["docs"] - df + 0.5) / (df + 0.5))
     weights = wanted.join(known.withColumn("_idf", idf), "term").select(
-        query_key, *filters, "_asked", "term", "_idf", "doc_freq",
-        F.pmod(F.xxhash64("term"), F.lit(next(iter(segments.values())))).cast("int").alias("bucket"),
+        query_key, *filters, "_asked", "term", "_idf", "doc_freq", bucket,
         (F.col("_idf") * _most(F.col("max_tf"), F.col("min_length"), mean)).alias("_most"))
-    postings = _living(spark, path, "postings", key, sorted(segments)).select(
+    postings = _living(spark, path, "postings", key, sorted(segments), terms).select(
         key, "segment", *filters, "doc_length", "term", "tf", "bucket")
-    if plain or bounded is False:
+    if not bounded:
         scored = _summed(_met(postings, weights, key, filters), query_key, key, mean)
     else:
-        documents = _living(spark, path, "documents", key, sorted(segments)).select(
-            key, "segment", "doc_length", "terms")
-        scored = _bounded_scores(postings, weights, documents, k, query_key, key, mean, min_score)
+        scored = _bounded_scores(postings, weights, k, query_key, key, mean, min_score)
     scored = scored.select(query_key, key, "segment", F.round("_sum", 4).alias("score"),
                            F.round(F.col("_hits") / F.col("_asked"), 4).alias("coverage"))
     kept = scored.filter((F.col("score") > min_score) & (F.col("coverage") >= min_coverage))
@@ -260,8 +265,8 @@ def _kth(scored: DataFrame, query_key: str, k: int) -> DataFrame:
     return ranked.filter(F.col("_place") == k).select(query_key, F.col("_sum").alias("_floor"))
 
 
-def _bounded_scores(postings: DataFrame, weights: DataFrame, documents: DataFrame, k: int, query_key: str,
-                    key: str, mean: Column, min_score: float) -> DataFrame:
+def _bounded_scores(postings: DataFrame, weights: DataFrame, k: int, query_key: str, key: str, mean: Column,
+                    min_score: float) -> DataFrame:
     """Sums of all documents that can reach rank k, and of some others.
 
     Terms in the order of the most they can add. `_rest` is what a term and all behind it can add, so
@@ -279,23 +284,17 @@ def _bounded_scores(postings: DataFrame, weights: DataFrame, documents: DataFram
     placed = stored(ranked.join(floors, query_key, "left").withColumn(
         "_first", F.col("_lead") | F.col("_floor").isNull() | (F.col("_rest") >= F.col("_floor"))), "weights")
     first = _summed(_met(postings, placed.filter("_first"), key), query_key, key, mean)
-    # What the terms left out can still add, as a list of terms of each query.
-    tail = placed.filter(~F.col("_first")).groupBy(query_key).agg(
-        F.collect_list(F.struct("term", "_idf")).alias("_tail"), F.sum("_most").alias("_more"),
-        F.max("_floor").alias("_floor"))
-    again = first.join(tail, query_key, "left")
-    near = stored(again.filter(
-        F.col("_tail").isNull() | (F.col("_sum") + F.col("_more") >= F.col("_floor"))), "sums")
-    done = near.filter("_tail IS NULL").select(query_key, key, "segment", "_sum", "_hits", "_asked")
-    open_ = near.filter("_tail IS NOT NULL").join(documents, [key, "segment"]).withColumns(
-        {"_tf": F.map_from_entries("terms"), "_mean": mean})
-    added = F.transform(F.filter("_tail", lambda t: F.map_contains_key("_tf", t["term"])), lambda t: (
-        t["_idf"] * _gain(F.col("_tf")[t["term"]], F.col("doc_length"), F.col("_mean"))))
-    more = open_.withColumn("_added", added).select(
-        query_key, key, "segment",
-        (F.col("_sum") + F.aggregate("_added", F.lit(0.0), lambda a, b: a + b)).alias("_sum"),
-        (F.col("_hits") + F.size("_added")).alias("_hits"), "_asked")
-    return done.union(more)
+    # What the terms left out can add to those that it may bring to rank k. They meet before anything moves.
+    tail = placed.filter(~F.col("_first"))
+    limits = tail.groupBy(query_key).agg(F.sum("_most").alias("_more"), F.max("_floor").alias("_floor"))
+    near = stored(first.join(limits, query_key, "left").filter(
+        F.col("_more").isNull() | (F.col("_sum") + F.col("_more") >= F.col("_floor"))), "sums")
+    rest = _met(postings, tail, key).join(
+        near.filter("_more IS NOT NULL").select(query_key, key, "segment"), [query_key, key, "segment"], "left_semi")
+    sums = ["_sum", "_hits", "_asked"]
+    both = near.select(query_key, key, "segment", *sums).union(_summed(rest, query_key, key, mean))
+    return both.groupBy(query_key, key, "segment").agg(
+        F.sum("_sum").alias("_sum"), F.sum("_hits").alias("_hits"), F.max("_asked").alias("_asked"))
 
 
 def distinctive_terms(spark: SparkSession, path: str, key: str, asked: Column, n: int = 12,

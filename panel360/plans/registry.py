@@ -170,7 +170,7 @@ def similar_documents(spark: SparkSession, folder: str) -> DataFrame:
     find, over an index with a revision."""
     path = revised_index(spark, folder)
     asked = stored(index.distinctive_terms(spark, path, "doc_id", F.col("doc_id") % 50 == 0), "asked")
-    return index.search_index(spark, path, asked, search.POLICY_K, "doc_id", "text").drop("text")
+    return index.search_index(spark, path, asked, search.POLICY_K, "doc_id", "text", bounded=True).drop("text")
 
 
 def text_search_all(spark: SparkSession, folder: str) -> DataFrame:

@@ -69,7 +69,7 @@ def test_bounds_leave_documents_out(spark, tmp_path):
 
     index.stored = seen
     try:
-        got = index.search_index(spark, path, queries, 2, "id", "text")
+        got = index.search_index(spark, path, queries, 2, "id", "text", bounded=True)
     finally:
         index.stored = inner
     assert got.count() == 2 and dict(scored)["sums"] <= 8
