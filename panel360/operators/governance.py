@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panel360.operators.joins import left_join
 from panel360.sources.literals import inline_rows
 
 # Roles, sensitivity vocabulary, replacement texts, entitlements.
@@ -144,10 +145,9 @@ def secure_view(df: DataFrame, role: str, entitlement: DataFrame,
         if patients is None:
             raise ValueError("a table without a clinic column needs `patients`")
         visible = row_access(patients.select("patient_id", "attributed_clinic"), role, entitlement)
-        of_patients = df.filter("patient_id IS NOT NULL").join(
-            visible.select("patient_id"), "patient_id", "left_semi")
-        # Rows without a patient pass by the join, which would send them all to one task.
-        rows = of_patients.select(*order).unionByName(df.filter("patient_id IS NULL"))
+        # Patients are unique, so the join adds no row; rows without a patient are spread over its tasks.
+        rows = left_join(df, visible.select("patient_id", F.lit(True).alias("_seen")), "patient_id").filter(
+            F.col("patient_id").isNull() | F.col("_seen")).select(*order)
     else:
         rows = df
     return rows.select([_shown(field, role) for field in df.schema.fields])
@@ -170,34 +170,22 @@ def secure_by_role(df: DataFrame, entitlement: DataFrame, patients: DataFrame |
     """What each of `roles` sees of a tagged table, with the role in `role`. The table is built once:
     each row meets its clinic once and is then repeated for the roles that may see it."""
     order = df.columns
-    of_patients, others = df, None
-    if "attributed_clinic" not in order and "patient_id" in order:
+    if "attributed_clinic" in order:
+        placed = df.withColumns({"_clinic": F.col("attributed_clinic"), "_of_all": F.lit(False)})
+    elif "patient_id" in order:
         if patients is None:
             raise ValueError("a table without a clinic column needs `patients`")
-        others = df.filter("patient_id IS NULL").withColumn("_clinic", F.lit(None).cast("string"))
-        of_patients = df.filter("patient_id IS NOT NULL").join(
-            patients.select("patient_id", F.col("attributed_clinic").alias("_clinic"),
-                            F.lit(True).alias("_known")), "patient_id", "left")
-    elif "attributed_clinic" in order:
-        of_patients = df.withColumns({"_clinic": F.col("attributed_clinic"), "_known": F.lit(True)})
+        clinics = patients.select("patient_id", F.col("attributed_clinic").alias("_clinic"))
+        # Rows without a patient belong to everybody; the join spreads them over its tasks.
+        placed = left_join(df, clinics, "patient_id").withColumn("_of_all", F.col("patient_id").isNull())
     else:
-        others = df.withColumn("_clinic", F.lit(None).cast("string"))
-        of_patients = None
-    every = F.explode(F.array(*map(F.lit, roles))).alias("role")
-    parts = []
-    if of_patients is not None:
-        granted = entitlement.select(F.col("role_name").alias("role"),
-                                     F.col("attributed_clinic").alias("_clinic"),
-                                     F.lit(True).alias("_granted")).distinct()
-        repeated = of_patients.select(*order, "_clinic", "_known", every)
-        # ALL_ROWS roles see every row; the others those of a granted clinic.
-        parts.append(repeated.join(granted, ["role", "_clinic"], "left").filter(
-            F.col("role").isin(*ALL_ROWS) | (F.col("_granted") & F.col("_known"))))
-    if others is not None:
-        parts.append(others.select(*order, every))
-    rows = parts[0].select(*order, "role")
-    for more in parts[1:]:
-        rows = rows.unionByName(more.select(*order, "role"))
+        placed = df.withColumns({"_clinic": F.lit(None).cast("string"), "_of_all": F.lit(True)})
+    granted = entitlement.select(F.col("role_name").alias("role"), F.col("attributed_clinic").alias("_clinic"),
+                                 F.lit(True).alias("_granted")).distinct()
+    repeated = placed.select(*order, "_clinic", "_of_all", F.explode(F.array(*map(F.lit, roles))).alias("role"))
+    # ALL_ROWS roles see every row; the others those of a granted clinic.
+    rows = repeated.join(granted, ["role", "_clinic"], "left").filter(
+        F.col("role").isin(*ALL_ROWS) | F.col("_of_all") | F.col("_granted")).select(*order, "role")
     shown = []
     for field in df.schema.fields:
         column = F.col(field.name)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panel360.operators import audit, evals, governance as gov, quality
 from panel360.operators.conform import dim_patient
+from panel360.operators.joins import left_join
 from panel360.schemas import EXTRACTS
 
 PATIENTS, MEMBERS = EXTRACTS["patients"], EXTRACTS["members"]
@@ -83,30 +84,47 @@ def test_all_roles_at_once_equal_one_role_each(spark, people):
                 map(repr, map(list, one)))
 
 
-def _union(node):
-    if node.nodeName() == "Union":
-        return [node.children().apply(i) for i in range(node.children().size())]
-    below = (node.children().apply(i) for i in range(node.children().size()))
-    return next((found for child in below if (found := _union(child))), None)
-
-
-def test_rows_without_key_pass_no_join(spark, people, make, tmp_path):
+def test_rows_without_key_spread_in_one_pass(spark, people, make, tmp_path):
     rows = spark.range(10).selectExpr("if(id = 3, 'P1', NULL) AS patient_id", "id")
     rows.write.parquet(str(tmp_path / "ledger"))
-    hidden = gov.secure_view(spark.read.parquet(str(tmp_path / "ledger")), gov.CLINICIAN,
-                             gov.entitlement_table(spark), people)
+    ledger = spark.read.parquet(str(tmp_path / "ledger"))
+    granted = gov.entitlement_table(spark)
+    hidden = gov.secure_view(ledger, gov.CLINICIAN, granted, people)
+    every = gov.secure_by_role(ledger, granted, people)
     make(PATIENTS, {"patient_id": "P1"}, {"patient_id": "P2", "member_id": "M1"}).write.parquet(
         str(tmp_path / "patients"))
     dim = dim_patient(spark.read.parquet(str(tmp_path / "patients")),
                       make(MEMBERS, {"member_id": "M1", "payer_name": "Y"}), dt.date(2026, 1, 1))
-    for df in (hidden, dim):
-        parts = [p.toString() for p in _union(df._jdf.queryExecution().optimizedPlan())]
-        without = [p for p in parts if "isnull(" in p]
-        assert len(parts) == 2 and len(without) == 1 and "Join" not in without[0]
+    for df in (hidden, every, dim):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "Union" not in plan
     assert hidden.count() == 10
+    assert {r["role"]: r["n"] for r in every.groupBy("role").agg(F.count("*").alias("n")).collect()} == {
+        role: gov.secure_view(ledger, role, granted, people).count() for role in gov.ROLES}
     assert {(r.patient_id, r.payer_name) for r in dim.collect()} == {("P1", None), ("P2", "Y")}
 
 
+def test_left_join_spreads_null_keys(spark):
+    left = spark.range(4000).selectExpr("if(id % 4 = 0, CAST(id AS STRING), NULL) AS k", "id", "id AS `odd name`")
+    right = spark.range(2000).selectExpr("CAST(id AS STRING) AS k", "id * 2 AS v").union(
+        spark.sql("SELECT CAST(NULL AS STRING), 7L"))
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in held}
+    try:
+        for n, v in held.items():
+            spark.conf.set(n, v)
+        joined = left_join(left, right, "k")
+        sizes = [r["n"] for r in joined.filter("k IS NULL").groupBy(F.spark_partition_id()).agg(
+            F.count("*").alias("n")).collect()]
+        got = sorted((r["id"], r["k"], r["v"]) for r in joined.collect())
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 1500
+    assert got == [(i, str(i) if i % 4 == 0 else None, 2 * i if i % 4 == 0 and i < 2000 else None)
+                   for i in range(4000)]
+
+
 def test_tags_survive_parquet_and_hidden_columns_are_not_read(spark, people, tmp_path):
     path = str(tmp_path / "people")
     gov.tag_columns(people).write.parquet(path)
