@@ -25,33 +25,43 @@ from pyspark.sql import functions as F
 from panel360.llm.common import fresh, let, once, stored, without
 
 GRAMS, BUCKETS = (3, 4), 4096
-EPOCHS, RATE, DECAY = 80, 32.0, 1e-4
+EPOCHS, RATE, DECAY = 200, 32.0, 1e-4
 MAX_LABELLED, MAX_RULES = 2000, 1000
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Words of the labelled table: hosts and paths to block, and others.
-_BLOCKED = ("spam", "casino", "pills", "viagra", "xxx", "porn", "warez", "crack", "phish", "malware",
-            "betting", "lottery")
-_ALLOWED = ("news", "wiki", "docs", "library", "museum", "school", "health", "weather", "science",
-            "garden", "travel", "forum")
+#: Words of the hosts of the labelled table: to block, to allow, and syllables of invented names to allow.
+BLOCKED = ("casinos", "gambling", "jackpots", "slots", "poker", "betting", "wagers", "winner", "winnings",
+           "prizes", "lottery", "freebies", "freegift", "pharmacy", "pill", "tablets", "viagra", "cheapest",
+           "discounts", "adults", "porno", "sexcam", "xxx", "spamming", "spammer", "malware", "phishing",
+           "warez", "cracked", "adtracking", "clickads", "tracker", "popups", "payday")
+ALLOWED = ("news", "wiki", "docs", "library", "museum", "school", "health", "weather", "science", "garden",
+           "travel", "forum", "cooking", "kitchen", "history", "music", "theatre", "stories", "village", "river",
+           "building", "cycling", "letters", "harbour", "colleges", "station", "evening", "orchards", "students",
+           "galleries", "sailing", "parents", "hiking", "cities")
+SYLLABLES = ("the", "th", "er", "on", "an", "tion", "ing", "re", "in", "nd", "es", "en", "ed", "or", "st", "ti",
+             "ar", "al", "le", "ble", "ha", "he", "nt", "ou", "ea", "to", "ly", "sh", "wh", "me", "ra", "lo", "ve",
+             "ka")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: url, label (1: block), made from the words above by a rule."""
-    bad, good = (", ".join(f"'{w}'" for w in ws) for ws in (_BLOCKED, _ALLOWED))
-    words = (f"SELECT explode(array({bad})) AS word, 1 AS label UNION ALL "
-             f"SELECT explode(array({good})), 0")
+    """The small labelled table: url, label (1: block). Hosts are two words, with or without a hyphen, or
+    names of two and three syllables; subdomains, suffixes and paths go round in the same way for both
+    labels, so that nothing but the host's name tells them apart."""
+    def words(values: tuple[str, ...]) -> str:
+        return f"array({', '.join(repr(v) for v in values)})"
+
+    def hosts(values: tuple[str, ...], label: int, steps: int, third: str = "''") -> str:
+        n = len(values)
+        return (f"SELECT concat(word, if(step % 2 = 0 AND {third} = '', '-', ''), "
+                f"get(words, (i + 5 * step) % {n}), {third}) AS host, i * {steps} + step AS n, {label} AS label "
+                f"FROM (SELECT {words(values)} AS words) LATERAL VIEW posexplode(words) p AS i, word "
+                f"LATERAL VIEW explode(sequence(1, {steps})) s AS step")
+
     return spark.sql(f"""
-        SELECT concat('https://', replace(replace(host, 'W', word), 'N', n),
-                      if(label = 1, replace(path, 'W', word), path)) AS url, label
-        FROM ({words})
-        LATERAL VIEW posexplode(array('W.example.org', 'www.W-farm.com', 'the-W.net', 'Wnine.info',
-                                      'm.free-Wing.example.com')) h AS n, host
-        LATERAL VIEW explode(array('/', '/en/W-8.html')) p AS path
-        UNION ALL
-        SELECT concat('http://', if(k % 2 = 0, 'blog.', ''), substr(sha1(CAST(k AS STRING)), 1, 8),
-                      get(array('.example.com', '.example.org', '.example.net'), k % 3), '/',
-                      get(array('en/', 'de/', 'fr/', 'es/', ''), k % 5), k * 37 % 1000), 0
-        FROM (SELECT explode(sequence(1, 60)) AS k)""")
+        SELECT concat(get(array('http://', 'https://'), n % 2), get(array('', 'www.', 'm.', 'blog.'), n % 4), host,
+                      get(array('.example.com', '.example.org', '.example.net'), n % 3),
+                      get(array('/', '/en/{{}}.html', '/de/{{}}', '/fr/{{}}/', '/es/{{}}#top'), n % 5)) AS url, label
+        FROM ({hosts(BLOCKED, 1, 12)} UNION ALL {hosts(ALLOWED, 0, 6)}
+              UNION ALL {hosts(SYLLABLES, 0, 4, "get(words, i % 4)")})""".replace("{}", "7")).distinct()
 
 
 def host_of(url: Column) -> Column:
