@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panel360.functions import div0
+from panel360.operators.ledger import held_labels
 from panel360.sources.literals import inline_rows
+from panel360.sources.scratch import stored
 
 GOLDEN_SCHEMA = T.StructType([
     T.StructField("qid", T.StringType()), T.StructField("question", T.StringType()),
@@ -128,9 +130,19 @@ def run_summary(scored: DataFrame) -> DataFrame:
         F.round(F.avg("latency_ms"), 0).alias("avg_latency_ms"))
 
 
+def cited_labels(runs: DataFrame) -> DataFrame:
+    """Each cited label once, with the number of answers citing it. Counted before anything else, so a
+    label cited by a third of all answers is one row by then."""
+    return (runs.select(F.explode("citations_observed").alias("locator"))
+            .groupBy("locator").agg(F.count("*").alias("times_cited")))
+
+
 def citation_audit(runs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Cited labels the ledger does not hold, with the number of answers citing each. Citations
-    are counted per label first, so a label cited by a third of all answers is one row by then."""
-    cited = (runs.select(F.explode("citations_observed").alias("locator"))
-             .groupBy("locator").agg(F.count("*").alias("times_cited")))
-    return cited.join(ledger.select("locator"), "locator", "left_anti")
+    """Cited labels the ledger does not hold, with the number of answers citing each."""
+    return cited_labels(runs).join(ledger.select("locator"), "locator", "left_anti")
+
+
+def citation_audit_of(runs: DataFrame, metadata: DataFrame, p360: DataFrame, claims: DataFrame) -> DataFrame:
+    """The same over the tables from which the ledger is made, without making it."""
+    cited = stored(cited_labels(runs), "cited")
+    return cited.join(held_labels(cited, metadata, p360, claims), "locator", "left_anti")

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panel360.operators.docs import doc_chunks
 from panel360.operators.gaps import gap_array
 from panel360.operators.risk import METHODOLOGY, explanation, points
 
@@ -109,3 +110,41 @@ def evidence_packs(ledger: DataFrame, patients: DataFrame | None = None,
     place = F.row_number().over(Window.partitionBy("patient_id").orderBy(*_order()))
     rows = ledger.filter(F.col("patient_id").isNotNull()).withColumn("pack_row", place)
     return rows if limit is None else rows.filter(F.col("pack_row") <= limit)
+
+
+def held_labels(cited: DataFrame, metadata: DataFrame, p360: DataFrame, claims: DataFrame) -> DataFrame:
+    """Those of the cited labels (column `locator`, each once, in a stored table) that the ledger over
+    these tables holds. A label says which table could hold it and under which key, so each table is cut
+    down to the cited keys before any row of the ledger is made: only cited documents are cut into
+    chunks, claims and patients meet their ids alone. Tables that no label points to are not read."""
+    claim, score, governed, section = "claim ", "risk_band + lace_index for ", " governed by ", " — "
+
+    def keyed(start: str, key: str) -> DataFrame:
+        return cited.filter(F.col("locator").startswith(start)).select(
+            "locator", F.substr("locator", F.lit(len(start) + 1)).alias(key))
+
+    parts = []
+    of_claims, of_scores = keyed(claim, "claim_id"), keyed(score, "patient_id")
+    if not of_claims.isEmpty():
+        parts.append(of_claims.join(claims.select("claim_id"), "claim_id", "left_semi").select("locator"))
+    if not of_scores.isEmpty():
+        parts.append(of_scores.join(p360.select("patient_id"), "patient_id", "left_semi").select("locator"))
+    of_gaps = cited.filter(F.col("locator").contains(governed)).select("locator")
+    if not of_gaps.isEmpty():
+        gap = F.explode(gap_array())
+        open_gaps = p360.select(gap.alias("gap")).select(F.concat(
+            F.col("gap.gap_type"), F.lit(governed), F.col("gap.governing_document_id")).alias("locator"))
+        parts.append(of_gaps.join(open_gaps.distinct(), "locator", "left_semi"))
+    # A document id may hold the dash itself: every beginning that ends at one is a candidate.
+    words = F.split("locator", section)
+    starts = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(
+        F.slice(words, F.lit(1), n), section))
+    of_documents = cited.filter(F.col("locator").contains(section)).select("locator", F.explode(starts).alias("doc_id"))
+    if not of_documents.isEmpty():
+        asked = metadata.join(of_documents.select("doc_id").distinct(), "doc_id", "left_semi")
+        parts.append(of_documents.select("locator").distinct().join(
+            doc_chunks(asked).select(F.col("citation_label").alias("locator")), "locator", "left_semi"))
+    held = cited.limit(0).select("locator")
+    for part in parts:
+        held = held.union(part)
+    return held

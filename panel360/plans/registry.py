@@ -291,8 +291,9 @@ def eval_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def citation_audit(spark: SparkSession, folder: str) -> DataFrame:
-    return evals.citation_audit(bindings.eval_runs(spark, folder),
-                                bindings.panel(spark, folder).ledger)
+    panel = bindings.panel(spark, folder)
+    return evals.citation_audit_of(bindings.eval_runs(spark, folder), panel.metadata, panel.p360,
+                                   panel.extracts["claims"])
 
 
 QUERIES: dict[str, Query] = {

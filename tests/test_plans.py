@@ -6,9 +6,10 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF
-from panel360.operators import gaps, ledger
+from panel360.operators import docs, evals, gaps, ledger
 from panel360.plans import questions
 from panel360.plans.registry import QUERIES
 
@@ -77,3 +78,26 @@ def test_agrees_with_independent_sql(spark, name):
 
 def test_every_query_has_a_statement():
     assert set(all_statements()) == set(QUERIES)
+
+
+def test_citation_audit_by_labels_equals_the_ledger(spark, panel):
+    """Every kind of label, held and not held, and labels that look like another kind's."""
+    held = [r.locator for r in panel.ledger.groupBy("source_type").agg(
+        F.min("locator").alias("locator")).collect()] + [r.locator for r in panel.ledger.limit(300).collect()]
+    others = [None, "", "claim ", "claim SYN-C0", "risk_band + lace_index for SYN-P99999999", " — ", "A — B — C (chunk 1)",
+              "CHF_NO_GDMT_ON_FILE governed by NOTHING", "claim X governed by Y — Z (chunk 0)", held[0] + " "]
+    runs = spark.createDataFrame([(held + others,), (others[1:],)], "citations_observed array<string>")
+    want = evals.citation_audit(runs, panel.ledger)
+    got = evals.citation_audit_of(runs, panel.metadata, panel.p360, panel.extracts["claims"])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert {r.locator for r in got.collect()} == set(others)
+
+
+def test_a_document_id_with_a_dash_is_found(spark):
+    note = "# T\n\n**Document ID:** A — B\n**Document Type:** X\n\n## H — I\ntext\n"
+    metadata = docs.doc_metadata(spark.createDataFrame([("a.md", "a", note)],
+                                                       "file_name string, stage_path string, doc_text string"))
+    cited = docs.doc_chunks(metadata).select(F.col("citation_label").alias("locator"))
+    none = spark.createDataFrame([], "claim_id string")
+    labels = sorted(r.locator for r in ledger.held_labels(cited, metadata, None, none).collect())
+    assert labels == sorted(r.locator for r in cited.collect()) and any("A — B — H" in x for x in labels)
