@@ -426,6 +426,8 @@ WHERE qid NOT IN (SELECT qid FROM t_bm25 WHERE score > 0 AND coverage >= 0.35)""
         "SELECT qid || '/' || t, question, t FROM t_golden, (SELECT unnest(['UTILIZATION_POLICY', "
         "'REGULATORY_BULLETIN', 'QUALITY_MEASURE']) AS t)", "doc_type", 8),
     "text_search": "SELECT * FROM t_bm25_top",
+    "distinct_estimates": """
+SELECT claim_status, count(DISTINCT patient_id) AS patients, true AS close FROM t_claims GROUP BY claim_status""",
     "similar_documents": """
 SELECT * FROM (WITH freq AS (SELECT term, count(*) AS df FROM t_postings GROUP BY term),
 sizes AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM t_tokens),

@@ -131,12 +131,13 @@ def row_access(df: DataFrame, role: str, entitlement: DataFrame,
 
 
 def secure_view(df: DataFrame, role: str, entitlement: DataFrame,
-                patients: DataFrame | None = None) -> DataFrame:
+                patients: DataFrame | None = None, spread: bool = True) -> DataFrame:
     """What `role` sees of a tagged table. The role is fixed when the plan is built, so a column
     the role may not see is replaced before the scan and never read.
 
     Rows follow the clinic column; a table that has only patient_id gets the clinic from
-    `patients`, and its rows without a patient (institutional documents) stay visible.
+    `patients`, and its rows without a patient (institutional documents) stay visible. `spread` as for
+    `left_join`.
     """
     order = df.columns
     if "attributed_clinic" in order:
@@ -146,7 +147,7 @@ def secure_view(df: DataFrame, role: str, entitlement: DataFrame,
             raise ValueError("a table without a clinic column needs `patients`")
         visible = row_access(patients.select("patient_id", "attributed_clinic"), role, entitlement)
         # Patients are unique, so the join adds no row; rows without a patient are spread over its tasks.
-        rows = left_join(df, visible.select("patient_id", F.lit(True).alias("_seen")), "patient_id").filter(
+        rows = left_join(df, visible.select("patient_id", F.lit(True).alias("_seen")), "patient_id", spread).filter(
             F.col("patient_id").isNull() | F.col("_seen")).select(*order)
     else:
         rows = df

@@ -14,7 +14,15 @@ from panel360.operators import quality
 from panel360.operators.governance import secure_view, tag_columns
 from panel360.plans.panel import Panel
 from panel360.schemas import EXTRACTS
-from panel360.sources import conform, read_documents, read_extracts, read_table, write_table
+from panel360.sources import (
+    conform,
+    read_bucketed,
+    read_documents,
+    read_extracts,
+    read_table,
+    write_bucketed,
+    write_table,
+)
 
 # Layers in build order: attribute of the panel, stored name, partition columns.
 LAYERS = ((("dim_patient", "dim_patient", ()), ("metadata", "doc_metadata", ())),
@@ -26,36 +34,47 @@ LAYERS = ((("dim_patient", "dim_patient", ()), ("metadata", "doc_metadata", ()))
           (("ledger", "evidence_ledger", ()),))
 
 
-def _store(spark: SparkSession, df: DataFrame, path: str, by: tuple[str, ...]) -> DataFrame:
+def _store(spark: SparkSession, df: DataFrame, path: str, by: tuple[str, ...], table: str | None,
+           buckets: int) -> DataFrame:
+    """A table written and read back: under a path, or, if it has patients and a name in the catalog, in
+    buckets of the patient."""
     tagged = tag_columns(df)
+    if table and "patient_id" in df.columns:
+        write_bucketed(tagged, table, "patient_id", buckets)
+        return tag_columns(read_bucketed(spark, table).select(*df.columns))
     write_table(tagged, path, by)
     return tag_columns(read_table(spark, path, df.schema).select(*df.columns))
 
 
-def build(spark: SparkSession, panel: Panel, out: str, gate: bool = True) -> Panel:
+def build(spark: SparkSession, panel: Panel, out: str, gate: bool = True, database: str | None = None,
+          buckets: int = 64) -> Panel:
     """Write every table under `out` and return a panel that reads them. With `gate`, a failing
-    quality check stops the build before anything is derived from the data."""
+    quality check stops the build before anything is derived from the data. With `database`, tables that
+    have patients are written to that database of the catalog instead, all in the same buckets of
+    patient_id, so that per-patient joins, ranks and masks of them move nothing."""
+    def name_of(name: str) -> str | None:
+        return f"{database}.{name}" if database else None
+
     stored: dict[str, DataFrame] = {}
     current = panel
     facts = {}
     for name in EXTRACTS:
         rows = conform(panel.extracts[name], EXTRACTS[name])
-        write_table(rows, f"{out}/fact_{name}")
-        facts[name] = read_table(spark, f"{out}/fact_{name}", rows.schema)
+        facts[name] = _store(spark, rows, f"{out}/fact_{name}", (), name_of(f"fact_{name}"), buckets)
     for layer in LAYERS:
         current = Panel(facts, panel.documents, panel.as_of, dict(stored), panel.los_basis)
         for attribute, name, by in layer:
-            stored[name] = _store(spark, getattr(current, attribute), f"{out}/{name}", by)
+            stored[name] = _store(spark, getattr(current, attribute), f"{out}/{name}", by, name_of(name), buckets)
             if gate and name == "dq_checks":
                 quality.enforce_gate(stored[name])
     return Panel(facts, panel.documents, panel.as_of, stored, panel.los_basis)
 
 
 def build_from_files(spark: SparkSession, structured: str, documents: str, out: str,
-                     as_of: dt.date, gate: bool = True) -> Panel:
+                     as_of: dt.date, gate: bool = True, database: str | None = None) -> Panel:
     """The build from a folder of CSV extracts and a folder of markdown documents."""
     panel = Panel(read_extracts(spark, structured), read_documents(spark, documents), as_of)
-    return build(spark, panel, out, gate)
+    return build(spark, panel, out, gate, database)
 
 
 def secure_panel(built: Panel, role: str, entitlement: DataFrame) -> Panel:

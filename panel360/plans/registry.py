@@ -21,6 +21,7 @@ from panel360.operators import (
     risk,
     rollups,
     search,
+    sketches,
     vectors,
 )
 from panel360.plans import bindings, questions, semantic
@@ -87,6 +88,18 @@ def appended_log(spark: SparkSession, folder: str) -> DataFrame:
         F.count("*").alias("answers"), F.count_distinct("audit_id").alias("ids"))
 
 
+def distinct_estimates(panel: Panel) -> DataFrame:
+    """Patients of each claim status: exact, and whether the estimate from sketches stored per status and
+    month is within four standard errors."""
+    claims = panel.extracts["claims"].withColumn("month", F.trunc("service_date", "month"))
+    kept = stored(sketches.distinct_sketches(claims, ["claim_status", "month"], "patient_id"), "sketches")
+    guess = sketches.distinct_estimates(kept, ["claim_status"])
+    exact = claims.groupBy("claim_status").agg(F.count_distinct("patient_id").alias("patients"))
+    far = F.abs(F.col("distinct_estimate") - F.col("patients")) / F.col("patients")
+    return exact.join(guess, "claim_status").select(
+        "claim_status", "patients", (far <= 4 * sketches.standard_error()).alias("close"))
+
+
 # --- Quality -------------------------------------------------------------------------------------
 
 def column_tests(panel: Panel) -> DataFrame:
@@ -305,6 +318,7 @@ QUERIES: dict[str, Query] = {
     "ed_visits": _fact("ed_visits", lambda visits: visits.groupBy("patient_id").agg(
         F.count("*").alias("visits"), F.sum("admitted_flag").alias("admitted"),
         F.max("ed_visit_date").alias("last_visit"))),
+    "distinct_estimates": _panel(distinct_estimates),
     "dim_patient": _panel(lambda p: p.dim_patient),
     "patient_utilization": _panel(lambda p: rollups.patient_utilization(
         p.extracts["encounters"], p.as_of)),

@@ -20,6 +20,21 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
+    """Replace a table of the catalog, one sorted file per bucket of the key. Tables with the same buckets
+    of the same key are joined, ranked and aggregated by it without moving a row. Rows without key, which
+    would all be one bucket, are a table of their own, `<name>_unkeyed`."""
+    (df.filter(F.col(key).isNotNull()).repartition(buckets, key).write.mode("overwrite").format("parquet")
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(name))
+    df.filter(F.col(key).isNull()).write.mode("overwrite").format("parquet").saveAsTable(f"{name}_unkeyed")
+
+
+def read_bucketed(spark: SparkSession, name: str, keyed_only: bool = False) -> DataFrame:
+    """A table that `write_bucketed` wrote, or its rows with a key alone, which keep their buckets."""
+    keyed = spark.table(name)
+    return keyed if keyed_only else keyed.unionByName(spark.table(f"{name}_unkeyed"))
+
+
 def append_rows(df: DataFrame, path: str, defaults: dict[str, Column] | None = None) -> None:
     """Append log rows; a column the caller left out gets its default."""
     for name, value in (defaults or {}).items():

@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from panel360 import schemas
-from panel360.operators import docs, governance, index, quality, search
+from panel360.operators import docs, governance, index, ledger, quality, search
 from panel360.operators.audit import grounding_scorecard
-from panel360.plans import pipeline
+from panel360.plans import bindings, pipeline
 from panel360.plans.panel import Panel
-from panel360.sources import read_table, write_table
+from panel360.sources import read_bucketed, read_table, write_table
 from panel360.streaming import (
     compact,
     compact_scorecard,
@@ -227,6 +227,39 @@ def csv(folder, name, *lines):
     (folder / f"{name}.csv").write_text("\n".join([header, *lines]) + "\n")
 
 
+def test_bucketed_tables_move_nothing(spark, tmp_path, panel):
+    """Packs, per-patient joins and masks over a build in the catalog have no exchange by patient."""
+    spark.sql(f"CREATE DATABASE built LOCATION '{tmp_path}/db'")
+    held = {"spark.sql.autoBroadcastJoinThreshold": "1000", "spark.sql.adaptive.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in held}
+    try:
+        made = pipeline.build(spark, panel, str(tmp_path / "out"), gate=False, database="built", buckets=4)
+        for n, v in held.items():
+            spark.conf.set(n, v)
+        tables = {n: governance.tag_columns(read_bucketed(spark, f"built.{n}", keyed_only=True)) for n in (
+            "evidence_ledger", "patient_360", "risk_readmission", "care_gap", "dim_patient", "fact_claims")}
+        granted = governance.entitlement_table(spark, bindings.CLINIC_ENTITLEMENTS)
+        packs = ledger.evidence_packs(tables["evidence_ledger"], tables["patient_360"])
+        joined = tables["patient_360"].join(tables["risk_readmission"].select("patient_id", "lace_index"), "patient_id")
+        claims = tables["fact_claims"].groupBy("patient_id").agg(F.sum("paid_amount").alias("paid"))
+        masked = governance.secure_view(tables["evidence_ledger"], governance.ANALYST, granted)
+        rows = governance.secure_view(tables["evidence_ledger"], governance.CLINICIAN, granted,
+                                      tables["dim_patient"], spread=False)
+        for df in (packs, joined, joined.join(claims, "patient_id", "left"), masked, rows):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(patient_id" not in plan, plan
+        spread = governance.secure_view(tables["evidence_ledger"], governance.CLINICIAN, granted, tables["dim_patient"])
+        assert rows.count() == spread.count() > 0
+        whole = ledger.evidence_packs(panel.ledger, panel.p360)
+        assert packs.count() == whole.count()
+        assert made.ledger.count() == panel.ledger.count()
+        assert made.ledger.filter("patient_id IS NULL").count() == panel.ledger.filter("patient_id IS NULL").count() > 0
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+        spark.sql("DROP DATABASE built CASCADE")
+
+
 def test_build_from_files(spark, tmp_path):
     structured, documents = tmp_path / "csv", tmp_path / "docs"
     structured.mkdir()
