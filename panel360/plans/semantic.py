@@ -143,9 +143,10 @@ def _entity_result(model: SemanticModel, tables: Mapping[str, DataFrame], entity
                    where: Sequence[tuple[Dimension, Any]]) -> DataFrame:
     key = next((r.key for r in model.relationships if r.child == entity.name), entity.primary_key)
     used = {d.name: d for d in [*dims, *[d for d, _ in where]]}.values()
-    own = [d for d in used if d.entity == entity.name]
-    # The parent's key is a column of the entity itself.
-    outer = [d for d in used if d.entity != entity.name and d.name != key]
+    carried = set(entity.carries) & set(tables[entity.table].columns)
+    own = [d for d in used if d.entity == entity.name or d.name in carried]
+    # The parent's key is a column of the entity itself, as are the attributes it carries.
+    outer = [d for d in used if d not in own and d.name != key]
     measures = list(dict.fromkeys(x for m in metrics for x in (m.numerator, m.denominator) if x))
     rows = tables[entity.table]
     by = [d.name for d in dims]

@@ -8,10 +8,13 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Entity:
+    """`carries` names dimensions of its parent that the entity's own rows hold as well."""
+
     name: str
     table: str
     primary_key: str | None
     synonyms: tuple[str, ...] = ()
+    carries: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -80,7 +83,8 @@ ENTITIES = (
            ("members", "enrollees", "coverage", "plan membership")),
     Entity("risk", "risk_readmission", "patient_id",
            ("risk", "readmission risk", "risk stratification", "LACE", "risk tier")),
-    Entity("gaps", "care_gap", None, ("care gaps", "gaps in care", "quality gaps", "open gaps")),
+    Entity("gaps", "care_gap", None, ("care gaps", "gaps in care", "quality gaps", "open gaps"),
+           carries=("attributed_clinic", "line_of_business")),
     Entity("enc", "fact_encounter", "encounter_id",
            ("encounters", "visits", "admissions", "stays")),
     Entity("clm", "fact_claim", "claim_id", ("claims", "billing", "remittance")),
