@@ -5,8 +5,8 @@ and a text. Kinds: `message`, `edit` and `regenerate` set the text of their mess
 to it; a missing or unknown kind counts as `message`. An event without message id is a message by
 itself. Edits and regenerations change one message and leave the others.
 
-The fold is associative, so no conversation and no message is gathered whole: rows are range
-partitioned by conversation, message and sequence, each task folds its run of a message to one
+The fold is associative, so no conversation and no message is gathered whole: events of a message are
+range partitioned by conversation, message and sequence, each task folds its run of a message to one
 row, and the few runs of a message are folded again. Rendering cuts a conversation into pieces of
 whole turns in the same way; the pieces in order are the formatted conversation. Where the cuts fall
 depends on the partitions, what the pieces join to does not.
@@ -64,13 +64,13 @@ def fold_events(events: DataFrame, conv: str = "conv_id", seq: str = "seq",
     named = F.coalesce(F.col(kind).cast("string"), F.lit("message"))
     rank = F.array_position(F.array(*map(F.lit, _KINDS)), named)
     rows = events.select(
-        F.col(conv).alias("conv_id"),
-        F.struct(F.col(message).alias("id"), F.when(
-            F.col(message).isNull(), F.monotonically_increasing_id()).alias("row")).alias("message"),
-        F.col(seq).alias("seq"), F.when(rank == 0, 1).otherwise(rank).alias("kind"),
-        F.col(role).cast("string").alias("role"),
+        F.col(conv).alias("conv_id"), F.col(message).alias("message"), F.col(seq).alias("seq"),
+        F.when(rank == 0, 1).otherwise(rank).alias("kind"), F.col(role).cast("string").alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    runs = (rows.repartitionByRange("conv_id", "message.id", "message.row", "seq")
+    # An event without message id is whole as it stands and moves nowhere.
+    alone = rows.where("message IS NULL").select(
+        "conv_id", "seq", "role", "text", F.col("kind").isin(2, 3).cast("int").alias("n_revisions"))
+    runs = (rows.where("message IS NOT NULL").repartitionByRange("conv_id", "message", "seq")
             .withColumn("run", F.spark_partition_id())
             .groupBy("conv_id", "message", "run")
             .agg(F.sort_array(F.collect_list(F.struct(
@@ -86,7 +86,7 @@ def fold_events(events: DataFrame, conv: str = "conv_id", seq: str = "seq",
     return whole.select(
         "conv_id", F.col("parts")[0]["seq"].alias("seq"), _first_role(F.col("parts")).alias("role"),
         _tail(F.col("parts")).alias("text"),
-        F.aggregate("parts", F.lit(0), lambda n, p: n + p["revisions"]).alias("n_revisions"))
+        F.aggregate("parts", F.lit(0), lambda n, p: n + p["revisions"]).alias("n_revisions")).unionByName(alone)
 
 
 def render(messages: DataFrame, trained: tuple[str, ...] = ("assistant",),
