@@ -1,7 +1,7 @@
 """DuckDB statements for the queries that SQL can express; the others are tested by brute force.
 
-Not here: fingerprints and hashed n-grams (no XXH64 in DuckDB), merges of a vocabulary, trained
-models, CRC-32 and MinHash bands.
+Not here: fingerprints and hashed n-grams (no XXH64 in DuckDB), merges of a vocabulary, two tokenizers,
+trained models, CRC-32 of whole texts and MinHash bands.
 """
 
 from __future__ import annotations
@@ -80,5 +80,66 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
        sha256(coalesce(body, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) USING (r)"""
 
+def _merkle(levels: int = 7, above: int = 3) -> str:
+    """Level by level: trees of up to 8 ** levels leaves, 8 ** above trees. A node of a tree of one node
+    stands for itself on the next level. CRC-32 bit by bit: a list of steps over the decimal digits."""
+    def encoded(field: str) -> str:
+        return f"coalesce(strlen(CAST({field} AS VARCHAR)) || ':' || {field}, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(encoded, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    def climb(name: str, count: int) -> str:
+        """name0 has tree, idx, n, digest; each level gets left and right, all within a run of 8."""
+        run = "(PARTITION BY tree, idx // 8 ORDER BY idx ROWS BETWEEN"
+        return ",\n".join(f"""{name}_{k} AS (
+  SELECT *, coalesce(string_agg(digest, '') OVER {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}{k}),
+{name}{k + 1} AS (
+  SELECT tree, idx // 8 AS idx, (any_value(n) + 7) // 8 AS n,
+         if(any_value(n) = 1, any_value(digest), sha256(string_agg(digest, '' ORDER BY idx))) AS digest
+  FROM {name}{k} GROUP BY tree, idx // 8)""" for k in range(count))
+
+    def fold(start: str, name: str, count: int, at: str, tree: str) -> str:
+        """Steps of `start` (with proof and folded) through the levels; `at` is the place on the lowest."""
+        steps = []
+        for k in range(count):
+            steps.append(f"""f_{name}{k + 1} AS (
+  SELECT f.* EXCLUDE (proof, folded), proof || l || r AS proof,
+         if(n > 1, sha256(l || folded || r), folded) AS folded
+  FROM {start if k == 0 else f'f_{name}{k}'} f JOIN {name}_{k} s
+    ON s.tree IS NOT DISTINCT FROM f.{tree} AND s.idx = f.{at} // {8 ** k})""")
+        return ",\n".join(steps)
+
+    steps = "list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), " \
+            "lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])))"
+    crc = f"""xor(list_reduce({steps}, lambda a, o: CASE WHEN o >= 0 THEN xor(a, CAST(o AS BIGINT))
+          WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH leaves AS (
+  SELECT doc_id, lang AS tree, {leaf('text')} AS digest,
+         if(doc_id IS NOT NULL AND {crc} % 3 = 0, {leaf(lowered)}, NULL) AS changed FROM documents),
+a0 AS (
+  SELECT *, count(*) OVER (PARTITION BY tree) AS n, row_number() OVER (
+           PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx FROM leaves),
+{climb('a', levels)},
+b0 AS (
+  SELECT 0 AS tree, tree AS lang, digest, count(*) OVER () AS n,
+         row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS idx FROM a{levels}),
+{climb('b', above)},
+start AS (
+  SELECT a0.doc_id, a0.tree, a0.idx, a0.digest AS leaf, b0.digest AS subroot, b0.idx AS place, 0 AS zero,
+         '' AS proof, coalesce(changed, a0.digest) AS folded
+  FROM a0 JOIN b0 ON b0.lang IS NOT DISTINCT FROM a0.tree),
+{fold('start', 'a', levels, 'idx', 'tree')},
+{fold(f'f_a{levels}', 'b', above, 'place', 'zero')}
+SELECT doc_id, leaf, subroot, b{above}.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = b{above}.digest AS verified
+FROM f_b{above}, b{above}"""
+
+
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": _CHAT, "op5_warc_index": _WARC,
-                              "op6_decontamination": _LEAKS, "op13_substring_dedup": _REPEATS}
+                              "op6_decontamination": _LEAKS, "op11_merkle_manifest": _merkle(),
+                              "op13_substring_dedup": _REPEATS}
