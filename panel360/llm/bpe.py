@@ -37,6 +37,7 @@ from panel360.llm.common import slices, without
 #: Fixed value: how byte-level vocabularies of this family cut a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT, MEMORY = 64, 150_000
+BATCH_BYTES = 300_000
 _ROWS = 1 << 13
 _NONE = 1 << 62
 _SAFE = regex.compile(r"(?<=\S) (?=\S)")
@@ -212,8 +213,12 @@ def _pieces(text: str) -> list[str]:
 
 @lru_cache(maxsize=4)
 def byte_table(path: str) -> dict[int, bytes]:
-    """The bytes of each id: all that decoding needs."""
-    return Vocabulary(path).bytes
+    """The bytes of each id: all that decoding needs, without what encoding holds."""
+    with open(path, encoding="utf-8") as file:
+        data = json.load(file)
+    to_byte = byte_symbols()
+    table = {i: bytes(to_byte[c] for c in s) for s, i in data["model"]["vocab"].items()}
+    return table | {t["id"]: t["content"].encode() for t in data["added_tokens"]}
 
 
 @lru_cache(maxsize=4)
@@ -235,20 +240,29 @@ def _added(df: DataFrame, fields: dict[str, T.DataType], source: str, make) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, at):
+            for batch in slices(whole, at, BATCH_BYTES):
                 made = make(batch.column(at))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
 
     return map_arrow(rows, run, schema)
 
 
-def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """`df` with `ids` (packed) and `n_tokens`. The file at `path` must be on every worker."""
-    def make(texts: pa.Array) -> list[pa.Array]:
-        packed = vocabulary(path).encode_all(texts.to_pylist())
-        return [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
+def encode(df: DataFrame, path: str, text: str = "text", check: bool = False) -> DataFrame:
+    """`df` with `ids` (packed) and `n_tokens`; with `check` also `round_trip`, whether the ids, decoded in
+    the same task, give the text again. The file at `path` must be on every worker."""
+    fields = {"ids": T.BinaryType(), "n_tokens": T.LongType()}
+    if check:
+        fields["round_trip"] = T.BooleanType()
 
-    return _added(df, {"ids": T.BinaryType(), "n_tokens": T.LongType()}, text, make)
+    def make(texts: pa.Array) -> list[pa.Array]:
+        words, given = vocabulary(path), texts.to_pylist()
+        packed = words.encode_all(given)
+        made = [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
+        if check:
+            made.append(pa.array([words.decode(p) == (t or "") for p, t in zip(packed, given)], pa.bool_()))
+        return made
+
+    return _added(df, fields, text, make)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:

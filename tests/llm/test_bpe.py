@@ -74,3 +74,13 @@ def test_query_nulls_repeats_and_clashes(spark, tmp_path, library):
     made = bpe.decode(bpe.encode(clash, VOCABULARY), VOCABULARY)
     assert made.first().decoded == "x" and len(made.columns) == 4
     assert bpe.encode(clash.limit(0), VOCABULARY).collect() == []
+
+
+def test_checked_encoding(spark):
+    rows = [(1, "a <|endoftext|> é😀"), (2, None), (3, ""), (4, " ".join(PARTS))]
+    df = spark.createDataFrame(rows, "k long, text string")
+    checked = bpe.encode(df, VOCABULARY, check=True)
+    assert checked.columns == ["k", "text", "ids", "n_tokens", "round_trip"]
+    assert all(r.round_trip for r in checked.collect())
+    assert sorted(map(tuple, checked.drop("round_trip").collect())) == sorted(
+        map(tuple, bpe.encode(df, VOCABULARY).collect()))
