@@ -75,6 +75,29 @@ def test_bounds_leave_documents_out(spark, tmp_path):
     assert got.count() == 2 and dict(scored)["sums"] <= 8
 
 
+def test_pairs_do_not_leave_their_block(spark, tmp_path, monkeypatch):
+    """Many documents have the asked term: of each block and query the best alone are written. Documents that
+    share a key count together."""
+    rows = [(i % 290, "dose " * (1 + i % 10) + "plan " * (i * 7 % 61)) for i in range(300)]
+    rows += [(1000 + i, "diet") for i in range(900)]
+    path = str(tmp_path / "index")
+    index.write_index(spark.createDataFrame(rows, "id long, text string"), path, "id", "text")
+    queries = spark.createDataFrame([("q", "dose"), ("r", "dose unknown"), ("s", None)], "qid string, question string")
+    monkeypatch.setattr(index, "BLOCK_POSTINGS", 100)
+    monkeypatch.setattr(index, "BLOCK_TERMS", 2)
+    counts, inner = {}, index.stored
+
+    def seen(df, name):
+        out = inner(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(index, "stored", seen)
+    found, want = (rows_of(index.search_index(spark, path, queries, 4, "id", "text", bounded=b)) for b in (True, False))
+    assert found == want and {r[0] for r in found} == {"q", "r"}
+    assert counts["sums"] < 100
+
+
 def test_revisions_and_merge(spark, tmp_path):
     rng = random.Random(2)
     first, second, third = (corpus(spark, rng, k) for k in (range(80), range(60, 120), range(100, 110)))
