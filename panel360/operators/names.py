@@ -5,10 +5,12 @@ most. Of all people, those who match as many words of the phrase as anyone does
 best `k` by the penalty of their matches (0 for the same word, 1 for a beginning, 1 and the edits for
 another), then by the edit distance of phrase and name, then by key.
 
-The index has each different word of all names once, with its beginnings, its trigrams (with two blanks
-before and behind) and the people who bear it. Words within d edits share all but 3 d trigrams, so they
-share one of the 3 d + 1 rarest of each: only those are looked up, and a trigram that most words have is
-looked up by none that has rarer ones. The edit distance decides.
+The index has each different word of all names once, with its beginnings and the people who bear it. Words
+within d edits have a rest in common, what is left of each without some d letters: these rests are looked
+up, so that words of few signs, numbers in sequence for instance, bring no more candidates where there are
+more of them. A word of n letters has some n * n / 2 rests; words beyond `LONG` letters are found by trigrams
+instead (with two blanks before and behind). They share all but 3 d trigrams, so they share one of the
+3 d + 1 rarest of each: only those are looked up. The edit distance decides.
 
 People are not looked up by words that all of them bear. A phrase's matched words are taken from the
 rarest on: if someone of a rarer word matches r words, whoever does as well must bear one of the n - r + 1
@@ -29,6 +31,9 @@ from panel360.sources.scratch import stored
 
 # Letters from which a word may have one and two edits.
 ONE_EDIT, TWO_EDITS = 4, 8
+# Letters up to which an asked word is looked up by its rests.
+LONG = 24
+TASK_WORDS = 20_000
 _GRAM, _PAD = 3, "  "
 
 
@@ -37,6 +42,22 @@ def allowed_edits(word: Column) -> Column:
     return F.when(n >= TWO_EDITS, 2).when(n >= ONE_EDIT, 1).otherwise(0)
 
 
+def _rests(words: DataFrame, word: str, edits: Column) -> DataFrame:
+    """word, rest: the word, and what is left of it without one letter or, with two `edits`, without two."""
+    n = F.length(word)
+
+    def without(text: Column, i: Column) -> Column:
+        return F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1))
+
+    places = F.sequence(F.lit(1), n)
+    one = F.transform(places, lambda i: without(F.col(word), i))
+    # The second letter comes behind the first; beyond the end it is none.
+    two = F.flatten(F.transform(places, lambda i: F.transform(
+        F.sequence(i, n), lambda j: without(without(F.col(word), i), j))))
+    rests = F.concat(F.array(word), F.when(edits > 1, two).otherwise(one))
+    return words.select(word, F.explode(F.array_distinct(rests)).alias("rest"))
+
+
 def _grams(words: DataFrame, word: str) -> DataFrame:
     """word, gram: each trigram; the second and later of the same in a word carry their number."""
     padded = F.concat(F.lit(_PAD), F.col(word), F.lit(_PAD))
@@ -56,7 +77,7 @@ def _rarest(grams: DataFrame, counts: DataFrame, word: str, most: Column) -> Dat
 
 def write_names(people: DataFrame, path: str, key: str = "patient_id", name: str = "full_name") -> None:
     """Store the index: `people` (key, name, words), `bearers` (word, key), `words` (word and number of
-    bearers), `beginnings`, `counts` of trigrams and the rarest `grams` of each word."""
+    bearers), `beginnings`, `rests`, and of long words `counts` of trigrams and the rarest `grams` of each."""
     spark = people.sparkSession
     (people.groupBy(key).agg(F.min(name).alias(name), F.array_distinct(F.flatten(F.collect_set(
         tokens(F.col(name))))).alias("words")).write.parquet(f"{path}/people"))
@@ -69,7 +90,12 @@ def write_names(people: DataFrame, path: str, key: str = "patient_id", name: str
         F.sequence(F.lit(1), F.length("word")), lambda n: F.left("word", n))).alias("beginning"))
     beginnings.repartitionByRange("beginning", "word").sortWithinPartitions("beginning").write.parquet(
         f"{path}/beginnings")
-    grams = _grams(words, "word")
+    # An asked word may have two letters more or less.
+    n = F.length("word")
+    edits = F.when(n + 2 >= TWO_EDITS, 2).otherwise(1)
+    short = words.repartition(max(1, words.count() // TASK_WORDS)).filter((n + 1 >= ONE_EDIT) & (n <= LONG + 2))
+    _rests(short, "word", edits).write.parquet(f"{path}/rests")
+    grams = _grams(words.filter(n > LONG - 2), "word")
     grams.groupBy("gram").agg(F.count("*").alias("_n")).write.parquet(f"{path}/counts")
     counts = spark.read.parquet(f"{path}/counts")
     _rarest(grams, counts, "word", F.lit(3 * 2 + 1)).repartitionByRange("gram", "word").sortWithinPartitions(
@@ -85,9 +111,12 @@ def word_matches(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
     begun = table("beginnings").join(words, F.col("beginning") == F.col("asked")).select(
         "asked", "word", F.when(F.col("asked") == F.col("word"), 0).otherwise(1).alias("penalty"))
     edits = allowed_edits(F.col("asked"))
-    probes = _rarest(_grams(words.filter(edits > 0), "asked"), table("counts"), "asked", 3 * edits + 1)
-    near = table("grams").join(probes, "gram").filter(
-        F.abs(F.length("asked") - F.length("word")) <= edits).select("asked", "word").distinct()
+    long = F.length("asked") > LONG
+    probes = _rarest(_grams(words.filter((edits > 0) & long), "asked"), table("counts"), "asked", 3 * edits + 1)
+    rests = _rests(words.filter((edits > 0) & ~long), "asked", edits)
+    near = table("grams").join(probes, "gram").select("asked", "word").union(
+        table("rests").join(rests, "rest").select("asked", "word")).filter(
+        F.abs(F.length("asked") - F.length("word")) <= edits)
     far = F.levenshtein("asked", "word", 2)  # -1 beyond
     near = near.withColumn("_far", far).filter((F.col("_far") > 0) & (F.col("_far") <= edits)).select(
         "asked", "word", (F.col("_far") + 1).alias("penalty"))
