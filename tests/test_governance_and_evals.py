@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panel360.operators import audit, evals, governance as gov, quality
 from panel360.operators.conform import dim_patient
 from panel360.operators.joins import left_join
+from panel360.plans import bindings
 from panel360.schemas import EXTRACTS
 
 PATIENTS, MEMBERS = EXTRACTS["patients"], EXTRACTS["members"]
@@ -181,3 +182,13 @@ def test_judging(spark):
     counts = {r.question_class: (r.questions, r.answers)
               for r in evals.class_counts(golden, runs).collect()}
     assert counts["HYBRID"] == (3, 1) and len(counts) == 7
+
+
+def test_placed_ledger_equals_a_join_with_the_whole(panel):
+    """Clinics looked up before the texts are made: the same rows."""
+    granted = gov.entitlement_table(panel.metadata.sparkSession, bindings.CLINIC_ENTITLEMENTS)
+    columns = ["role", *panel.ledger.columns]
+    want = gov.secure_by_role(gov.tag_columns(panel.ledger), granted, panel.dim_patient).select(columns)
+    got = gov.secure_by_role(gov.tag_columns(panel.placed_ledger), granted).select(columns)
+    assert got.schema == want.schema
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()

@@ -171,3 +171,14 @@ def test_distinctive_terms(spark, tmp_path):
     index.write_index(spark.createDataFrame(rows, "id long, text string"), path, "id", "text")
     got = index.distinctive_terms(spark, path, "id", F.col("id") % 50 == 0, n=2).collect()
     assert [(r["qid"], r["question"]) for r in got] == [(0, "rare other")]
+
+
+def test_postings_hold_numbers_for_keys(spark, tmp_path):
+    """Neither keys nor attributes are written again for each term; they come back with the postings."""
+    path = str(tmp_path / "index")
+    index.write_index(spark.createDataFrame([("a", "dose dose plan", "g"), ("b", "dose", "h")],
+                                            "id string, text string, grp string"), path, "id", "text", ("grp",))
+    assert set(spark.read.parquet(f"{path}/postings").columns) == {
+        index.NUMBER, "doc_length", "term", "tf", "bucket", "segment"}
+    rows = index.read_index(spark, path, "postings", "id").select("id", "grp", "term", "tf", "doc_length").collect()
+    assert sorted(map(tuple, rows)) == [("a", "g", "dose", 2, 3), ("a", "g", "plan", 1, 3), ("b", "h", "dose", 1, 1)]

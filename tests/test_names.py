@@ -102,3 +102,23 @@ def test_a_word_that_all_bear_is_not_looked_up(spark, tmp_path, monkeypatch):
 def test_empty_tables(spark, tmp_path):
     check(spark, tmp_path, [], [("q", "ann")])
     check(spark, tmp_path, [("P1", "ann")], [])
+
+
+def test_numbers_in_sequence_bring_few_candidates(spark, tmp_path):
+    """Words of the same few signs: rests in common grow with an asked word's neighbours, not with the table."""
+    people = [(f"P{i:05d}", f"{i:09d}") for i in range(3000)]
+    path = str(tmp_path / "names")
+    names.write_names(spark.createDataFrame(people, "patient_id string, full_name string"), path)
+    asked = spark.createDataFrame([("0000012x4",)], "asked string")
+    rests = names._rests(asked, "asked", names.F.lit(2))
+    met = spark.read.parquet(f"{path}/rests").join(rests, "rest").select("word").distinct().count()
+    assert 100 < met < 1000
+    assert sorted((r.word, r.penalty) for r in names.word_matches(spark, path, asked).collect()) == sorted(
+        (w, p) for _, w in people if (p := penalty("0000012x4", w)) is not None)
+
+
+def test_long_words_are_found_by_trigrams(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(names, "LONG", 9)
+    people = [(f"P{i}", w) for i, w in enumerate((
+        "abcdefgh", "abcdefghi", "abcdefghij", "abcdefghijk", "abcdefghijkl", "xabcdefghijklm", "abcd"))]
+    check(spark, tmp_path, people, [("s", "abcdxfghi"), ("l", "abcdxfghijk"), ("m", "abcdefghiy"), ("t", "abxd")], k=7)

@@ -200,3 +200,10 @@ def test_quality_checks_find_each_failure(make, spark):
         quality.enforce_gate(checks)
     with pytest.raises(ValueError):
         quality.column_tests(dim, quality.ColumnTests())
+
+
+def test_the_360_joins_active_rows_alone(panel):
+    """Both filters stand below the joins that find the patient."""
+    text = panel.p360._jdf.queryExecution().optimizedPlan().toString()
+    for source in ("l_linestatus", "l_returnflag"):
+        assert any(line.lstrip(" :+-").startswith("Filter") and source in line for line in text.split("\n")), source

@@ -125,3 +125,18 @@ def test_lookup_prefers_the_closer_name(spark):
     got = search.patient_lookup(people, asked).orderBy("rank").collect()
     assert [r.patient_id for r in got] == ["P1", "P2"]
     assert people.select(F.count("*")).first()[0] == 3
+
+
+def test_terms_not_asked_stay_in_the_scan(spark, monkeypatch):
+    """The plan for any number of queries shuffles the counts of asked terms, and of all if they are too many."""
+    texts = spark.createDataFrame([(i, f"asked word{i} other{i}", "a") for i in range(9)], "doc_id long, text string, grp string")
+    queries = spark.createDataFrame([("q", "asked word3 none")], "qid string, question string")
+
+    def plan_and_rows():
+        df = search.text_search(texts, queries, 3, "doc_id", "text")
+        return df._jdf.queryExecution().optimizedPlan().toString(), sorted(map(tuple, df.collect()))
+
+    few, got = plan_and_rows()
+    monkeypatch.setattr(search, "SENT_TERMS", 1)
+    many, want = plan_and_rows()
+    assert got == want and "LeftSemi" in few and "LeftSemi" not in many
